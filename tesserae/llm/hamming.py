@@ -1,0 +1,163 @@
+"""Exact Hamming-distance joins of 64-bit patterns.
+
+A pattern is cut into ``blocks`` blocks.  Two patterns within ``max_bits`` of
+each other agree to within ``2 * radius`` bits in at least one block, so if both
+sides list every value within ``radius`` bits of their block, they meet in at
+least one listed value.  Listing them all in a shuffle would multiply the rows
+by about 66; instead each pattern is only sent to the groups given by the first
+``route`` bits of those values (15 to 30 rows of eight bytes) and the rest of
+the listing happens with numpy inside the group.
+
+Everything is exact.  ``plan_for`` chooses blocks and route bits from the number
+of distinct patterns, so that groups keep a bounded size.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Distinct patterns that one group should hold at most, on average.
+GROUP_ROWS = 120_000
+
+
+class Plan(NamedTuple):
+    """Blocks of the pattern as (shift, bits), the radius listed by each side, routed bits, largest distance."""
+
+    blocks: tuple[tuple[int, int], ...]
+    radius: int
+    route: int
+    max_bits: int
+
+    @property
+    def groups(self) -> int:
+        return len(self.blocks) << self.route
+
+
+def plan_for(n: int, max_bits: int = 8, bits: int = 64) -> Plan:
+    """Three blocks of radius 1 up to about 30 million patterns, two blocks of radius 2 beyond (for 8 bits)."""
+    count = max(1, -(-max_bits // 3)) if n <= 30_000_000 else max(1, -(-max_bits // 5))
+    while (max_bits // count) > 4:
+        count += 1
+    per_block = max_bits // count
+    radius = -(-per_block // 2)
+    sizes = [bits // count + (k < bits % count) for k in range(count)]
+    shifts = np.cumsum([0, *sizes[:-1]]).tolist()
+    route = 2
+    while route < min(sizes) - 4 and n * _ball(route, radius) / (1 << route) > GROUP_ROWS * 1.0 and route < 10:
+        route += 1
+    return Plan(tuple(zip(shifts, sizes, strict=True)), radius, route, max_bits)
+
+
+def _ball(bits: int, radius: int) -> int:
+    return sum(1 for k in range(radius + 1) for _ in combinations(range(bits), k))
+
+
+def _flips(bits: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(bits), k)]
+
+
+def routed(value: Column, plan: Plan) -> Column:
+    """The array of group numbers that a pattern is sent to."""
+    out = []
+    for j, (shift, size) in enumerate(plan.blocks):
+        top = F.shiftrightunsigned(value, shift + size - plan.route).bitwiseAND(F.lit((1 << plan.route) - 1)).cast("int")
+        out += [(top.bitwiseXOR(F.lit(flip)) + F.lit(j << plan.route)).cast("int") for flip in _flips(plan.route, plan.radius)]
+    return F.array(*out)
+
+
+def _keys(v: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Listed low parts of the block in this group, and the index of the pattern each belongs to."""
+    shift, size = plan.blocks[group >> plan.route]
+    low_bits = size - plan.route
+    block = (v >> np.uint64(shift)) & np.uint64((1 << size) - 1)
+    away = np.bitwise_count((block >> np.uint64(low_bits)) ^ np.uint64(group & ((1 << plan.route) - 1)))
+    low = block & np.uint64((1 << low_bits) - 1)
+    keys, owner = [], []
+    for spent in range(plan.radius + 1):
+        at = np.flatnonzero(away == spent)
+        if len(at):
+            flips = np.array(_flips(low_bits, plan.radius - spent), dtype=np.uint64)
+            keys.append((low[at][:, None] ^ flips[None, :]).ravel())
+            owner.append(np.repeat(at, len(flips)))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owner)
+
+
+def _first_block(x: np.ndarray, group: int, plan: Plan) -> np.ndarray:
+    """Whether this group's block is the first one in which the pair agrees closely enough."""
+    ok = np.ones(len(x), bool)
+    for shift, size in plan.blocks[: group >> plan.route]:
+        ok &= np.bitwise_count((x >> np.uint64(shift)) & np.uint64((1 << size) - 1)) > 2 * plan.radius
+    return ok
+
+
+def self_pairs(v: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of distinct patterns of one group within the distance."""
+    keys, owner = _keys(v, group, plan)
+    packed = np.sort((keys << np.uint64(32)) | owner.astype(np.uint64))
+    keys, owner = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    found_a, found_b = [], []
+    at, step = np.arange(len(keys) - 1), 1
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        a, b = owner[at], owner[at + step]
+        x = v[a] ^ v[b]
+        near = np.bitwise_count(x) <= plan.max_bits
+        near[near] = _first_block(x[near], group, plan)
+        found_a.append(a[near])
+        found_b.append(b[near])
+        step += 1
+    return _unique(found_a, found_b)
+
+
+def cross_pairs(probe: np.ndarray, index: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (probe, index) of one group within the distance, equal patterns included."""
+    pk, po = _keys(probe, group, plan)
+    ik, io = _keys(index, group, plan)
+    order = np.argsort(ik, kind="stable")
+    ik, io = ik[order], io[order]
+    at, end = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
+    found_a, found_b = [], []
+    while True:
+        open_ = at < end
+        if not open_.any():
+            break
+        at, end, po = at[open_], end[open_], po[open_]
+        a, b = po, io[at]
+        x = probe[a] ^ index[b]
+        near = np.bitwise_count(x) <= plan.max_bits
+        near[near] = _first_block(x[near], group, plan)
+        found_a.append(a[near])
+        found_b.append(b[near])
+        at = at + 1
+    return _unique(found_a, found_b)
+
+
+def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    packed = np.unique((np.concatenate(a).astype(np.uint64) << np.uint64(32)) | np.concatenate(b).astype(np.uint64))
+    return (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def near_patterns(patterns: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs ``lo < hi`` (as signed numbers) of the distinct bigint column ``v`` within ``plan.max_bits``.
+
+    Nulls never match.  Equal patterns are no pair: the input is distinct.
+    """
+    rows = patterns.where(F.col("v").isNotNull()).select("v", F.explode(routed(F.col("v"), plan)).alias("g"))
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["v"].to_numpy()
+        a, b = self_pairs(v.view(np.uint64), int(pdf["g"].iloc[0]), plan)
+        return pd.DataFrame({"lo": np.minimum(v[a], v[b]), "hi": np.maximum(v[a], v[b])})
+
+    return rows.groupBy("g").applyInPandas(local, "lo bigint, hi bigint").distinct()
