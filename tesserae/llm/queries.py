@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.llm.encoding import decode, encode
+from tesserae.llm.fusion import fused_fields, survivors
 from tesserae.llm.grouping import linked_groups
+from tesserae.llm.setjoin import similar_links, similar_pairs
 from tesserae.session import table
 
 
@@ -14,6 +17,32 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_groups(table(spark, d, "files"), table(spark, d, "frames"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "classified").selectExpr("path as key", "tags as values")
+    right = table(spark, d, "categories").selectExpr("category as key", "style_keywords as values")
+    return similar_pairs(left, right, min_size=3)
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return similar_links(table(spark, d, "classified").selectExpr("path as key", "tags as values"), min_size=3)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors(table(spark, d, "hash_cache"))
+
+
+def p3_fused(spark: SparkSession, d: str) -> DataFrame:
+    return fused_fields(table(spark, d, "hash_cache"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return decode(encode(table(spark, d, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
