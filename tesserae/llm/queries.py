@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm.encoding import decode, encode
 from tesserae.llm.fusion import fused_fields, survivors
 from tesserae.llm.grouping import linked_groups
+from tesserae.llm.lookalike import look_forms, look_pairs
 from tesserae.llm.setjoin import similar_links, similar_pairs
 from tesserae.session import table
 
@@ -43,6 +44,14 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(encode(table(spark, d, "documents")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_pairs(table(spark, d, "documents"))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    return look_forms(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserae.session import Scratch
 
-BLANKS = " \t\n\r\f\x0b\xa0　"
+BLANKS = " \t\n\r\f\x0b\xa0\u3000"
 
 
 def clean_set(values: str | Column) -> Column:
