@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm.encoding import decode, encode
+from tesserae.llm.encoding import decode, encode, token_counts
 from tesserae.llm.fusion import fused_fields, survivors
 from tesserae.llm.grouping import linked_groups
 from tesserae.llm.lookalike import look_forms, look_pairs
+from tesserae.llm.packing import pack
 from tesserae.llm.setjoin import similar_links, similar_pairs
 from tesserae.session import table
 
@@ -44,6 +45,10 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(encode(table(spark, d, "documents")))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return look_pairs(table(spark, d, "documents"))
 
