@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.encoding import decode, encode, token_counts
 from tesserae.llm.fusion import fused_fields, survivors
+from tesserae.llm.frames import usable_hist
 from tesserae.llm.grouping import linked_groups
+from tesserae.llm.knn import nearest
 from tesserae.llm.lookalike import look_forms, look_pairs
 from tesserae.llm.packing import pack
 from tesserae.llm.setjoin import similar_links, similar_pairs
@@ -37,6 +39,11 @@ def p3_fused(spark: SparkSession, d: str) -> DataFrame:
     return fused_fields(table(spark, d, "hash_cache"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    usable = table(spark, d, "frames").where(usable_hist("hist")).selectExpr("path", "frame", "hist as vec")
+    return nearest(usable).drop("cos")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
