@@ -10,6 +10,7 @@ from tesserae.llm.encoding import decode, encode, token_counts
 from tesserae.llm.fusion import fused_fields, survivors
 from tesserae.llm.frames import usable_hist
 from tesserae.llm.grouping import linked_groups
+from tesserae.llm.history import repeated_entries
 from tesserae.llm.knn import nearest
 from tesserae.llm.lookalike import look_forms, look_pairs
 from tesserae.llm.packing import pack
@@ -39,6 +40,10 @@ def p3_fused(spark: SparkSession, d: str) -> DataFrame:
     return fused_fields(table(spark, d, "hash_cache"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_entries(table(spark, d, "hash_cache"), table(spark, d, "frames"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     usable = table(spark, d, "frames").where(usable_hist("hist")).selectExpr("path", "frame", "hist as vec")
     return nearest(usable).drop("cos")
