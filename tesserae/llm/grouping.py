@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
 from tesserae.llm.frames import digest, frame_rows, frames_match, path_classes
-from tesserae.llm.hamming import near_patterns, plan_for
+from tesserae.operators.hamming import near_patterns, plan_for
 from tesserae.session import Scratch
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.frames import digest, frame_rows, frames_match, path_classes
-from tesserae.llm.hamming import Plan, cross_pairs, plan_for, routed
+from tesserae.operators.hamming import Plan, cross_pairs, plan_for, routed
 from tesserae.session import Scratch
 
 #: A list of candidate classes of up to this many rows of 24 bytes is broadcast; larger ones are shuffled.
