@@ -1,6 +1,12 @@
+"""All queries of the library."""
+
+from tesserae.queries import duplicates as _duplicates  # noqa: F401
+from tesserae.queries.registry import QUERIES, SQL
+
+
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
