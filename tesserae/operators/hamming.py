@@ -62,16 +62,17 @@ def _flips(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(bits), k)]
 
 
-def routed(value: Column, plan: Plan) -> Column:
-    """The array of group numbers that a pattern is sent to."""
+def routed(value: Column, plan: Plan, radius: int | None = None) -> Column:
+    """The array of group numbers that a pattern is sent to by a side that lists values within ``radius`` bits."""
+    radius = plan.radius if radius is None else radius
     out = []
     for j, (shift, size) in enumerate(plan.blocks):
         top = F.shiftrightunsigned(value, shift + size - plan.route).bitwiseAND(F.lit((1 << plan.route) - 1)).cast("int")
-        out += [(top.bitwiseXOR(F.lit(flip)) + F.lit(j << plan.route)).cast("int") for flip in _flips(plan.route, plan.radius)]
+        out += [(top.bitwiseXOR(F.lit(flip)) + F.lit(j << plan.route)).cast("int") for flip in _flips(plan.route, radius)]
     return F.array(*out)
 
 
-def _keys(v: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def _keys(v: np.ndarray, group: int, plan: Plan, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Listed low parts of the block in this group, and the index of the pattern each belongs to."""
     shift, size = plan.blocks[group >> plan.route]
     low_bits = size - plan.route
@@ -79,10 +80,10 @@ def _keys(v: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray
     away = np.bitwise_count((block >> np.uint64(low_bits)) ^ np.uint64(group & ((1 << plan.route) - 1)))
     low = block & np.uint64((1 << low_bits) - 1)
     keys, owner = [], []
-    for spent in range(plan.radius + 1):
+    for spent in range(radius + 1):
         at = np.flatnonzero(away == spent)
         if len(at):
-            flips = np.array(_flips(low_bits, plan.radius - spent), dtype=np.uint64)
+            flips = np.array(_flips(low_bits, radius - spent), dtype=np.uint64)
             keys.append((low[at][:, None] ^ flips[None, :]).ravel())
             owner.append(np.repeat(at, len(flips)))
     if not keys:
@@ -100,7 +101,7 @@ def _first_block(x: np.ndarray, group: int, plan: Plan) -> np.ndarray:
 
 def self_pairs(v: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of distinct patterns of one group within the distance."""
-    keys, owner = _keys(v, group, plan)
+    keys, owner = _keys(v, group, plan, plan.radius)
     packed = np.sort((keys << np.uint64(32)) | owner.astype(np.uint64))
     keys, owner = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
     found_a, found_b = [], []
@@ -119,28 +120,43 @@ def self_pairs(v: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.nd
 
 
 def cross_pairs(probe: np.ndarray, index: np.ndarray, group: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (probe, index) of one group within the distance, equal patterns included."""
-    pk, po = _keys(probe, group, plan)
-    ik, io = _keys(index, group, plan)
+    """Index pairs (probe, index) of one group within the distance, equal patterns included.
+
+    The sides share the work unevenly, as `sides` says: an index stays small, each
+    probe lists more values.
+    """
+    probe_radius, index_radius = sides(plan)
+    pk, po = _keys(probe, group, plan, probe_radius)
+    ik, io = _keys(index, group, plan, index_radius)
+    low_bits = plan.blocks[group >> plan.route][1] - plan.route
+    if low_bits <= 22:
+        present = np.zeros(1 << low_bits, bool)
+        present[ik] = True
+        seen = present[pk]
+        pk, po = pk[seen], po[seen]
     order = np.argsort(ik, kind="stable")
     ik, io = ik[order], io[order]
     at, end = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
     found_a, found_b = [], []
-    while True:
+    while len(at):
         open_ = at < end
-        if not open_.any():
-            break
         at, end, po = at[open_], end[open_], po[open_]
-        a, b = po, io[at]
-        x = probe[a] ^ index[b]
+        b = io[at]
+        x = probe[po] ^ index[b]
         near = np.bitwise_count(x) <= plan.max_bits
         near[near] = _first_block(x[near], group, plan)
-        found_a.append(a[near])
+        found_a.append(po[near])
         found_b.append(b[near])
         at = at + 1
     return _unique(found_a, found_b)
 
 
+def sides(plan: Plan) -> tuple[int, int]:
+    """The radii that a probe and the index list; their sum covers the distance within a block."""
+    index_radius = max(0, 2 * plan.radius - 2)
+    return 2 * plan.radius - index_radius, index_radius
+
+
 def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
