@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.frames import digest, frame_rows, frames_match, path_classes
-from tesserae.operators.hamming import Plan, cross_pairs, plan_for, routed
+from tesserae.operators.hamming import Plan, cross_pairs, plan_for, routed, sides
 from tesserae.session import Scratch
 
 #: A list of candidate classes of up to this many rows of 24 bytes is broadcast; larger ones are shuffled.
@@ -41,13 +41,15 @@ class History:
         self.name = f"postings_{uuid.uuid4().hex}"
         self.batches = 0
 
-    def accept(self, tokens: DataFrame, classes: DataFrame, class_frames: DataFrame) -> None:
-        """Append the tokens (``token``) and the frames (``cls, frame, nf, dh, ph, hist``) of newly accepted classes (``cls``)."""
+    def accept(self, tokens: DataFrame, new_frames: DataFrame, df: DataFrame) -> None:
+        """Append the tokens (``token``) and the usable frames (``cls, frame, nf, dh``) of newly accepted entries.
+
+        ``df`` (``dh, df``) has the patterns that several classes hold.
+        """
         self.scratch.append(tokens.select("token", F.lit(self.batches).alias("batch")), "tokens")
-        new = class_frames.join(classes, "cls", "left_semi").where("hist is not null")
-        rare = F.row_number().over(Window.partitionBy("cls").orderBy("df", "dh", "frame"))
-        prefix = new.withColumn("at", rare).where(F.col("at") <= F.col("nf") - F.ceil(F.col("nf") / 2) + 1)
-        rows = prefix.select(F.explode(routed(F.col("dh"), self.plan)).alias("g"), F.col("dh").alias("v"), "cls").distinct()
+        rare = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "dh", "frame"))
+        prefix = new_frames.join(df, "dh", "left").withColumn("at", rare).where(F.col("at") <= F.col("nf") - F.ceil(F.col("nf") / 2) + 1)
+        rows = prefix.select(F.explode(routed(F.col("dh"), self.plan, sides(self.plan)[1])).alias("g"), F.col("dh").alias("v"), "cls").distinct()
         writer = rows.repartition(self.buckets, "g").write.bucketBy(self.buckets, "g").format("parquet").mode("append")
         writer.option("path", self.scratch.path("postings")).saveAsTable(self.name)
         self.batches += 1
@@ -55,11 +57,14 @@ class History:
     def tokens(self) -> DataFrame:
         return self.spark.read.schema("token bigint, batch int").parquet(self.scratch.path("tokens"))
 
-    def similar_classes(self, probes: DataFrame, class_frames: DataFrame, name: str) -> DataFrame:
-        """``cls`` of the probes (``cls, frame, nf, dh, ph, hist``) that match an indexed class (itself included)."""
+    def similar_classes(self, probes: DataFrame, frames: DataFrame, name: str) -> DataFrame:
+        """``cls`` of the probes that match an indexed class (itself included).
+
+        ``probes`` and ``frames`` have the usable frames ``cls, frame, nf, dh, ph, hist`` of the
+        batch and of everything before it.
+        """
         plan = self.plan
-        usable = probes.where("hist is not null")
-        sent = usable.select(F.explode(routed(F.col("dh"), plan)).alias("g"), F.col("dh").alias("v"), "cls").distinct()
+        sent = probes.select(F.explode(routed(F.col("dh"), plan, sides(plan)[0])).alias("g"), F.col("dh").alias("v"), "cls")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             out = pd.DataFrame({"p": [], "q": []}, dtype="int64")
@@ -74,11 +79,10 @@ class History:
         index = self.spark.table(self.name)
         met = sent.repartition(self.buckets, "g").groupBy("g").cogroup(index.groupBy("g")).applyInPandas(meet, "p bigint, q bigint")
         pairs = self.scratch.keep(met.distinct(), f"pairs-{name}")
-        small = F.broadcast if pairs.count() <= SMALL_ROWS else (lambda df: df)
-        left = usable.select(F.col("cls").alias("p"), *[F.col(c).alias(f"a_{c}") for c in ("frame", "nf", "dh", "ph", "hist")])
-        right = class_frames.where("hist is not null").select(F.col("cls").alias("q"), *[F.col(c).alias(f"b_{c}") for c in ("frame", "nf", "dh", "ph", "hist")])
-        half = right.join(small(pairs), "q")
-        full = left.join(half, "p").where(frames_match("a_", "b_"))
+        side = lambda df, key, s: df.select(F.col("cls").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("frame", "nf", "dh", "ph", "hist")])
+        # an accepted class may be stored with several batches: its frames count once
+        half = side(frames, "q", "b").join(sized(pairs, pairs.count()), "q").dropDuplicates(["p", "q", "b_frame"])
+        full = side(probes, "p", "a").join(half, "p").where(frames_match("a_", "b_"))
         counted = full.groupBy("p", "q", "a_nf", "b_nf").agg(F.count(F.lit(1)).alias("k"))
         return counted.where(2 * F.col("k") >= F.col("a_nf") * F.col("b_nf")).select(F.col("p").alias("cls")).distinct()
 
@@ -86,6 +90,11 @@ class History:
         self.spark.sql(f"drop table if exists {self.name}")
 
 
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """``df``, broadcast if its ``n`` rows are few enough."""
+    return F.broadcast(df) if n <= SMALL_ROWS else df
+
+
 def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``batch_id, entry_id`` of the entries that repeat an accepted entry of a smaller batch.
 
@@ -98,38 +107,44 @@ def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | Non
     scratch = scratch or Scratch(spark, "history")
     entries = cache.select("entry_id", "batch_id", "path", "sig", digest("md5").alias("digest")).where("batch_id is not null").distinct()
     rows = frame_rows(frames, entries.select("path").distinct())
-    classes = path_classes(rows)
-    leaders = classes.groupBy("cls").agg(F.min("path").alias("path"), F.first("nf").alias("nf"))
-    class_frames = rows.join(leaders, "path").select("cls", "frame", "nf", "dh", "ph", "hist")
-    class_frames = scratch.keep(class_frames, "all-frames")
-    per_dh = class_frames.groupBy("dh").agg(F.count(F.lit(1)).alias("df"))
-    class_frames = scratch.keep(class_frames.join(per_dh, "dh").repartition("cls"), "frames")
-    plan = plan_for(per_dh.count())
-
-    token = lambda *x: F.xxhash64(*x)
-    by_sig = F.when(F.col("path").isNotNull() & (F.col("sig") != ""), token(F.lit("s"), F.col("path"), F.col("sig")))
-    by_digest = F.when(F.col("digest").isNotNull(), token(F.lit("m"), F.col("digest")))
-    known = entries.join(classes.select("path", "cls"), "path", "left")
-    known = known.select("entry_id", "batch_id", "cls", F.array_compact(F.array(by_sig, by_digest)).alias("tokens"))
+
+    by_sig = F.when(F.col("path").isNotNull() & (F.col("sig") != ""), F.xxhash64(F.lit("s"), "path", "sig"))
+    by_digest = F.when(F.col("digest").isNotNull(), F.xxhash64(F.lit("m"), "digest"))
+    known = entries.join(path_classes(rows), "path", "left")
+    known = known.select("entry_id", "batch_id", "cls", "nf", "path", F.array_compact(F.array(by_sig, by_digest)).alias("tokens"))
     known.write.partitionBy("batch_id").parquet(scratch.path("entries"))
-    stored = spark.read.schema("entry_id bigint, cls bigint, tokens array<bigint>, batch_id int").parquet(scratch.path("entries"))
+    stored = spark.read.schema("entry_id bigint, cls bigint, nf bigint, path string, tokens array<bigint>, batch_id int").parquet(scratch.path("entries"))
+    batches = {r["batch_id"]: r["count"] for r in stored.groupBy("batch_id").count().collect()}
+
+    # the input of each batch: the usable frames of one path for each class that it brings
+    heads = stored.where("cls is not null").groupBy("batch_id", "cls", "nf").agg(F.min("path").alias("path"))
+    brought = rows.where("hist is not null").join(heads, "path").select("cls", "frame", "nf", "dh", "ph", "hist", "batch_id")
+    brought.write.partitionBy("batch_id").parquet(scratch.path("frames"))
+    brought = spark.read.schema(brought.schema).parquet(scratch.path("frames"))
+    per_dh = brought.select("dh", "cls").distinct().groupBy("dh").agg(F.count(F.lit(1)).alias("df"))
+    n_patterns, n_shared = per_dh.agg(F.count(F.lit(1)), F.count_if(F.col("df") > 1)).first()
+    df = scratch.keep(per_dh.where("df > 1"), "df")
+    plan = plan_for(n_patterns)
 
     history = History(spark, plan, scratch)
-    for batch in sorted(r["batch_id"] for r in stored.select("batch_id").distinct().collect()):
-        now = stored.where(F.col("batch_id") == batch)
+    for batch in sorted(batches):
+        now = stored.where(F.col("batch_id") == batch).select("batch_id", "entry_id", "cls", "tokens")
+        probes = brought.where(F.col("batch_id") == batch)
         if history.batches:
-            token_hits = now.select("entry_id", F.explode("tokens").alias("token")).join(history.tokens(), "token", "left_semi").select("entry_id").distinct()
-            probes = class_frames.join(now.where("cls is not null").select("cls").distinct(), "cls", "left_semi")
-            class_hits = history.similar_classes(probes, class_frames, str(batch)).withColumn("similar", F.lit(True))
+            tokens = now.select("entry_id", F.explode("tokens").alias("token"))
+            token_hits = history.tokens().join(sized(tokens, 2 * batches[batch]), "token").select("entry_id").distinct()
+            class_hits = history.similar_classes(probes, brought.where(F.col("batch_id") < batch), str(batch)).withColumn("similar", F.lit(True))
             judged = now.join(token_hits.withColumn("exact", F.lit(True)), "entry_id", "left").join(class_hits, "cls", "left")
             judged = judged.select("batch_id", "entry_id", "cls", "tokens", (F.col("exact").isNotNull() | F.col("similar").isNotNull()).alias("repeats"))
         else:
-            judged = now.select("batch_id", "entry_id", "cls", "tokens", F.lit(False).alias("repeats"))
+            judged = now.withColumn("repeats", F.lit(False))
         judged = scratch.keep(judged, f"judged-{batch}")
-        scratch.append(judged.where("repeats").select(F.col("batch_id").cast("int").alias("batch_id"), "entry_id"), "repeats")
         new = judged.where("not repeats")
-        history.accept(new.select(F.explode("tokens").alias("token")).distinct(), new.where("cls is not null").select("cls").distinct(), class_frames)
+        new_classes = sized(new.where("cls is not null").select("cls").distinct(), batches[batch])
+        new_frames = probes.select("cls", "frame", "nf", "dh").join(new_classes, "cls", "left_semi")
+        history.accept(new.select(F.explode("tokens").alias("token")).distinct(), new_frames, sized(df, n_shared))
     history.close()
-    if not history.batches:
+    if not batches:
         return spark.createDataFrame([], "batch_id int, entry_id bigint")
-    return spark.read.schema("batch_id int, entry_id bigint").parquet(scratch.path("repeats"))
+    judged = spark.read.schema("batch_id int, entry_id bigint, repeats boolean").parquet(*[scratch.path(f"judged-{b}") for b in sorted(batches)])
+    return judged.where("repeats").select("batch_id", "entry_id")
