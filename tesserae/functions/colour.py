@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import fixed
@@ -23,6 +23,21 @@ def share(weights: Column, colours: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, parts) / total(weights)
 
 
+def with_shares(df: DataFrame) -> DataFrame:
+    """``df`` with the share of each fixed colour of its palette as ``share_0``...; all 0 for an empty or missing one.
+
+    Rules that use many shares read these columns, so that each is computed once per row.
+    """
+    df = df.withColumn("palette_total", F.coalesce(total(F.col("weights")), F.lit(1.0)))
+    one = lambda c: F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)) / F.col("palette_total")
+    return df.withColumns({f"share_{i}": one(c) for i, c in enumerate(fixed.COLOURS)})
+
+
+def shared(*colours: str) -> Column:
+    """The summed share of some colours, from the columns of `with_shares`."""
+    return reduce(lambda a, b: a + b, [F.col(f"share_{fixed.COLOURS.index(c)}") for c in colours])
+
+
 def normalised(weights: Column) -> Column:
     t = total(weights)
     return F.transform_values(weights, lambda _, v: v / t)

@@ -44,7 +44,7 @@ def content_phrases(columns: Iterable[str]) -> Column:
 def mood_phrase(columns: Iterable[str]) -> Column:
     """The mood of palette and style; null for an empty palette or no mood."""
     v, w = _values(columns), F.col("weights")
-    s = lambda *c: C.share(w, c)
+    s = C.shared
     warm, cool = s("Orange", "Yellow", "Red", "Pink-Magenta"), s("Blue", "Teal-Cyan", "Purple")
     light, dark = s("White", "Yellow"), s("Black", "Blue", "Purple")
     mood = (
@@ -74,7 +74,7 @@ def orientation_phrase(w: Column, h: Column) -> Column:
 
 
 def prompt(columns: Iterable[str], style: str = "concise") -> Column:
-    """A description of the row's profile: concise, detailed or vivid."""
+    """A description of the row's profile: concise, detailed or vivid; reads the columns of `colour.with_shares`."""
     columns = list(columns)
     palette, content, mood = palette_phrase(F.col("weights")), content_phrases(columns), mood_phrase(columns)
     short, sized = style_phrase(columns), orientation_phrase(F.col("width"), F.col("height"))
@@ -150,4 +150,4 @@ def mean_profiles(profiles: DataFrame, members: DataFrame, scores: Iterable[str]
 
 def category_prompt(means: DataFrame, style: str = "concise") -> DataFrame:
     """``category, prompt`` of mean profiles, led by the category's name."""
-    return means.select("category", F.concat(F.translate("category", "_", " "), F.lit(" style: "), prompt(means.columns, style)).alias("prompt"))
+    return C.with_shares(means).select("category", F.concat(F.translate("category", "_", " "), F.lit(" style: "), prompt(means.columns, style)).alias("prompt"))

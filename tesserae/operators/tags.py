@@ -70,7 +70,7 @@ def merged_sources(*sources: Column, most: int) -> Column:
 def raw_tags(columns: Iterable[str]) -> Column:
     """All tags that the rules give for a profile, in rule order, with repeats.
 
-    A missing column or null value takes the default that each rule states: 0 for
+    Reads the columns of `colour.with_shares`.  A missing column or null value takes the default that each rule states: 0 for
     most, 256 colours, 0.5 for centredness and the subject's area.
     """
     have = set(columns)
@@ -79,7 +79,7 @@ def raw_tags(columns: Iterable[str]) -> Column:
         return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in have else F.lit(default)
 
     w = F.col("weights")
-    share = lambda *c: C.share(w, c)
+    share = C.shared
     painted = F.coalesce(F.size(w), F.lit(0)) > 0
     rules: list[tuple[Column, tuple[str, ...]]] = [(v(key) >= threshold, (tag,)) for key, tag, threshold in fixed.STYLE_RULES]
     rules += [
@@ -97,7 +97,7 @@ def raw_tags(columns: Iterable[str]) -> Column:
     out += [F.when(painted & (share(c) >= 0.25), F.lit(tag)) for c, tag in fixed.COLOUR_TAGS.items()]
     neutral, warm, cool = share("Black", "White", "Gray"), share("Orange", "Yellow", "Red", "Pink-Magenta"), share("Blue", "Teal-Cyan", "Purple")
     vivid = share("Red", "Orange", "Yellow", "Green", "Teal-Cyan", "Blue", "Purple", "Pink-Magenta")
-    broad = F.size(F.filter(F.map_values(w), lambda x: x / C.total(w) > 0.10))
+    broad = F.size(F.filter(F.map_values(w), lambda x: x / F.col("palette_total") > 0.10))
     palette: list[tuple[Column, tuple[str, ...]]] = [
         (neutral > 0.78, ("grayscale", "monochrome", "black-and-white")),
         (neutral > 0.88, ("minimalist",)),
@@ -130,7 +130,9 @@ def raw_tags(columns: Iterable[str]) -> Column:
 
 def suggested_tags(profiles: DataFrame, most: int = 20) -> DataFrame:
     """``path, tags``: the rule tags of each profile after exclusion, in order."""
-    return profiles.select("path", without_excluded(raw_tags(profiles.columns), most).alias("tags"))
+    p = C.with_shares(profiles)
+    raw = p.select("path", raw_tags(profiles.columns).alias("raw"))
+    return raw.select("path", without_excluded(F.col("raw"), most).alias("tags"))
 
 
 def expanded_tags(tags: DataFrame, most: int = 5, least_weight: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ from tesserae.queries import media as _media  # noqa: F401
 from tesserae.queries import palettes as _palettes  # noqa: F401
 from tesserae.queries import tags as _tags  # noqa: F401
 from tesserae.queries import prompts as _prompts  # noqa: F401
+from tesserae.queries import scoring as _scoring  # noqa: F401
 from tesserae.queries.registry import QUERIES, SQL
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import colour as C
 from tesserae.functions import fixed
 from tesserae.functions import text as T
 from tesserae.operators import prompts as P
@@ -41,7 +42,7 @@ VIVID = "concat_ws(', ', pal, sty, mood, CASE WHEN len(con) > 0 THEN array_to_st
 
 @query(f"WITH {PH} SELECT path, {CONCISE} AS concise, {DETAILED} AS detailed, {VIVID} AS vivid FROM ph")
 def generate_prompt(spark: SparkSession, d: str) -> DataFrame:
-    p = profiles(spark, d)
+    p = C.with_shares(profiles(spark, d))
     return p.select("path", *[P.prompt(p.columns, s).alias(s) for s in ("concise", "detailed", "vivid")])
 
 
@@ -63,7 +64,7 @@ TEXTS = f"{PH}, gen AS (SELECT DISTINCT {CONCISE} AS text FROM ph)"
 
 @query(f"WITH {TEXTS}, {COS('gen')} SELECT text, category, round(score, 6) AS score FROM cs")
 def prompt_cosine(spark: SparkSession, d: str) -> DataFrame:
-    p = profiles(spark, d)
+    p = C.with_shares(profiles(spark, d))
     return P.prompt_cosine(p.select(P.prompt(p.columns).alias("text")), cats(spark, d)).withColumn("score", F.round("score", 6))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import colour as C
 from tesserae.functions import fixed
 from tesserae.functions import text as T
 from tesserae.operators import tags as G
@@ -152,7 +153,7 @@ def new_tag_suggestions(spark: SparkSession, d: str) -> DataFrame:
     p = profiles(spark, d)
     vocabulary = sorted({t for _, t, _ in fixed.STYLE_RULES} | {t for _, t in RULES} | {"pixel-art", "centered", "symmetrical", "minimalist", "pattern", "abstract", "tile"})
     known = G.category_tags(cats(spark, d)).where(F.col("tag").isin(*vocabulary)).agg(F.collect_set("tag").alias("known"))
-    raw = p.select("path", G.raw_tags(p.columns).alias("tags")).crossJoin(F.broadcast(known))
+    raw = C.with_shares(p).select("path", G.raw_tags(p.columns).alias("tags")).crossJoin(F.broadcast(known))
     return raw.select("path", F.array_join(F.slice(F.filter("tags", lambda t: ~F.array_contains(F.col("known"), t)), 1, 10), "|").alias("tags"))
 
 
