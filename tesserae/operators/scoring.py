@@ -20,6 +20,7 @@ from tesserae.functions import fixed
 from tesserae.functions.media import ramp, size_signal
 from tesserae.functions.text import clean_tags
 from tesserae.operators import prompts, stats, tags
+from tesserae.session import spread
 
 SIGNALS = tuple(fixed.SIGNAL_WEIGHTS)
 FINGERPRINT = (
@@ -159,7 +160,7 @@ def classified(profiles: DataFrame, categories: DataFrame, category_stats: DataF
         return spark.createDataFrame([], "path string, category string, score double, confidence double")
     place = spark.createDataFrame([(k, len(order) - i) for i, k in enumerate(order)], "category string, place bigint")
     cats = F.broadcast(cats.join(F.broadcast(place), "category"))
-    rows = scratch.keep(profile_rows(profiles, categories), "profiles")
+    rows = spread(scratch.keep(profile_rows(profiles, categories), "profiles"), "path")
     # score and name in one number: 9 decimals of the score, then the place of the name
     base = len(order) + 1
     packed = (F.round(F.col("s") * 1e9).cast("bigint") * base + F.col("place")).alias("packed")

@@ -53,6 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in the session's number of shuffle partitions, by ``columns``.
+
+    For rows that are few or narrow but cost much: adaptive execution would put
+    them into one task by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 class Scratch:
     """A folder of intermediate tables, one per run of an operator."""
 
