@@ -22,6 +22,8 @@ from tesserae.functions.text import clean_tags
 from tesserae.operators import prompts, stats, tags
 from tesserae.session import spread
 
+#: Parts of the categories whose best score is kept per path.
+PARTS = 20
 SIGNALS = tuple(fixed.SIGNAL_WEIGHTS)
 FINGERPRINT = (
     "vw_score", "neon_score", "pastel_score", "nature_score", "anime_score", "space_score", "skin_fraction", "sharpness", "aesthetic", "minimalist_score",
@@ -58,7 +60,7 @@ def category_rows(categories: DataFrame, category_stats: DataFrame) -> DataFrame
     for t in fixed.THEMES:
         rule = F.lower("category").contains(t)
         theme = F.when(rule, t) if theme is None else theme.when(rule, t)
-    return c.select("category", (F.size("ctags") > 0).alias("tagged"), painted.alias("painted"), C.norm(F.col("palette")).alias("cnorm"), theme.alias("theme"), F.lower("category").isin(*FLAGS["adult"]).alias("adult_name"), *flags, *styles, *palette, *[f"fp_{f}" for f in FINGERPRINT])
+    return c.select("category", (F.size("ctags") > 0).alias("tagged"), painted.alias("painted"), C.norm(F.col("palette")).alias("cnorm"), theme.alias("theme"), F.lower("category").isin(*FLAGS["adult"]).alias("adult_name"), *flags, *styles, *palette, *[F.coalesce(f"fp_{k}_{f}", F.lit(0.0)).alias(f"fp_{k}_{f}") for f in FINGERPRINT for k in "mrwgdu"])
 
 
 def profile_rows(profiles: DataFrame, categories: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def profile_rows(profiles: DataFrame, categories: DataFrame) -> DataFrame:
         "path", pw.alias("pw"), (C.norm(F.col("weights")) / F.col("palette_total")).alias("pnorm"), *shares, *style, *bonus, *[v(n).alias(f"v_{n}") for n in names],
         v("subject_area_ratio", 0.5).alias("subject"), size_signal(F.col("width"), F.col("height")).alias("shape"), F.map_filter("clip_scores", lambda _, x: x.isNotNull()).alias("clip"),
         *[F.when(pw, C.theme_score(F.col("weights"), t)).otherwise(0.0).alias(f"th_{t}") for t in fixed.THEMES],
-        *FINGERPRINT, prompts.prompt(profiles.columns).alias("text"),
+        *stats.fingerprint_values(FINGERPRINT), prompts.prompt(profiles.columns).alias("text"),
     )
     tag = tags.tag_signal(tags.suggested_tags(profiles), categories)
     tag = tag.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("category", "value"))).alias("tag_map"))
@@ -123,7 +125,7 @@ def signal_columns() -> dict[str, Column]:
         theme = F.when(c("theme") == t, c(f"th_{t}")).otherwise(theme)
     base = stats.fingerprint_score(FINGERPRINT)
     both = c("pw") & c("painted") & (c("pnorm") > 0) & (c("cnorm") > 0)
-    finger = F.greatest(zero, cut(F.when(both, 0.7 * base + 0.3 * product / (c("pnorm") * c("cnorm"))).otherwise(base)))
+    finger = F.greatest(zero, cut(base * F.when(both, 0.7).otherwise(1.0) + F.when(both, 0.3 * product / (c("pnorm") * c("cnorm"))).otherwise(zero)))
     look = lambda m: F.coalesce(F.try_element_at(m, c("category")), zero)
     return {
         "tags": look(c("tag_map")),
@@ -159,16 +161,23 @@ def classified(profiles: DataFrame, categories: DataFrame, category_stats: DataF
     if not order:
         return spark.createDataFrame([], "path string, category string, score double, confidence double")
     place = spark.createDataFrame([(k, len(order) - i) for i, k in enumerate(order)], "category string, place bigint")
-    cats = F.broadcast(cats.join(F.broadcast(place), "category"))
+    cats = F.broadcast(cats.join(F.broadcast(place), "category").withColumn("part", F.col("place") % PARTS))
     rows = spread(scratch.keep(profile_rows(profiles, categories), "profiles"), "path")
     # score and name in one number: 9 decimals of the score, then the place of the name
     base = len(order) + 1
     packed = (F.round(F.col("s") * 1e9).cast("bigint") * base + F.col("place")).alias("packed")
-    scored = rows.crossJoin(cats).select("path", combined(signal_columns()).alias("s"), "place").select("path", "s", packed)
-    first = scored.groupBy("path").agg(F.max("packed").alias("first"), F.sum("s").alias("s1"), F.sum(F.pow("s", F.lit(0.6))).alias("s06"), F.sum(F.pow("s", F.lit(1.4))).alias("s14"))
-    first = scratch.keep(first, "first")
-    again = rows.join(first.select("path", "first"), "path").crossJoin(cats).select("path", "first", combined(signal_columns()).alias("s"), "place").select("path", "first", packed)
-    second = again.where("packed < first").groupBy("path").agg(F.max("packed").alias("second"))
+    score = combined(signal_columns())
+    scored = rows.crossJoin(cats).select("path", score.alias("s"), "place", "part").select("path", "part", "s", packed)
+    parts = scored.groupBy("path", "part").agg(F.max("packed").alias("m"), F.sum("s").alias("s1"), F.sum(F.pow("s", F.lit(0.6))).alias("s06"), F.sum(F.pow("s", F.lit(1.4))).alias("s14"))
+    parts = scratch.keep(parts, "parts")
+    first = parts.groupBy("path").agg(F.max("m").alias("first"), *[F.sum(c).alias(c) for c in ("s1", "s06", "s14")])
+    first = scratch.keep(first.withColumn("part", (F.col("first") % base) % PARTS), "first")
+    # the second best is the best of another part, or in the same part: only that one is scored again
+    others = parts.join(first.select("path", "first"), "path").where("m < first").select("path", "m")
+    again = rows.join(first.select("path", "first", "part"), "path").join(cats, "part").select("path", "first", score.alias("s"), "place").select("path", "first", packed)
+    # a condition inside the aggregate: as a filter it would be pushed down and the score computed twice
+    again = again.groupBy("path").agg(F.max(F.when(F.col("packed") < F.col("first"), F.col("packed"))).alias("m"))
+    second = others.unionByName(again).groupBy("path").agg(F.max("m").alias("second"))
     value = lambda c: F.floor(F.col(c) / base) / 1e9
     out = first.join(second, "path", "left").select("path", value("first").alias("a"), value("second").alias("b"), (F.col("first") % base).alias("place"), "s1", "s06", "s14")
     total = F.when(F.col("s1") == 0, 1e-9).otherwise(F.col("s1"))
@@ -178,10 +187,15 @@ def classified(profiles: DataFrame, categories: DataFrame, category_stats: DataF
     return out.join(F.broadcast(place), "place").select("path", "category", F.round("a", 6).alias("score"), F.round(confidence, 3).alias("confidence"))
 
 
-def explained(decided: DataFrame, profiles: DataFrame, categories: DataFrame, category_stats: DataFrame, most: int = 3) -> DataFrame:
-    """``path, category, reasons``: the strongest weighted signals of the decision as 'name=value' with two decimals."""
+def decided_rows(decided: DataFrame, profiles: DataFrame, categories: DataFrame, category_stats: DataFrame, scratch) -> DataFrame:
+    """The scoring rows of each path with its decided category."""
+    rows = scratch.keep(profile_rows(profiles, categories), "decided-profiles").join(decided.select("path", "category"), "path")
+    return rows.join(scratch.keep(category_rows(categories, category_stats), "decided-categories"), "category")
+
+
+def explained(rows: DataFrame, most: int = 3) -> DataFrame:
+    """``path, category, reasons``: the strongest weighted signals of each decision (`decided_rows`) as 'name=value' with two decimals."""
     signals = signal_columns()
-    rows = profile_rows(profiles, categories).join(decided.select("path", "category"), "path").join(F.broadcast(category_rows(categories, category_stats)), "category")
     ranked = F.array_sort(F.array(*[F.struct((-F.round(signals[k] * w, 9)).alias("v"), F.lit(k).alias("k")) for k, w in fixed.SIGNAL_WEIGHTS.items()]))
     kept = F.slice(F.filter(ranked, lambda x: -x["v"] >= 0.05), 1, most)
     return rows.select("path", "category", F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit("="), F.format_number(-x["v"], 2))), ", ").alias("reasons"))

@@ -54,37 +54,48 @@ def shrunk(std: Column, within: Column, samples: Column) -> Column:
 
 
 def fingerprints(stats: DataFrame, features: Iterable[str]) -> DataFrame:
-    """One row per category with, per feature, what scoring needs: struct (m, s, w, gm, gd, up), null where missing."""
+    """One row per category with what scoring needs of each feature, as plain numbers without nulls.
+
+    ``m`` mean, ``r`` 1 / (3 deviations), ``w`` weight (0 for a missing feature), ``g``
+    global mean, ``d`` 0.35 / global spread, ``u`` side of the global mean (0 if near).
+    """
     g = global_stats(stats).select("feature", F.col("mean").alias("gm"), F.col("std").alias("gs"), "within_std")
     base = F.lit(1.0)
     for name, weight in fixed.FEATURE_WEIGHTS.items():
         base = F.when(F.col("feature") == name, weight).otherwise(base)
     away = F.col("mean") - F.col("gm")
     unique = F.when(F.col("gs") > 0.001, F.least(F.greatest(F.lit(0.4), 0.4 + F.abs(away) / F.col("gs") * 0.6), F.lit(2.5))).otherwise(1.0)
-    x = F.struct(
-        F.col("mean").alias("m"),
-        (3.0 * shrunk(F.col("std"), F.col("within_std"), F.col("samples"))).alias("s"),
-        (base * unique).alias("w"),
-        F.col("gm"),
-        F.greatest("gs", F.lit(0.01)).alias("gd"),
-        F.when(F.abs(away) > 0.01, F.signum(away)).otherwise(0.0).alias("up"),
-    )
-    rows = stats.join(F.broadcast(g), "feature").select("category", "feature", x.alias("x"))
-    return rows.groupBy("category").agg(*[F.first(F.when(F.col("feature") == f, F.col("x")), True).alias(f"fp_{f}") for f in features])
+    parts = {
+        "m": F.col("mean"),
+        "r": 1.0 / (3.0 * shrunk(F.col("std"), F.col("within_std"), F.col("samples"))),
+        "w": base * unique,
+        "g": F.col("gm"),
+        "d": 0.35 / F.greatest("gs", F.lit(0.01)),
+        "u": F.when(F.abs(away) > 0.01, F.signum(away)).otherwise(0.0),
+    }
+    rows = stats.join(F.broadcast(g), "feature").select("category", "feature", *[x.alias(k) for k, x in parts.items()])
+    pick = lambda f, k: F.coalesce(F.max(F.when(F.col("feature") == f, F.col(k))), F.lit(0.0)).alias(f"fp_{k}_{f}")
+    return rows.groupBy("category").agg(*[pick(f, k) for f in features for k in parts])
 
 
 def fingerprint_score(features: Iterable[str]) -> Column:
-    """The weighted similarity of a row's features with its fingerprint columns; null where none can be compared."""
+    """The weighted similarity of the values ``fv_*`` (present: ``fh_*`` is 1, else 0) with the fingerprint columns; null where none can be compared."""
     top, weight = F.lit(0.0), F.lit(0.0)
     for f in features:
-        v, x = F.col(f), F.col(f"fp_{f}")
-        off = v - x["gm"]
-        against = (x["up"] * off < 0) & (F.abs(off) > 0.01)
-        direction = F.when(against, F.greatest(F.lit(0.25), 1.0 - 0.35 * F.least(F.abs(off) / x["gd"], F.lit(2.0)))).otherwise(1.0)
-        there = v.isNotNull() & x.isNotNull()
-        top = top + F.when(there, F.greatest(F.lit(0.0), 1.0 - F.abs(v - x["m"]) / x["s"]) * direction * x["w"]).otherwise(0.0)
-        weight = weight + F.when(there, x["w"]).otherwise(0.0)
-    return F.when(weight > 0, top / weight)
+        x = lambda k: F.col(f"fp_{k}_{f}")  # noqa: B023, E731
+        v, w = F.col(f"fv_{f}"), x("w") * F.col(f"fh_{f}")
+        off = v - x("g")
+        against = (x("u") * off < 0) & (F.abs(off) > 0.01)
+        direction = F.when(against, F.greatest(F.lit(0.25), 1.0 - F.least(F.abs(off) * x("d"), F.lit(0.7)))).otherwise(1.0)
+        top = top + F.greatest(F.lit(0.0), 1.0 - F.abs(v - x("m")) * x("r")) * direction * w
+        weight = weight + w
+    return F.try_divide(top, weight)
+
+
+def fingerprint_values(features: Iterable[str]) -> list[Column]:
+    """The columns ``fv_*`` and ``fh_*`` of a profile."""
+    there = lambda f: F.col(f).isNotNull() & ~F.isnan(f)
+    return [F.when(there(f), F.col(f)).otherwise(0.0).alias(f"fv_{f}") for f in features] + [F.when(there(f), 1.0).otherwise(0.0).alias(f"fh_{f}") for f in features]
 
 
 def majority(members: DataFrame, value: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tesserae.queries.palettes import palette_fallback
 from tesserae.queries.prompts import CONCISE, COS, P2, phrase_sql
 from tesserae.queries.registry import names, query, values
 from tesserae.queries.tags import EXCL, HAVE, KEPT, RAW, SH, TAG_SIGNAL, cats, v
-from tesserae.session import Scratch, table
+from tesserae.session import Scratch, spread, table
 
 FEATURES = S.FINGERPRINT
 MEMBERS = "k AS (SELECT DISTINCT path, category FROM classified WHERE category IS NOT NULL)"
@@ -62,14 +62,13 @@ FP = f"""{GLOBAL}, bw(feature, bw) AS (VALUES {values(fixed.FEATURE_WEIGHTS.item
 @query(f"WITH {P2}, {LONGF}, {FP} SELECT path, category, round(value, 6) AS value FROM fpv QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(value, 9) DESC, category) <= 3")
 def fingerprint_score(spark: SparkSession, d: str) -> DataFrame:
     """The three categories whose fingerprint a profile resembles most."""
-    rows = S.profile_rows(profiles(spark, d), cats(spark, d)).join(profiles(spark, d).select("path"), "path")
-    c = S.category_rows(cats(spark, d), category_stats(spark, d)).where(" or ".join(f"fp_{f} is not null" for f in FEATURES))
-    scored = rows.where(" or ".join(f"{f} is not null" for f in FEATURES)).crossJoin(F.broadcast(c)).select("path", "category", S.signal_columns()["fingerprint"].alias("value"))
-    w = Window.partitionBy("path").orderBy(F.desc(F.round("value", 9)), "category")
-    return scored.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("path", "category", F.round("value", 6).alias("value"))
-
-
-_cat_tags = "list_contains(ctags, '{}')"
+    scratch = Scratch(spark, "fingerprint")
+    rows = spread(scratch.keep(S.profile_rows(profiles(spark, d), cats(spark, d)), "profiles"), "path")
+    c = scratch.keep(S.category_rows(cats(spark, d), category_stats(spark, d)), "categories")
+    value = F.when(sum((F.col(f"fp_w_{f}") * F.col(f"fh_{f}") for f in FEATURES), F.lit(0.0)) > 0, S.signal_columns()["fingerprint"])
+    scored = rows.crossJoin(F.broadcast(c)).select("path", "category", value.alias("value"))
+    w = Window.partitionBy("path").orderBy(F.desc_nulls_last(F.round("value", 9)), "category")
+    return scored.withColumn("rn", F.row_number().over(w)).where("rn <= 3 and value is not null").select("path", "category", F.round("value", 6).alias("value"))
 
 
 def any_tag(*ts: str) -> str:
@@ -118,9 +117,8 @@ def classify_confidence(spark: SparkSession, d: str) -> DataFrame:
 def combine_signals(spark: SparkSession, d: str) -> DataFrame:
     """All signals of the decided category of each profile."""
     scratch = Scratch(spark, "signals")
-    decided = S.classified(profiles(spark, d), cats(spark, d), category_stats(spark, d), scratch)
-    signals = S.signal_columns()
-    rows = S.profile_rows(profiles(spark, d), cats(spark, d)).join(decided.select("path", "category"), "path").join(F.broadcast(S.category_rows(cats(spark, d), category_stats(spark, d))), "category")
+    p, c, s = profiles(spark, d), cats(spark, d), category_stats(spark, d)
+    rows, signals = S.decided_rows(S.classified(p, c, s, scratch), p, c, s, scratch), S.signal_columns()
     return rows.select("path", "category", *[F.round(signals[k], 8).alias(k) for k in ("tags", "palette", "style", "content", "quality", "pattern", "size", "prompt", "clip", "fingerprint")])
 
 
@@ -128,7 +126,7 @@ def combine_signals(spark: SparkSession, d: str) -> DataFrame:
 def explain_topn(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "explain")
     p, c, s = profiles(spark, d), cats(spark, d), category_stats(spark, d)
-    return S.explained(S.classified(p, c, s, scratch), p, c, s)
+    return S.explained(S.decided_rows(S.classified(p, c, s, scratch), p, c, s, scratch))
 
 
 @query(f"""WITH RECURSIVE {RAW}, {KEPT.format(excl=EXCL, most=24)}, {P2.replace('p AS', 'pz AS', 1).replace('p1 AS', 'p9 AS')}, ct AS (SELECT DISTINCT category, lower(trim(t)) AS tag FROM (SELECT category, unnest(tags) AS t FROM categories) WHERE trim(t) <> ''), nn AS (SELECT count(*) AS n FROM categories),
