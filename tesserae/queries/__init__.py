@@ -7,6 +7,7 @@ from tesserae.queries import tags as _tags  # noqa: F401
 from tesserae.queries import prompts as _prompts  # noqa: F401
 from tesserae.queries import scoring as _scoring  # noqa: F401
 from tesserae.queries import renames as _renames  # noqa: F401
+from tesserae.queries import vectors as _vectors  # noqa: F401
 from tesserae.queries.registry import QUERIES, SQL
 
 

@@ -55,7 +55,7 @@ FP = f"""{GLOBAL}, bw(feature, bw) AS (VALUES {values(fixed.FEATURE_WEIGHTS.item
   wsh AS (SELECT path, e.key AS colour, e.value / tot AS share FROM (SELECT path, tot, unnest(map_entries(weights)) AS e FROM p1 WHERE painted)), wno AS (SELECT path, sqrt(sum(share * share)) AS pn FROM wsh GROUP BY path),
   cpl AS (SELECT category, e.key AS colour, e.value AS cw FROM (SELECT category, unnest(map_entries(palette)) AS e FROM categories)), cno AS (SELECT category, sqrt(sum(cw * cw)) AS cn FROM cpl GROUP BY category),
   dots AS (SELECT path, category, sum(share * cw) AS dot FROM wsh JOIN cpl USING (colour) GROUP BY ALL),
-  fpv AS (SELECT f.path, f.category, greatest(0, least(1, CASE WHEN pn > 0 AND cn > 0 THEN 0.7 * base + 0.3 * coalesce(dot, 0) / (pn * cn) ELSE base END)) AS value
+  fpv AS MATERIALIZED (SELECT f.path, f.category, greatest(0, least(1, CASE WHEN pn > 0 AND cn > 0 THEN 0.7 * base + 0.3 * coalesce(dot, 0) / (pn * cn) ELSE base END)) AS value
     FROM fp0 f LEFT JOIN wno ON wno.path = f.path LEFT JOIN cno ON cno.category = f.category LEFT JOIN dots ON dots.path = f.path AND dots.category = f.category)"""
 
 
