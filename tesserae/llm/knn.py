@@ -138,15 +138,15 @@ def near_classes(classes: DataFrame, k: int, n: int, scratch: Scratch, confidenc
             i, j = np.nonzero(cos >= bound[a : a + 1024, None] - SLACK)
             keep = cos[i, j] > -2.5
             i, j = i[keep], j[keep]
-            rows = {"leaf": -1, "cid": cid[a + i], "vec": [None] * len(i), "bound": 0.0, "other": cid[j], "cos": np.round(cos[i, j], DECIMALS)}
+            rows = {"leaf": -1, "cid": cid[a + i], "vec": pd.Series([None] * len(i), dtype=object), "bound": 0.0, "other": cid[j], "cos": np.round(cos[i, j], DECIMALS)}
             found.append(pd.DataFrame(rows))
         radius2 = np.maximum(2 - 2 * bound + 4 * SLACK, 0.0) * reach
         visits = []
         for leaf, at in tree.within(x @ projection, radius2):
             if leaf != own:
-                rows = {"leaf": leaf, "cid": cid[at], "vec": members["vec"].iloc[at].tolist(), "bound": bound[at], "other": 0, "cos": 0.0}
+                rows = {"leaf": leaf, "cid": cid[at], "vec": pd.Series(members["vec"].iloc[at].tolist(), dtype=object), "bound": bound[at], "other": 0, "cos": 0.0}
                 visits.append(pd.DataFrame(rows))
-        return pd.concat([*found, *visits], ignore_index=True)
+        return pd.concat([*found, *visits], ignore_index=True).astype({"vec": object})
 
     first_round = scratch.keep(placed.groupBy("leaf").applyInPandas(inside, columns), "round-1")
 

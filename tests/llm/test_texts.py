@@ -101,7 +101,7 @@ def test_completion_finds_the_best_filling():
 
 SAME = [
     ("café", "caf\xe9"), ("ﬁne", "fine"), ("ｆｕｌｌ １", "full 1"), ("а​b", "ab"), ("a\xa0b", "a b"), ("x‑y", "x-y"), ("wait…", "wait..."), ("が", "が"), ("so\xadft", "soft"), ("Ρath", "Path"), ("ё", "ë"),
-    ("q̣̇", "q̣̇"), ("사", "사"), ("ﾊﾟ", "パ"), ("ᾁ", "ᾀ"), ("á̖", "á̖"),
+    ("q̣̇", "q̣̇"), ("사", "사"), ("ﾊﾟ", "パ"), ("\u1f80", "\u03b1\u0313\u0345"), ("á̖", "á̖"),
 ]
 DIFFERENT = [("m2", "m\xb2"), ("O", "0"), ("l", "1"), ("A", "a"), ("e", "\xe9"), ("ab", "a b"), ("a\tb", "a b"), ("a  b", "a b"), ("👩‍🎨", "👩🎨"), ("👍", "👍\U0001f3fd"), ("①", "1"), ("ı", "i")]
 
