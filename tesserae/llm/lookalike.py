@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.words import distinct_words, join_words
-from tesserae.session import Scratch
+from tesserae.session import Scratch, spread
 
 # Letters of Cyrillic, Greek and Armenian with the shape of a Latin letter, and that letter.
 SAME_SHAPE = {
@@ -51,6 +51,8 @@ def _sequence(c: str) -> str:
         return "-"
     if c in SAME_SHAPE:
         return SAME_SHAPE[c]
+    if "\uac00" <= c <= "\ud7a3":  # syllables decompose by rule, not by table
+        return unicodedata.normalize("NFD", c)
     tag, _, rest = unicodedata.decomposition(c).rpartition("> ")
     if not rest:
         return c
@@ -63,7 +65,7 @@ def _sequence(c: str) -> str:
 def look_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decompositions and look-alikes (``c, seq``), combining classes (``ch, ccc``), compositions (``pair, whole``).
 
-    All come from the Unicode tables of Python by rule; together under 20,000 short rows, whatever the corpus.
+    All come from the Unicode tables of Python by rule; together under 30,000 short rows, whatever the corpus.
     """
     points = [chr(k) for k in range(0x80, 0x30000) if unicodedata.category(chr(k)) not in ("Cn", "Co", "Cs")]
     mapped = [(c, s) for c in points if (s := _sequence(c)) != c]
@@ -93,18 +95,20 @@ def _without_invisible(text: Column) -> Column:
 def rebuild_words(words: DataFrame) -> DataFrame:
     """``word, n, out``: the form of each word."""
     mapped, classes, whole = look_tables(words.sparkSession)
-    points = words.select("word", "n", F.posexplode_outer(F.split(_without_invisible(F.col("word")), "")).alias("i", "c"))
+    # by a hash of the word: a repartition by the word itself would be merged with the aggregation below it, whose few bytes end up in one task
+    words = spread(words.withColumn("wid", F.xxhash64("word")), "wid")
+    points = words.select("wid", "word", "n", F.posexplode_outer(F.split(_without_invisible(F.col("word")), "")).alias("i", "c"))
     points = points.join(F.broadcast(mapped), "c", "left")
-    points = points.select("word", "n", "i", F.posexplode_outer(F.split(F.coalesce("seq", "c"), "")).alias("j", "ch"))
+    points = points.select("wid", "word", "n", "i", F.posexplode_outer(F.split(F.coalesce("seq", "c"), "")).alias("j", "ch"))
     points = points.join(F.broadcast(classes), "ch", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
-    per_word = points.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("i", "j", "ch", "ccc"))).alias("cs"))
+    per_word = points.groupBy("wid", "word", "n").agg(F.array_sort(F.collect_list(F.struct("i", "j", "ch", "ccc"))).alias("cs"))
     # a run is a base with the marks that follow it; most words have no mark
     marked = F.exists("cs", lambda x: x["ccc"] > 0)
     plain = per_word.where(~marked).select("word", "n", F.array_join(F.transform("cs", lambda x: x["ch"]), "").alias("out"))
     runs = _runs(per_word.where(marked))
-    runs = runs.groupBy("word", "n", "run").agg(F.array_sort(F.collect_list(F.struct("ccc", "k", "ch"))).alias("m"))
+    runs = runs.groupBy("wid", "word", "n", "run").agg(F.array_sort(F.collect_list(F.struct("ccc", "k", "ch"))).alias("m"))
     # canonical order is by class, then by position; the base has class 0
-    state = runs.select("word", "n", "run", "m", F.col("m")[0]["ch"].alias("base"), F.lit("").alias("kept"), F.lit(0).alias("last"))
+    state = runs.select("wid", "word", "n", "run", "m", F.col("m")[0]["ch"].alias("base"), F.lit("").alias("kept"), F.lit(0).alias("last"))
     for t in (1, 2, 3):
         mark = F.get("m", F.lit(t))
         state = state.withColumn("mark", mark["ch"]).withColumn("mc", mark["ccc"])
@@ -112,21 +116,21 @@ def rebuild_words(words: DataFrame) -> DataFrame:
         state = state.join(F.broadcast(whole), "pair", "left")
         hit = F.col("whole").isNotNull()
         state = state.select(
-            "word", "n", "run", "m",
+            "wid", "word", "n", "run", "m",
             F.coalesce("whole", "base").alias("base"),
             F.when(hit | F.col("mark").isNull(), F.col("kept")).otherwise(F.concat("kept", "mark")).alias("kept"),
             F.when(hit | F.col("mark").isNull(), F.col("last")).otherwise(F.col("mc")).alias("last"),
         )
     rest = F.array_join(F.transform(F.slice("m", 5, 1 << 30), lambda x: x["ch"]), "")
-    done = state.select("word", "n", "run", F.concat("base", "kept", rest).alias("s"))
-    done = done.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("run", "s"))).alias("rs"))
+    done = state.select("wid", "word", "n", "run", F.concat("base", "kept", rest).alias("s"))
+    done = done.groupBy("wid", "word", "n").agg(F.array_sort(F.collect_list(F.struct("run", "s"))).alias("rs"))
     return plain.unionByName(done.select("word", "n", F.array_join(F.transform("rs", lambda x: x["s"]), "").alias("out")))
 
 
 def _runs(per_word: DataFrame) -> DataFrame:
-    """``word, n, run, k, ch, ccc``: each code point with the number of the base it belongs to."""
-    at = per_word.select("word", "n", F.posexplode("cs").alias("k", "x")).select("word", "n", "k", F.col("x.ch").alias("ch"), F.col("x.ccc").alias("ccc"))
-    return at.withColumn("run", F.sum((F.col("ccc") == 0).cast("int")).over(Window.partitionBy("word").orderBy("k")))
+    """``wid, word, n, run, k, ch, ccc``: each code point with the number of the base it belongs to."""
+    at = per_word.select("wid", "word", "n", F.posexplode("cs").alias("k", "x")).select("wid", "word", "n", "k", F.col("x.ch").alias("ch"), F.col("x.ccc").alias("ccc"))
+    return at.withColumn("run", F.sum((F.col("ccc") == 0).cast("int")).over(Window.partitionBy("wid", "word").orderBy("k")))
 
 
 def look_forms(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
