@@ -42,6 +42,8 @@ class Plan(NamedTuple):
 def plan_for(n: int, max_bits: int = 8, bits: int = 64) -> Plan:
     """Three blocks of radius 1 up to about 30 million patterns, two blocks of radius 2 beyond (for 8 bits)."""
     count = max(1, -(-max_bits // 3)) if n <= 30_000_000 else max(1, -(-max_bits // 5))
+    # listed values are packed with row numbers into 64 bits, so a block has 32 bits at most
+    count = max(count, -(-bits // 32))
     while (max_bits // count) > 4:
         count += 1
     per_block = max_bits // count
