@@ -9,7 +9,7 @@ from tesserae.functions import colour as C
 from tesserae.functions import fixed
 from tesserae.queries.media import P_SQL, profiles
 from tesserae.queries.registry import names, query, values
-from tesserae.session import table
+from tesserae.session import spread, table
 
 #: Long palettes: one row per path and colour with the share.
 LONG = f"""{P_SQL}, t AS (SELECT path, weights, CASE WHEN list_sum(map_values(weights)) = 0 THEN 1 ELSE list_sum(map_values(weights)) END AS total FROM p WHERE cardinality(weights) > 0),
@@ -35,9 +35,13 @@ def palette_share(spark: SparkSession, d: str) -> DataFrame:
   SELECT path, count(*) AS n, round(max(score), 8) AS best, round(sum(score), 7) AS total FROM x GROUP BY path""")
 def palette_score(spark: SparkSession, d: str) -> DataFrame:
     """Scores of each palette against every category that shares a colour, summed up per path."""
-    cats = table(spark, d, "categories").select("category", F.explode("palette").alias("colour", "cw"))
-    w = painted(spark, d).select("path", F.explode(C.normalised(F.col("weights"))).alias("colour", "share"))
-    score = w.join(F.broadcast(cats), "colour").groupBy("path", "category").agg(F.least(F.greatest(F.sum(F.col("share") * F.col("cw")), F.lit(0.0)), F.lit(1.0)).alias("score"))
+    # the categories are a fixed table: one row with a number per colour is cheaper than a join by colour and its sums
+    bits = lambda m: sum((F.when(F.map_contains_key(m, c), 1 << i).otherwise(0) for i, c in enumerate(fixed.COLOURS)), F.lit(0))
+    cats = category_palettes(spark, d).select("category", bits("palette").alias("cm"), *[F.coalesce(F.try_element_at("palette", F.lit(c)), F.lit(0.0)).alias(f"cp_{i}") for i, c in enumerate(fixed.COLOURS)])
+    p = C.with_shares(painted(spark, d).select("path", "weights")).withColumn("pm", bits("weights")).drop("weights")
+    product = sum((F.col(f"share_{i}") * F.col(f"cp_{i}") for i in range(len(fixed.COLOURS))), F.lit(0.0))
+    met = spread(p, "path").crossJoin(F.broadcast(cats)).where(F.col("pm").bitwiseAND(F.col("cm")) != 0)
+    score = met.select("path", F.least(F.greatest(product, F.lit(0.0)), F.lit(1.0)).alias("score"))
     return score.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 8).alias("best"), F.round(F.sum("score"), 7).alias("total"))
 
 
@@ -49,7 +53,7 @@ def palette_fallback(spark: SparkSession, d: str) -> DataFrame:
     cats = table(spark, d, "categories").select("category", F.explode("palette").alias("colour", "cw"))
     first = table(spark, d, "categories").agg(F.min("category").alias("first"))
     p = profiles(spark, d).select("path", "weights")
-    w = p.where(F.size("weights") > 0).select("path", F.explode(C.normalised(F.col("weights"))).alias("colour", "share"))
+    w = spread(p.where(F.size("weights") > 0), "path").select("path", F.explode(C.normalised(F.col("weights"))).alias("colour", "share"))
     score = w.join(F.broadcast(cats), "colour").groupBy("path", "category").agg(F.round(F.sum(F.col("share") * F.col("cw")), 9).alias("score"))
     best = score.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "category")).alias("b"))
     out = p.select("path").join(best, "path", "left").crossJoin(F.broadcast(first))
