@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import fixed
 from tesserae.functions import media as M
 from tesserae.queries.registry import names, query, values
-from tesserae.session import table
+from tesserae.session import Scratch, table
 
 F_SQL = "f AS (SELECT DISTINCT * FROM files WHERE path IS NOT NULL)"
 EXT = r"lower(regexp_extract(path, '[^/.][^/]*(\.[^/.]*)$', 1))"
@@ -87,22 +87,53 @@ ORDERS = {
 }
 
 
+def filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The files that pass a name, type and aspect filter."""
+    f = files(spark, d).select("path", "name", "size_bytes", "mtime", M.file_kind(F.col("path")).alias("kind"), M.aspect_class(F.col("width"), F.col("height")).alias("aspect"))
+    return f.where(F.lower("name").contains("img") & (F.col("kind") != "video") & F.col("aspect").isin("horizontal", "square"))
+
+
+def ranked(df: DataFrame, order: list, scratch: Scratch) -> DataFrame:
+    """``df`` with ``rank`` from 1 by ``order``: a sort in ranges, then each range's start is added to the places within it."""
+    rows = scratch.keep(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    # the upper bits of the id are the range, the lower 33 the place; one row per range
+    sizes = sorted((r["k"], r["count"]) for r in rows.groupBy(F.shiftright("at", 33).alias("k")).count().collect())
+    starts, before = [], 0
+    for k, n in sizes:
+        starts.append((k, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "k bigint, before bigint")
+    rows = rows.withColumn("k", F.shiftright("at", 33)).join(F.broadcast(starts), "k")
+    return rows.withColumn("rank", F.col("at") - F.shiftleft("k", 33) + F.col("before") + 1).drop("k", "at", "before")
+
+
 def _page(order: str):
     def page(spark: SparkSession, d: str) -> DataFrame:
-        """The first 200 of the files that pass a name, type and aspect filter, in one of the sort orders."""
-        f = files(spark, d).select("path", "name", "size_bytes", "mtime", M.file_kind(F.col("path")).alias("kind"), M.aspect_class(F.col("width"), F.col("height")).alias("aspect"))
-        f = f.where(F.lower("name").contains("img") & (F.col("kind") != "video") & F.col("aspect").isin("horizontal", "square"))
-        return f.orderBy(*ORDERS[order][1]()).limit(200).select("path", "kind")
+        """The first 200 of the filtered files in one of the sort orders: a page of `library_all_*`."""
+        return filtered(spark, d).orderBy(*ORDERS[order][1]()).limit(200).select("path", "kind")
 
     return page
 
 
+def _whole(order: str):
+    def whole(spark: SparkSession, d: str) -> DataFrame:
+        """All filtered files with their rank in one of the sort orders."""
+        return ranked(filtered(spark, d), ORDERS[order][1](), Scratch(spark, "library")).select("path", "kind", "rank")
+
+    return whole
+
+
 for _order, (_sql, _) in ORDERS.items():
     query(
         f"""WITH {F_SQL}, x AS (SELECT *, {EXT} AS e, {ASPECT} AS aspect FROM f), y AS (SELECT *, {KIND} AS kind FROM x)
   SELECT path, kind FROM y WHERE contains(lower(name), 'img') AND kind <> 'video' AND aspect IN ('horizontal', 'square') ORDER BY {_sql} LIMIT 200""",
         f"library_{_order}",
     )(_page(_order))
+    query(
+        f"""WITH {F_SQL}, x AS (SELECT *, {EXT} AS e, {ASPECT} AS aspect FROM f), y AS (SELECT *, {KIND} AS kind FROM x)
+  SELECT path, kind, row_number() OVER (ORDER BY {_sql}) AS rank FROM y WHERE contains(lower(name), 'img') AND kind <> 'video' AND aspect IN ('horizontal', 'square')""",
+        f"library_all_{_order}",
+    )(_whole(_order))
 
 
 @query(f"WITH {F_SQL}, x AS (SELECT *, {EXT} AS e, {ASPECT} AS aspect FROM f), y AS (SELECT *, {KIND} AS kind FROM x) SELECT path FROM y WHERE kind <> 'video' AND aspect IN ('vertical', 'square')")

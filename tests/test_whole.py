@@ -1,0 +1,23 @@
+"""Queries that return every row of their operator, against plain Python."""
+
+import pytest
+
+from tesserae import queries as core
+from tesserae.queries import media
+
+
+@pytest.mark.parametrize("order", sorted(media.ORDERS))
+def test_library_returns_every_match_in_order(spark, tmp_path, order):
+    rows = [(f"/l/{k % 7}/IMG_{k * 37 % 500:03d}.jpg", f"IMG_{k * 37 % 500:03d}.jpg", f"/l/{k % 7}", None if k % 50 == 0 else k * 31 % 97, None if k % 60 == 0 else float(k * 17 % 89), 200, 100) for k in range(500)]
+    rows += [("/l/a/other.jpg", "other.jpg", "/l/a", 1, 1.0, 200, 100), ("/l/a/img.mp4", "img.mp4", "/l/a", 1, 1.0, 200, 100), ("/l/a/img_tall.jpg", "img_tall.jpg", "/l/a", 1, 1.0, 100, 200)]
+    spark.createDataFrame(rows, "path string, name string, parent string, size_bytes bigint, mtime double, width int, height int").repartition(5).write.parquet(f"{tmp_path}/files.parquet")
+    got = [r["path"] for r in core.queries()[f"library_all_{order}"](spark, str(tmp_path)).orderBy("rank").collect()]
+    low = lambda r: r[1].lower()
+    nulls_first = lambda x: (x is not None, x or 0)
+    want = sorted((r for r in rows[:500]), key=lambda r: r[0])
+    key, reverse = {
+        "name": (low, False), "name_desc": (low, True), "oldest": (lambda r: nulls_first(r[4]), False), "newest": (lambda r: nulls_first(r[4]), True),
+        "smallest": (lambda r: nulls_first(r[3]), False), "largest": (lambda r: nulls_first(r[3]), True), "type": (low, False),
+    }[order]
+    # a reversed sort keeps equal rows in their order, by path
+    assert got == [r[0] for r in sorted(want, key=key, reverse=reverse)]
