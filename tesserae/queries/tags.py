@@ -225,6 +225,25 @@ def description_tags(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(parts, "word")
 
 
+@query(f"""WITH {CT}, vocab AS (SELECT DISTINCT tag FROM ct), ww AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,20}}')) AS word FROM documents), wc AS (SELECT word, count(*) AS docs FROM ww GROUP BY word)
+  SELECT word, any_value(docs) AS docs, coalesce(max(tag) FILTER (tag = word), min(tag)) AS tag FROM wc JOIN vocab ON length(tag) >= 3 AND (contains(tag, word) OR contains(word, tag)) GROUP BY word""".replace("\\\\", "\\"))
+def description_tags_all(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all descriptions with their registered tag: the word itself, else the smallest tag that holds the word or that the word holds.
+
+    The distinct words are matched, not their occurrences; the vocabulary is that of the (fixed) categories.
+    """
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.description_words(F.col("text")))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    vocabulary = G.category_tags(cats(spark, d)).select("tag").distinct().where(F.length("tag") >= 3)
+    # both directions as equi-joins: a word has 3 to 21 characters, so only such parts of a tag and such tags can meet it
+    parts = lambda text, most: F.flatten(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.transform(F.sequence(F.lit(3), F.least(F.length(text) - i + 1, F.lit(most))), lambda k: F.substring(F.col(text), i, k))))
+    of_tags = vocabulary.select("tag", F.explode(F.array_distinct(parts("tag", 21))).alias("word")).groupBy("word").agg(F.min("tag").alias("holder"))
+    of_words = counts.select("word", F.explode(F.array_distinct(parts("word", 21))).alias("tag"))
+    held = of_words.join(F.broadcast(vocabulary), "tag").groupBy("word").agg(F.min("tag").alias("held"), F.max(F.when(F.col("tag") == F.col("word"), F.col("tag"))).alias("same"))
+    met = counts.join(of_tags, "word", "left").join(held, "word", "left")
+    return met.select("word", "docs", F.coalesce("same", F.least("holder", "held")).alias("tag")).where("tag is not null")
+
+
 @query(f"WITH {DF}, p AS (SELECT tag FROM df, nn WHERE df >= 0.1 * n) SELECT category, count(*) AS tags, count(*) FILTER (tag IN (SELECT tag FROM p) OR tag IN ({names(fixed.GENERIC_TAGS)})) AS dropped FROM ct GROUP BY category")
 def clean_tags_dry(spark: SparkSession, d: str) -> DataFrame:
     """How many tags of each category a cleaning would drop: frequent or generic ones."""

@@ -1,5 +1,7 @@
 """Queries that return every row of their operator, against plain Python."""
 
+import re
+
 import pytest
 
 from tesserae import queries as core
@@ -21,3 +23,18 @@ def test_library_returns_every_match_in_order(spark, tmp_path, order):
     }[order]
     # a reversed sort keeps equal rows in their order, by path
     assert got == [r[0] for r in sorted(want, key=key, reverse=reverse)]
+
+
+def test_description_tags_reads_long_texts_all_tags_and_both_directions(spark, tmp_path):
+    tags = ["art", "abstract art", "night", "a very long tag of several words", "go", "zebra-crossing-at-midnight"]
+    spark.createDataFrame([("c", tags)], "category string, tags array<string>").write.parquet(f"{tmp_path}/categories.parquet")
+    texts = ["Art " * 200 + "nightfall", "several crossing signs", "ago go", "x " * 5000 + "midnight Art", None, "", "the abstract zebra"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for text in texts:
+        for w in set(re.findall(r"[a-z][a-z\-]{2,20}", (text or "").lower())):
+            met = sorted(t for t in tags if len(t) >= 3 and (w in t or t in w))
+            if met:
+                want[w] = (want.get(w, (0,))[0] + 1, w if w in tags else met[0])
+    got = {r["word"]: (r["docs"], r["tag"]) for r in core.queries()["description_tags_all"](spark, str(tmp_path)).collect()}
+    assert got == want and got["art"] == (2, "art") and got["nightfall"] == (1, "night") and "several" in got
