@@ -17,6 +17,10 @@ def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
+#: What counts as blank at the ends of a reply.
+BLANKS = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
+
+
 def fold(text: Column) -> Column:
     """Compatibility-decomposed ASCII letters; other characters are dropped.
 

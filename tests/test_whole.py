@@ -38,3 +38,21 @@ def test_description_tags_reads_long_texts_all_tags_and_both_directions(spark, t
                 want[w] = (want.get(w, (0,))[0] + 1, w if w in tags else met[0])
     got = {r["word"]: (r["docs"], r["tag"]) for r in core.queries()["description_tags_all"](spark, str(tmp_path)).collect()}
     assert got == want and got["art"] == (2, "art") and got["nightfall"] == (1, "night") and "several" in got
+
+
+def test_every_reply_gets_its_category(spark, tmp_path):
+    names = ["City", "Forest", "Night_Sky", "Sea"]
+    spark.createDataFrame([(c,) for c in names], "category string").write.parquet(f"{tmp_path}/categories.parquet")
+    long = "so it goes " * 60
+    texts = ["2. " + long, long + "a forest by the sea", "\n Sea. \t", "9 " + long, "0", "99999999999 sea", "!?", "", None, long, " 3" + long, long + "night_sky!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def parsed(text):
+        text = (text or "").strip().rstrip(".,;:!?")
+        m = re.match(r"^\s*(\d+)", text)
+        if m and 0 <= int(m.group(1)) - 1 < len(names):
+            return names[int(m.group(1)) - 1]
+        return text if text in names else next((c for c in names if c.lower() in text.lower()), None)
+
+    got = {r["doc_id"]: r["category"] for r in core.queries()["answer_category_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: parsed(t) for k, t in enumerate(texts)} and got[0] == "Forest" and got[1] == "Forest" and got[11] == "Night_Sky"
