@@ -1,7 +1,7 @@
 """Problems 6, 7 and 8: encoding, filling, visually identical texts."""
 
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -127,3 +127,32 @@ def test_pairs(spark):
     got = {(r["doc_id_a"], r["doc_id_b"]) for r in look_pairs(docs(spark, texts)).collect()}
     assert got == {(0, 1), (0, 2), (9, 10), (10, 11)}
     assert look_pairs(docs(spark, [])).count() == 0
+
+
+def fewest(items, capacity):
+    """The least number of containers, by trying every place of every item."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for r in {r for r in rooms if r >= items[i]}:
+            k = rooms.index(r)
+            put(i + 1, (*rooms[:k], r - items[i], *rooms[k + 1 :]))
+        put(i + 1, (*rooms, capacity - items[i]))
+
+    put(0, ())
+    return best[0]
+
+
+def test_fillings_need_the_fewest_containers():
+    rng = np.random.default_rng(4)
+    cases = [(20, [14, 13, 13, 10, 9, 9, 8, 5, 5, 4, 3, 3])] + [(c, [int(x) for x in rng.integers(1 if k % 2 else c // 6, c // 2 + 2, rng.integers(0, 11))]) for k, c in enumerate([10, 20, 30, 60] * 60)]
+    for capacity, items in cases:
+        solution = fillings(Counter(items), capacity)
+        assert all(sum(sizes) <= capacity for _, sizes in solution)
+        assert sum((Counter({s: times * sizes.count(s) for s in sizes}) for times, sizes in solution), Counter()) == Counter(items)
+        assert sum(times for times, _ in solution) == fewest(items, capacity)
