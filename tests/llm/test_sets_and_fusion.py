@@ -5,7 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tesserae.llm.fusion import fuse, fused_fields, survivors
+from tesserae.llm.fusion import earlier_pairs, fuse, fused_fields, survivors
 from tesserae.llm.setjoin import similar_links, similar_pairs
 from tesserae.session import Scratch
 
@@ -79,3 +79,27 @@ def test_fused_fields_of_nothing_and_of_unusable_claims(spark):
     rows = [(1, "/x/a", None, M, 0, None, None, 0), (2, "/y/b", None, M, None, [0, 0], None, 0)]
     r = fused_fields(spark.createDataFrame(rows, CACHE)).collect()
     assert [(x["md5"], x["size_bytes"], x["size"]) for x in r] == [(M, None, None)]
+
+
+CLAIM = "item string, source string, value string, at int"
+
+
+def test_fusion_finds_copiers_of_later_providers(spark):
+    # every false value has another first provider, so only d, e and f keep sharing them
+    rows = [(f"i{k}", s, "true", 1) for k in range(30) for s in ("a", "b", "c", "g", "h", "j")]
+    rows += [(f"i{k}", s, f"wrong{k}" if k % 2 else "true", t) for k in range(30) for s, t in (("d", 1), ("e", 2), ("f", None))]
+    rows += [(f"i{k}", f"u{k}", f"wrong{k}", 0) for k in range(1, 30, 2)]
+    # the first provider of the last item's false value is often wrong, but alone
+    rows += [(f"i{k}", "u", f"odd{k}", 0) for k in range(0, 30, 2)]
+    rows += [("last", s, "true", 1) for s in ("a", "b")] + [("last", "u", "lie", 0), ("last", "d", "lie", 1), ("last", "e", "lie", 2), ("last", "f", "lie", None)]
+    got = {r["item"]: r["value"] for r in fuse(spark.createDataFrame(rows, CLAIM), Scratch(spark, "f")).collect()}
+    assert got["last"] == "true" and set(got.values()) == {"true"} and len(got) == 31
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_every_two_sources_of_a_contested_value_meet_once(spark, block):
+    rows = [("x", "v", f"s{k:02d}", None if k % 5 == 0 else k % 4, 40, True, 0.5) for k in range(40)] + [("x", "w", "s40", 1, 1, True, 0.5)] + [("y", "v", f"s{k}", 1, 2, False, 1.0) for k in range(2)]
+    judged = spark.createDataFrame(rows, "item string, value string, source string, at int, n bigint, contested boolean, p double")
+    got = [(r["item"], r["value"], r["earlier"], r["source"]) for r in earlier_pairs(judged, block).collect()]
+    key = lambda r: (r[3] is None, r[3] or 0, r[2])
+    assert sorted(got) == sorted(("x", "v", a[2], b[2]) for a in rows[:40] for b in rows[:40] if key(a) < key(b))
