@@ -188,3 +188,6 @@ EXAMPLES = (
     ("Pattern", {"texture_entropy": 4.5, "subject_area_ratio": 0.1, "unique_colors": 64}, ("pattern", "abstract", "tile")),
     ("Aesthetic", {"colorfulness": 45, "aesthetic": 0.7, "pastel_score": 0.3, "subject_area_ratio": 0.4}, ("aesthetic", "vibe")),
 )
+
+#: Leading phrases that are removed from written descriptions.
+BAD_LEADS = ("the image features", "a unified aesthetic can be achieved", "a unified aesthetic combines", "the unified aesthetic", "this category", "category:")

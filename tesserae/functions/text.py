@@ -110,6 +110,24 @@ def clipped_sentence(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).when(cut != "", cut).otherwise(head)
 
 
+def synthesised(text: Column) -> Column:
+    """A written description without outer quotes and a bad leading phrase's sentence, of at most 600 characters and a full stop; null if nothing is left.
+
+    The phrase goes with its first full stop, else its first line break, if that
+    is among the first 200 characters.  Longer texts end at the last full stop.
+    """
+    t = strip(strip(strip(text, BLANKS), '"'), "'")
+    bad = F.lit(False)
+    for phrase in fixed.BAD_LEADS:
+        bad = bad | F.lower(t).startswith(phrase)
+    dot, line = F.instr(t, "."), F.instr(t, "\n")
+    at = F.when(dot.between(1, 200), dot).when(line.between(1, 200), line).otherwise(F.lit(0))
+    t = F.when(bad & (at > 0), strip(F.substring(t, at + 1, F.length(t)), BLANKS)).otherwise(t)
+    head = F.substring(t, 1, 600)
+    cut = F.concat(F.when(F.contains(head, F.lit(".")), F.regexp_extract(head, r"^([\s\S]*)\.", 1)).otherwise(head), F.lit("."))
+    return F.nullif(F.when(F.length(t) > 600, cut).otherwise(t), F.lit(""))
+
+
 def split_extension(name: Column) -> Column:
     """``base`` and ``ext`` (with its dot); archives keep both parts of '.x.tar'."""
     ext = F.regexp_extract(name, r"^.*[^.](\.[^.]*)$", 1)

@@ -137,3 +137,14 @@ def llm_json(spark: SparkSession, d: str) -> DataFrame:
 def description_words(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", T.clipped_sentence(F.col("text"), 200).alias("clipped"), F.size(F.array_distinct(T.description_words(F.col("text")))).alias("words"))
+
+
+BLANKS = "||".join(f"chr({ord(x)})" for x in T.BLANKS)
+
+
+@query(f"""WITH a AS (SELECT doc_id, trim(trim(trim(text, {BLANKS}), chr(34)), chr(39)) AS t FROM documents), b AS (SELECT *, {" OR ".join(f"starts_with(lower(t), '{x}')" for x in fixed.BAD_LEADS)} AS bad, instr(t, '.') AS dot, instr(t, chr(10)) AS line FROM a),
+  c AS (SELECT doc_id, CASE WHEN bad AND dot BETWEEN 1 AND 200 THEN trim(substr(t, dot + 1), {BLANKS}) WHEN bad AND line BETWEEN 1 AND 200 THEN trim(substr(t, line + 1), {BLANKS}) ELSE t END AS t FROM b)
+  SELECT doc_id, nullif(CASE WHEN length(t) <= 600 THEN t WHEN contains(substr(t, 1, 600), '.') THEN regexp_extract(substr(t, 1, 600), '^([\\s\\S]*)\\.', 1) || '.' ELSE substr(t, 1, 600) || '.' END, '') AS prompt FROM c""")
+def synthesised_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Each text as the description of a category: outer quotes and bad leading phrases removed, cut after 600 characters."""
+    return table(spark, d, "documents").select("doc_id", T.synthesised(F.col("text")).alias("prompt"))
