@@ -61,14 +61,24 @@ FP = f"""{GLOBAL}, bw(feature, bw) AS (VALUES {values(fixed.FEATURE_WEIGHTS.item
 
 @query(f"WITH {P2}, {LONGF}, {FP} SELECT path, category, round(value, 6) AS value FROM fpv QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(value, 9) DESC, category) <= 3")
 def fingerprint_score(spark: SparkSession, d: str) -> DataFrame:
-    """The three categories whose fingerprint a profile resembles most."""
+    """The three categories whose fingerprint a profile resembles most: a report of `fingerprint_scores`."""
+    w = Window.partitionBy("path").orderBy(F.desc_nulls_last(F.round("value", 9)), "category")
+    return _fingerprints(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 3 and value is not null").select("path", "category", F.round("value", 6).alias("value"))
+
+
+def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """``path, category, value`` of every profile and category; null where they share no feature."""
     scratch = Scratch(spark, "fingerprint")
     rows = spread(scratch.keep(S.profile_rows(profiles(spark, d), cats(spark, d)), "profiles"), "path")
     c = scratch.keep(S.category_rows(cats(spark, d), category_stats(spark, d)), "categories")
     value = F.when(sum((F.col(f"fp_w_{f}") * F.col(f"fh_{f}") for f in FEATURES), F.lit(0.0)) > 0, S.signal_columns()["fingerprint"])
-    scored = rows.crossJoin(F.broadcast(c)).select("path", "category", value.alias("value"))
-    w = Window.partitionBy("path").orderBy(F.desc_nulls_last(F.round("value", 9)), "category")
-    return scored.withColumn("rn", F.row_number().over(w)).where("rn <= 3 and value is not null").select("path", "category", F.round("value", 6).alias("value"))
+    return rows.crossJoin(F.broadcast(c)).select("path", "category", value.alias("value"))
+
+
+@query(f"WITH {P2}, {LONGF}, {FP} SELECT path, category, round(value, 6) AS value FROM fpv")
+def fingerprint_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint similarity of every profile and category that share a feature."""
+    return _fingerprints(spark, d).where("value is not null").withColumn("value", F.round("value", 6))
 
 
 def any_tag(*ts: str) -> str:

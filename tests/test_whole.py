@@ -78,3 +78,11 @@ def test_synthesised_prompt_removes_leads_and_keeps_600_characters(spark, tmp_pa
 
     got = {r["doc_id"]: r["prompt"] for r in core.queries()["synthesised_prompt"](spark, str(tmp_path)).collect()}
     assert got == {k: cleaned(t) for k, t in enumerate(texts)} and got[0] == "x" * 400 and got[3] == "Calm dunes."
+
+
+def test_every_profile_has_a_score_for_every_category(spark, data):
+    rows = core.queries()["fingerprint_scores"](spark, data).cache()
+    paths, categories = (rows.select(c).distinct().count() for c in ("path", "category"))
+    assert categories > 3 and rows.count() == paths * categories
+    three = {(r["path"], r["category"], r["value"]) for r in core.queries()["fingerprint_score"](spark, data).collect()}
+    assert three < {(r["path"], r["category"], r["value"]) for r in rows.collect()}
