@@ -104,6 +104,12 @@ def mutual_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", F.array_join(G.without_excluded(tags, 4), "|").alias("tags"))
 
 
+@query()
+def mutual_exclusion_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The stored tags of each classified file, cleaned, reduced to at most four that do not exclude one another."""
+    return tagged(spark, d).select("path", "category", F.array_join(G.without_excluded(F.col("tags"), 4), "|").alias("tags"))
+
+
 def v(name: str, default: float = 0.0) -> str:
     return f"coalesce({name}, {default})"
 

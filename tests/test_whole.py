@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tesserae import queries as core
+from tesserae.functions import fixed
 from tesserae.queries import media
 
 
@@ -86,3 +87,20 @@ def test_every_profile_has_a_score_for_every_category(spark, data):
     assert categories > 3 and rows.count() == paths * categories
     three = {(r["path"], r["category"], r["value"]) for r in core.queries()["fingerprint_score"](spark, data).collect()}
     assert three < {(r["path"], r["category"], r["value"]) for r in rows.collect()}
+
+
+def test_stored_tags_that_exclude_one_another(spark, tmp_path):
+    a, b = fixed.EXCLUSIVE[0]
+    arrays = [[a, b, "tree"], [None, " ", f" {b.upper()} ", a, b, "x"], ["one", "two", "three", "four", "five"], ["x"] * 50 + [b, a], [], None, [t for p in fixed.EXCLUSIVE for t in reversed(p)]]
+    spark.createDataFrame([(f"/p{k}", "c", x) for k, x in enumerate(arrays)], "path string, category string, tags array<string>").write.parquet(f"{tmp_path}/classified.parquet")
+    against = {(x, y) for p in fixed.EXCLUSIVE for x, y in (p, p[::-1])}
+
+    def kept(tags):
+        out = []
+        for t in ((t or "").strip().lower() for t in tags or []):
+            if t and t not in out and len(out) < 4 and not any((t, o) in against for o in out):
+                out.append(t)
+        return "|".join(out)
+
+    got = {r["path"]: r["tags"] for r in core.queries()["mutual_exclusion_stored"](spark, str(tmp_path)).collect()}
+    assert got == {f"/p{k}": kept(x) for k, x in enumerate(arrays)} and got["/p0"] == f"{a}|tree"
