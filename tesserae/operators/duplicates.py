@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import fixed
 from tesserae.functions.media import digest, extension, signature
 from tesserae.operators.components import closure
-from tesserae.operators.hamming import near_patterns, plan_for
+from tesserae.operators.hamming import near_pairs, plan_for
 from tesserae.session import Scratch
 
 TIER_NAMES = tuple(t[0] for t in fixed.TIERS)
@@ -148,31 +148,34 @@ def bucket_candidates(frames: DataFrame) -> DataFrame:
     return out.select("dh16", "n", F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("same_pairs"), F.coalesce("near_pairs", F.lit(0)).alias("near_pairs"))
 
 
-def matched_paths(frames: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b, tier`` of all path pairs (a < b) that reach a tier with at least half of their frame pairs; the strictest rank.
+def matched_paths(frames: DataFrame, scratch: Scratch, min_tier: str = TIER_NAMES[-1]) -> DataFrame:
+    """``a, b, tier`` of all path pairs (a < b) that reach ``min_tier`` or a stricter one with at least half of their frame pairs; the strictest rank.
 
     Frames with an unusable histogram or null hashes count but never match.
     """
+    kept = TIER_NAMES.index(min_tier) + 1
+    _, dh_bits, ph_bits, _ = fixed.TIERS[kept - 1]
     f = media_frames(frames)
     usable = f.where(usable_hist(F.col("hist")) & F.col("dh").isNotNull() & F.col("ph").isNotNull())
     usable = scratch.keep(usable, "usable")
-    dh = usable.groupBy("dh").agg(F.count(F.lit(1)).alias("n"))
-    patterns = dh.select(F.col("dh").alias("v"))
-    near = near_patterns(patterns, plan_for(patterns.count(), fixed.TIERS[-1][1]))
-    pairs = near.unionByName(dh.where("n > 1").select(F.col("dh").alias("lo"), F.col("dh").alias("hi")))
-    side = lambda s, key: usable.select(F.col("dh").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("path", "frame", "dh", "ph", "hist", "nf")])
-    met = pairs.join(side("a", "lo"), "lo").join(side("b", "hi"), "hi").where("a_path <> b_path and (lo <> hi or a_path < b_path)")
-    bits = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    tier = frame_tier(bits("dh"), bits("ph"), hist_cosine(F.col("a_hist"), F.col("b_hist")))
-    turned = F.col("a_path") > F.col("b_path")
+    patterns = scratch.keep(usable.groupBy(F.col("dh").alias("v"), F.col("ph").alias("w")).agg(F.count(F.lit(1)).alias("n")), "patterns")
+    near = near_pairs(patterns, plan_for(patterns.count(), dh_bits), ph_bits)
+    pairs = near.unionByName(patterns.where("n > 1").selectExpr("v as v1", "w as w1", "v as v2", "w as w2"))
+    side = lambda s, v, w: usable.select(F.col("dh").alias(v), F.col("ph").alias(w), *[F.col(c).alias(f"{s}_{c}") for c in ("path", "frame", "hist", "nf")])
+    met = pairs.join(side("a", "v1", "w1"), ["v1", "w1"]).join(side("b", "v2", "w2"), ["v2", "w2"])
+    met = met.where("a_path <> b_path and (v1 <> v2 or w1 <> w2 or a_path < b_path)")
+    bits = lambda c: F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2")))
+    tier = frame_tier(bits("v"), bits("w"), hist_cosine(F.col("a_hist"), F.col("b_hist")))
     met = met.select(
         F.least("a_path", "b_path").alias("a"),
         F.greatest("a_path", "b_path").alias("b"),
         (F.col("a_nf") * F.col("b_nf")).alias("pairs"),
         tier.alias("rank"),
-    ).where("rank is not null")
-    counted = met.groupBy("a", "b", "pairs").agg(*[F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in range(len(fixed.TIERS))])
-    chain = F.when(2 * F.col("k0") >= F.col("pairs"), 0).when(2 * F.col("k1") >= F.col("pairs"), 1).when(2 * F.col("k2") >= F.col("pairs"), 2)
+    ).where(F.col("rank") < kept)
+    counted = met.groupBy("a", "b", "pairs").agg(*[F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in range(kept)])
+    chain = F.lit(None).cast("int")
+    for k in reversed(range(kept)):
+        chain = F.when(2 * F.col(f"k{k}") >= F.col("pairs"), k).otherwise(chain)
     return counted.select("a", "b", chain.alias("tier")).where("tier is not null")
 
 
@@ -189,11 +192,11 @@ def perceptual_groups(files: DataFrame, frames: DataFrame, scratch: Scratch, min
     exact = exact_members(files).select("path")
     candidates = l.select("path", "parent", F.coalesce("size_bytes", F.lit(0)).alias("size")).join(exact, "path", "left_anti")
     seen = frames.join(candidates.select("path"), "path", "left_semi")
-    pairs = scratch.keep(matched_paths(seen, scratch), "pairs")
+    pairs = scratch.keep(matched_paths(seen, scratch, min_tier), "pairs")
     buckets = bucket_sizes(seen)
-    buckets = buckets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("dh16")))
+    buckets = buckets.join(buckets.groupBy("dh16").agg(F.count(F.lit(1)).alias("n")), "dh16")
     end = lambda s: buckets.join(candidates.select("path", "parent"), "path").select(F.col("path").alias(s), F.col("dh16").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("parent").alias(f"p{s}"))
-    met = pairs.where(F.col("tier") <= TIER_NAMES.index(min_tier)).join(end("a"), "a").join(end("b"), "b")
+    met = pairs.join(end("a"), "a").join(end("b"), "b")
     away = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb")))
     met = met.where((away == 0) | ((away == 1) & (F.greatest("na", "nb") > 1)))
     if same_parent:

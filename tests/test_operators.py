@@ -11,7 +11,8 @@ from tesserae.functions import text as T
 from tesserae.operators import duplicates as D
 from tesserae.operators import stats
 from tesserae.operators.components import closure
-from tesserae.operators.hamming import cross_pairs, near_patterns, plan_for, routed, self_pairs, sides
+from tesserae.operators import hamming
+from tesserae.operators.hamming import cross_pairs, near_pairs, near_patterns, plan_for, routed, self_pairs, sides
 from tesserae.plans import renames
 from tesserae.session import Scratch
 from tesserae.sources import readers
@@ -91,6 +92,45 @@ def test_hamming_join_is_exact(spark, n, bits):
     assert self_pairs(u[:0], 0, plan)[0].size == 0
 
 
+@pytest.mark.parametrize("n", [10**k for k in range(3, 12)])
+def test_groups_of_even_patterns_stay_small(n):
+    for bits in (2, 8, 14):
+        plan = plan_for(n, bits)
+        if bits == 14 and n > 10**8:
+            continue  # blocks of 21 bits cannot be routed further; chunks bound the groups there
+        assert n * hamming._ball(plan.route, plan.radius) / (1 << plan.route) <= hamming.GROUP_ROWS
+        assert all(2 * plan.radius >= bits // len(plan.blocks) and size <= 32 for _, size in plan.blocks)
+
+
+def near_by_force(v, w, bits, w_bits):
+    a, b = np.triu_indices(len(v), 1)
+    ok = (np.bitwise_count(v[a] ^ v[b]) <= bits) & (np.bitwise_count(w[a] ^ w[b]) <= w_bits)
+    return {frozenset(((int(v[i]), int(w[i])), (int(v[j]), int(w[j])))) for i, j in zip(a[ok], b[ok], strict=True)}
+
+
+@pytest.mark.parametrize("kind", ["one v", "equal leading bits", "spread"])
+def test_hot_groups_are_split_and_stay_exact(spark, kind):
+    rng = np.random.default_rng(11)
+    v = rng.integers(-(2**63), 2**63 - 1, 1_500).view(np.uint64)
+    v = np.concatenate([v, v ^ np.uint64(0b10010001)])
+    v = {"one v": v & np.uint64(0), "equal leading bits": v >> np.uint64(30), "spread": v}[kind]
+    w = rng.integers(-(2**63), 2**63 - 1, len(v)).view(np.uint64)
+    w[1_500:] = w[:1_500] ^ np.uint64(0xFF)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(v.view(np.int64), w.view(np.int64), strict=True)], "v bigint, w bigint").distinct()
+    got = near_pairs(df, plan_for(len(v)), 10, most=800).collect()
+    found = {frozenset(((r["v1"] % 2**64, r["w1"] % 2**64), (r["v2"] % 2**64, r["w2"] % 2**64))) for r in got}
+    assert len(found) == len(got) and found == near_by_force(v, w, 8, 10)
+
+
+def test_many_patterns_of_one_value_are_not_compared_pair_by_pair():
+    rng = np.random.default_rng(4)
+    w = np.unique(rng.integers(0, 2**63 - 1, 100_000)).view(np.uint64)
+    zero = np.zeros(len(w), np.uint64)
+    a, _ = hamming.within([(zero, 8), (w, 10)])
+    b, _ = hamming.within([(w >> np.uint64(22), 8)])
+    assert len(a) < 1_000 and len(b) < 1_000_000
+
+
 def test_probing_an_index_finds_what_a_self_join_finds(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**63), 2**63 - 1, 200)
