@@ -10,7 +10,7 @@ one representative per class, so copies never multiply.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DH_BITS, PH_BITS, MIN_COSINE, MIN_SHARE = 8, 10, 0.85, 0.5
@@ -46,24 +46,47 @@ def frame_rows(frames: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("hist", F.when(ok, F.col("hist")))
 
 
-def path_classes(rows: DataFrame) -> DataFrame:
-    """``path, nf, cls``: the number of frames and the class of equal frame multisets."""
+def path_frames(rows: DataFrame) -> DataFrame:
+    """``path, cid, nf, fs`` of rows of `frame_rows`: the class of equal frame multisets, the number of frames, and the usable ones.
+
+    ``cid`` is a pair of hashes of the whole multiset (112 bits), so that classes stay apart however many there are.
+    """
     content = ["dh", "ph", "hist"]
-    return (
-        rows.groupBy("path")
-        .agg(
-            F.count(F.lit(1)).alias("nf"),
-            F.sum(F.shiftright(F.xxhash64(*content), 16)).alias("s1"),
-            F.sum(F.shiftright(F.xxhash64(F.lit(7), *content), 16)).alias("s2"),
-        )
-        .select("path", "nf", F.xxhash64("nf", "s1", "s2").alias("cls"))
+    per = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("nf"),
+        F.sum(F.shiftright(F.xxhash64(*content), 16)).alias("s1"),
+        F.sum(F.shiftright(F.xxhash64(F.lit(7), *content), 16)).alias("s2"),
+        F.collect_list(F.when(F.col("hist").isNotNull(), F.struct("dh", "ph", "hist", dot(F.col("hist"), F.col("hist")).cast("double").alias("nn")))).alias("fs"),
     )
+    cid = F.struct(F.xxhash64("nf", "s1", "s2").alias("h"), F.xxhash64("s2", "s1", "nf").alias("i"))
+    return per.select("path", cid.alias("cid"), "nf", "fs")
+
+
+def classes_match(a: str, b: str) -> Column:
+    """Whether at least half of all frame pairs of the classes in ``{a}nf, {a}fs`` and ``{b}nf, {b}fs`` match."""
 
+    def match(x: Column, y: Column) -> Column:
+        near = (F.bit_count(x["dh"].bitwiseXOR(y["dh"])) <= DH_BITS) & (F.bit_count(x["ph"].bitwiseXOR(y["ph"])) <= PH_BITS)
+        return near & (dot(x["hist"], y["hist"]) / F.sqrt(x["nn"] * y["nn"]) >= MIN_COSINE)
 
-def frames_match(a: str, b: str) -> Column:
-    """Whether the frames in columns ``{a}dh, {a}ph, {a}hist`` and ``{b}...`` match; false for unusable ones."""
-    c = lambda side, name: F.col(f"{side}{name}")
-    near = (F.bit_count(c(a, "dh").bitwiseXOR(c(b, "dh"))) <= DH_BITS) & (F.bit_count(c(a, "ph").bitwiseXOR(c(b, "ph"))) <= PH_BITS)
-    norms = F.sqrt(dot(c(a, "hist"), c(a, "hist")).cast("double") * dot(c(b, "hist"), c(b, "hist")).cast("double"))
-    both = c(a, "hist").isNotNull() & c(b, "hist").isNotNull()
-    return F.coalesce(F.when(near & both, dot(c(a, "hist"), c(b, "hist")) / norms >= MIN_COSINE), F.lit(False))
+    matched = F.aggregate(f"{a}fs", F.lit(0).cast("bigint"), lambda s, x: s + F.size(F.filter(f"{b}fs", lambda y: match(x, y))))
+    return 2 * matched >= F.col(f"{a}nf") * F.col(f"{b}nf")
+
+
+def prefixes(classes: DataFrame, key: str, common: DataFrame) -> DataFrame:
+    """``key, nf, u, v, w``: the rarest frames of each class, so many that two matching classes have a matching pair among theirs.
+
+    If p and q of the n and m frames are taken and 2 * p * q > n * m, then fewer than
+    half of all pairs lie outside, whatever frames are taken.  p is therefore the
+    least number with 2 * p * p > n * n.  Unusable frames are taken first: they
+    match nothing.  ``u`` is the number of usable frames; a class with fewer than
+    half usable ones can match none.  ``common`` (``v, w, n``) counts patterns that
+    several classes hold; a pattern that very many share is taken last.
+    """
+    take = (F.floor(F.col("nf") / F.sqrt(F.lit(2.0))) + 1 - F.col("nf") + F.size("fs")).cast("int")
+    c = classes.select(key, "nf", F.size("fs").alias("u"), take.alias("take"), "fs").where("take > 0 and 2 * u >= nf")
+    flat = lambda d: d.select(key, "nf", "u", "take", F.explode("fs").alias("f")).select(key, "nf", "u", "take", F.col("f.dh").alias("v"), F.col("f.ph").alias("w"))
+    whole = flat(c.where("take >= u"))
+    rare = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(1)), "v", "w"))
+    part = flat(c.where("take < u")).join(common.select("v", "w", "n"), ["v", "w"], "left").withColumn("at", rare).where("at <= take")
+    return whole.select(key, "nf", "u", "v", "w").unionByName(part.select(key, "nf", "u", "v", "w"))

@@ -12,43 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
-from tesserae.llm.frames import digest, frame_rows, frames_match, path_classes
-from tesserae.operators.hamming import near_patterns, plan_for
+from tesserae.llm.frames import DH_BITS, PH_BITS, classes_match, digest, frame_rows, path_frames, prefixes
+from tesserae.operators.hamming import near_pairs, plan_for
 from tesserae.session import Scratch
 
 
-def class_links(class_frames: DataFrame, scratch: Scratch) -> DataFrame:
-    """``c1, c2``: matching classes (c1 < c2), and (c, c) for classes whose own members match each other.
+def class_links(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``lead_a, lead_b``: the leads of different classes that match, each pair once.
 
-    ``class_frames``: ``cls, frame, nf, dh, ph, hist`` of one representative per class, ``hist`` null where unusable.
+    ``classes``: ``cid, lead, nf, fs``.  Candidates are classes with near patterns
+    among their rarest frames; they are verified on all their frames.
     """
-    usable = scratch.keep(class_frames.where("hist is not null").select("cls", "frame", "nf", "dh", "ph", "hist"), "class-frames")
-    per_dh = usable.groupBy("dh").agg(F.count(F.lit(1)).alias("n"))
-    patterns = per_dh.select(F.col("dh").alias("v"))
-    plan = plan_for(patterns.count())
-    near = near_patterns(patterns, plan)
-    same = per_dh.where("n > 1").select(F.col("dh").alias("lo"), F.col("dh").alias("hi"))
-    pairs = near.unionByName(same)
-    side = lambda p, key: usable.select(F.col("dh").alias(key), *[F.col(c).alias(p + c) for c in usable.columns])
-    met = pairs.join(side("a_", "lo"), "lo").join(side("b_", "hi"), "hi")
-    # of equal patterns each unordered pair of frames once
-    met = met.where((F.col("lo") != F.col("hi")) | (F.struct("a_cls", "a_frame") < F.struct("b_cls", "b_frame")))
-    met = met.where(frames_match("a_", "b_"))
-    swap = F.col("a_cls") > F.col("b_cls")
-    lo, hi = (F.struct(F.col(p + "cls").alias("cls"), F.col(p + "nf").alias("nf")) for p in ("a_", "b_"))
-    met = met.select(F.when(swap, hi).otherwise(lo).alias("x"), F.when(swap, lo).otherwise(hi).alias("y"))
-    met = met.select(
-        F.col("x")["cls"].alias("c1"),
-        F.col("x")["nf"].alias("n1"),
-        F.col("y")["cls"].alias("c2"),
-        F.col("y")["nf"].alias("n2"),
-    )
-    met = met.groupBy("c1", "n1", "c2", "n2").agg(F.count(F.lit(1)).alias("k"))
-    own = usable.groupBy("cls", "nf").agg(F.count(F.lit(1)).alias("k"))
-    own = own.select(F.col("cls").alias("c1"), F.col("nf").alias("n1"), F.col("cls").alias("c2"), F.col("nf").alias("n2"), "k")
-    twice = met.select("c1", "n1", "c2", "n2", F.when(F.col("c1") == F.col("c2"), 2 * F.col("k")).otherwise(F.col("k")).alias("k"))
-    total = twice.unionByName(own).groupBy("c1", "n1", "c2", "n2").agg(F.sum("k").alias("k"))
-    return total.where(2 * F.col("k") >= F.col("n1") * F.col("n2")).select("c1", "c2")
+    usable = classes.where(2 * F.size("fs") >= F.col("nf"))
+    patterns = usable.select(F.explode("fs").alias("f")).groupBy(F.col("f.dh").alias("v"), F.col("f.ph").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = scratch.keep(patterns, "patterns")
+    near = near_pairs(patterns, plan_for(patterns.count(), DH_BITS), PH_BITS)
+    common = patterns.where("n > 1")
+    pairs = near.unionByName(common.selectExpr("v as v1", "w as w1", "v as v2", "w as w2"))
+    prefix = prefixes(usable, "cid", common)
+    side = lambda k: prefix.select(*[F.col(c).alias(f"{c}{k}") for c in prefix.columns])
+    met = pairs.join(side(1), ["v1", "w1"]).join(side(2), ["v2", "w2"])
+    met = met.where("cid1 <> cid2 and (v1 <> v2 or w1 <> w2 or cid1 < cid2) and 2 * u1 * u2 >= nf1 * nf2")
+    met = met.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
+    full = lambda s: usable.select(F.col("cid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("lead", "nf", "fs")])
+    return met.join(full("a"), "a").join(full("b"), "b").where(classes_match("a_", "b_")).select("a_lead", "b_lead")
 
 
 def linked_groups(files: DataFrame, frames: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -63,21 +50,13 @@ def linked_groups(files: DataFrame, frames: DataFrame, scratch: Scratch | None =
     first = listed.where("digest is not null").groupBy("digest").agg(F.min("path").alias("dst"), F.max("path").alias("last"))
     by_digest = listed.join(first.where("dst < last"), "digest").select(F.col("path").alias("src"), "dst")
 
-    rows = frame_rows(frames, listed)
-    classes = path_classes(rows)
-    leaders = classes.groupBy("cls").agg(F.min("path").alias("path"), F.max("path").alias("last"), F.first("nf").alias("nf"))
+    paths = path_frames(frame_rows(frames, listed))
+    leaders = paths.groupBy("cid").agg(F.min("path").alias("lead"), F.max("path").alias("last"), F.first("nf").alias("nf"), F.first("fs").alias("fs"))
     leaders = scratch.keep(leaders, "leaders")
-    class_frames = rows.join(leaders.select("path", "cls", "nf"), "path")
-    links = scratch.keep(class_links(class_frames, scratch), "links")
-    lead = leaders.select("cls", F.col("path").alias("lead"))
-    across = (
-        links.where("c1 <> c2")
-        .join(lead.select(F.col("cls").alias("c1"), F.col("lead").alias("src")), "c1")
-        .join(lead.select(F.col("cls").alias("c2"), F.col("lead").alias("dst")), "c2")
-        .select("src", "dst")
-    )
-    linked = links.select(F.col("c1").alias("cls")).unionByName(links.select(F.col("c2").alias("cls"))).distinct()
-    shared = leaders.where("path < last").join(linked, "cls", "left_semi").select("cls", F.col("path").alias("dst"))
-    copies = classes.join(shared, "cls").select(F.col("path").alias("src"), "dst")
+    across = class_links(leaders, scratch).select(F.col("a_lead").alias("src"), F.col("b_lead").alias("dst"))
+    # copies of a class are linked if the class matches itself
+    copied = leaders.where("lead < last").select("cid", "lead", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs"), F.col("nf").alias("b_nf"), F.col("fs").alias("b_fs"))
+    copied = copied.where(classes_match("a_", "b_")).select("cid", F.col("lead").alias("dst"))
+    copies = paths.select("cid", F.col("path").alias("src")).join(copied, "cid").select("src", "dst")
     edges = by_digest.unionByName(across).unionByName(copies)
     return connected_components(edges, scratch).select(F.col("node").alias("path"), F.col("component").alias("group_id"))

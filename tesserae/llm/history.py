@@ -1,98 +1,223 @@
 """Problem 4: checking new batches against all history with an incremental inverted index.
 
-`History` keeps, below one shared folder, the postings of everything accepted so far:
+`History` keeps, below one shared folder, what the accepted entries brought in:
 
-* ``tokens``: exact tokens (path and signature, digest, frame class);
-* ``postings``: perceptual tokens ``g`` of frames, a table bucketed by token, so that a
-  batch only shuffles its own probes; the index is read in place;
-* ``frames``: the frames of each class, for verification.
+* ``tokens``: exact tokens (path and signature, digest);
+* ``patterns-V``: perceptual tokens ``g`` and the patterns that carry them, a table bucketed by token;
+* ``holders-V``: which class has which pattern among its rarest frames (its prefix), bucketed by pattern;
+* ``classes-V``: the frames of each class, stored once, bucketed by class, for verification;
+* ``manifest-N``: what was complete after batch N, and the version V of the layout.
 
 A batch is probed, matches are verified on whole frame lists, the entries without
-match are accepted, and only their postings are appended.  Nothing that was
-indexed before is computed again.
+match are accepted, and only their postings are appended.  A folder can be opened
+again by another session: rows of a batch that was not completed are ignored.
 
-Prefixes: two paths match if at least half of all pairs of their frames match, so
-at least half of the frames of either side have a partner.  Any
-``n - ceil(n / 2) + 1`` frames of the indexed side therefore hold one that has a
-partner, and only that many, the rarest first, are indexed; probes use all of theirs.
+Both sides use prefixes (see `frames.prefixes`); classes whose numbers of usable
+frames cannot give half of all pairs are dropped by these lengths before they are
+verified.  Plan and rarity come from accepted data and the batch at hand; when the
+index has outgrown its plan four times, it is laid out anew with more tokens and
+buckets, which costs a fixed share of what was indexed since.
+
+A batch shuffles its own rows only; of the index it reads the narrow pattern
+table, and of holders and classes what the candidates need after bucket pruning.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.frames import digest, frame_rows, frames_match, path_classes
-from tesserae.operators.hamming import Plan, cross_pairs, plan_for, routed, sides
+from tesserae.llm.frames import DH_BITS, PH_BITS, classes_match, digest, frame_rows, path_frames, prefixes
+from tesserae.operators.hamming import GROUP_ROWS, cross_pairs, plan_for, routed, sides
 from tesserae.session import Scratch
 
-#: A list of candidate classes of up to this many rows of 24 bytes is broadcast; larger ones are shuffled.
+#: A list of candidates of up to this many rows of under 100 bytes is broadcast; larger ones are shuffled.
 SMALL_ROWS = 200_000
+#: An index that holds this many times the patterns it was planned for is laid out anew.
+OUTGROWN = 4
+TABLES = {
+    "holders": ("v bigint, w bigint, h bigint, nf bigint, u int", "v, w"),
+    "classes": ("h bigint, cid struct<h: bigint, i: bigint>, nf bigint, fs array<struct<dh: bigint, ph: bigint, hist: array<int>, nn: double>>", "h"),
+    "patterns": ("g int, v bigint, w bigint", "g"),
+}
+CID = "struct<h: bigint, i: bigint>"
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """``df``, broadcast if its ``n`` rows are few enough."""
+    return F.broadcast(df) if n <= SMALL_ROWS else df
+
+
+def pair_hash(*columns: str | Column) -> Column:
+    """Two hashes of the columns, an identity of 128 bits."""
+    return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(7), *columns).alias("i"))
+
+
+def prepared(entries: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries ``entry_id[, batch_id], path, tokens`` with their exact tokens, and the frames ``path, cid, nf, fs`` of their paths."""
+    kept = [c for c in ("entry_id", "batch_id") if c in entries.columns]
+    e = entries.select(*kept, "path", "sig", digest("md5").alias("digest")).distinct()
+    by_sig = F.when(F.col("path").isNotNull() & (F.col("sig") != ""), pair_hash(F.lit("s"), "path", "sig"))
+    by_digest = F.when(F.col("digest").isNotNull(), pair_hash(F.lit("m"), "digest"))
+    tokens = e.select(*kept, "path", F.array_compact(F.array(by_sig, by_digest)).alias("tokens"))
+    return tokens, path_frames(frame_rows(frames, e.select("path").distinct()))
 
 
 class History:
-    """The index.  ``plan`` fixes the perceptual tokens for its lifetime."""
+    """The index below ``scratch``; `create` makes one, `open` continues one."""
 
-    def __init__(self, spark: SparkSession, plan: Plan, scratch: Scratch, buckets: int = 12):
-        self.spark, self.plan, self.scratch, self.buckets = spark, plan, scratch, buckets
-        self.name = f"postings_{uuid.uuid4().hex}"
-        self.batches = 0
+    def __init__(self, spark: SparkSession, scratch: Scratch, state: dict):
+        self.spark, self.scratch, self.state, self.names = spark, scratch, state, {}
+        self._tables()
 
-    def accept(self, tokens: DataFrame, new_frames: DataFrame, df: DataFrame) -> None:
-        """Append the tokens (``token``) and the usable frames (``cls, frame, nf, dh``) of newly accepted entries.
+    @classmethod
+    def create(cls, spark: SparkSession, scratch: Scratch, expected: int, buckets: int = 12) -> History:
+        """An empty index, planned for ``expected`` patterns; more only make it be laid out anew."""
+        return cls(spark, scratch, {"tags": [], "planned": max(1, expected), "patterns": 0, "version": 0, "buckets": buckets})
 
-        ``df`` (``dh, df``) has the patterns that several classes hold.
-        """
-        self.scratch.append(tokens.select("token", F.lit(self.batches).alias("batch")), "tokens")
-        rare = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "dh", "frame"))
-        prefix = new_frames.join(df, "dh", "left").withColumn("at", rare).where(F.col("at") <= F.col("nf") - F.ceil(F.col("nf") / 2) + 1)
-        rows = prefix.select(F.explode(routed(F.col("dh"), self.plan, sides(self.plan)[1])).alias("g"), F.col("dh").alias("v"), "cls").distinct()
-        writer = rows.repartition(self.buckets, "g").write.bucketBy(self.buckets, "g").format("parquet").mode("append")
-        writer.option("path", self.scratch.path("postings")).saveAsTable(self.name)
-        self.batches += 1
+    @classmethod
+    def open(cls, spark: SparkSession, scratch: Scratch) -> History:
+        """The index of a folder as it was after its last complete batch."""
+        rows = spark.read.schema("value string").text(scratch.path("manifest-*")).collect()
+        return cls(spark, scratch, max((json.loads(r["value"]) for r in rows), key=lambda s: len(s["tags"])))
 
-    def tokens(self) -> DataFrame:
-        return self.spark.read.schema("token bigint, batch int").parquet(self.scratch.path("tokens"))
+    @property
+    def batches(self) -> int:
+        return len(self.state["tags"])
 
-    def similar_classes(self, probes: DataFrame, frames: DataFrame, name: str) -> DataFrame:
-        """``cls`` of the probes that match an indexed class (itself included).
+    @property
+    def plan(self):
+        return plan_for(self.state["planned"], DH_BITS)
 
-        ``probes`` and ``frames`` have the usable frames ``cls, frame, nf, dh, ph, hist`` of the
-        batch and of everything before it.
-        """
-        plan = self.plan
-        sent = probes.select(F.explode(routed(F.col("dh"), plan, sides(plan)[0])).alias("g"), F.col("dh").alias("v"), "cls")
+    def _tables(self) -> None:
+        for name, (columns, keys) in TABLES.items():
+            self.names[name] = f"t_{uuid.uuid4().hex}"
+            where = self.scratch.path(f"{name}-{self.state['version']}")
+            self.spark.sql(f"create table {self.names[name]} ({columns}, tag bigint) using parquet clustered by ({keys}) into {self.state['buckets']} buckets location '{where}'")
+
+    def _append(self, df: DataFrame, name: str) -> None:
+        # one file per bucket and batch
+        keys = TABLES[name][1].split(", ")
+        df.repartition(self.state["buckets"], *keys).write.insertInto(self.names[name])
+
+    def _read(self, name: str) -> DataFrame:
+        """The rows of complete batches."""
+        self.spark.catalog.refreshTable(self.names[name])
+        return self.spark.table(self.names[name]).where(F.col("tag").isin(self.state["tags"]))
+
+    def tokens(self) -> DataFrame:
+        stored = self.spark.read.schema(f"token {CID}, tag bigint").parquet(self.scratch.path("tokens"))
+        return stored.where(F.col("tag").isin(self.state["tags"]))
+
+    def near(self, probes: DataFrame) -> DataFrame:
+        """``v1, w1, v2, w2``: patterns of the probes and of the index within the distances, equal ones included."""
+        plan, width = self.plan, 2 * GROUP_ROWS
+        sent = probes.select("v", "w").distinct().select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w")
+        index = self._read("patterns").select("g", "v", "w")
+        keys = ["g"]
+        if self.state["patterns"] * len(plan.blocks) > width:
+            # a token that very many patterns carry: its chunks meet each chunk of the probes
+            count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) * 2 / width).cast("int").alias(c))
+            hot = count(index, "ic").where("ic > 2").join(count(sent, "pc"), "g")
+            hot = self.scratch.keep(hot, f"hot-{self.batches}")
+            if not hot.isEmpty():
+                keys = ["g", "i", "p"]
+                part = lambda c: F.pmod(F.xxhash64("v", "w"), F.coalesce(c, F.lit(1))).cast("int")
+                every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+                sent = sent.join(hot, "g", "left").withColumn("p", part("pc")).withColumn("i", every("ic")).drop("ic", "pc")
+                index = index.join(hot, "g", "left").withColumn("i", part("ic")).withColumn("p", every("pc")).drop("ic", "pc")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = pd.DataFrame({"p": [], "q": []}, dtype="int64")
-            if len(a) and len(b):
-                av, bv = a["v"].drop_duplicates().to_numpy(), b["v"].drop_duplicates().to_numpy()
-                i, j = cross_pairs(av.view("uint64"), bv.view("uint64"), int(a["g"].iloc[0]), plan)
-                near = pd.DataFrame({"v": av[i], "w": bv[j]})
-                out = near.merge(a[["v", "cls"]], on="v").merge(b[["v", "cls"]].rename(columns={"v": "w", "cls": "q"}), on="w")
-                out = out.rename(columns={"cls": "p"})[["p", "q"]].drop_duplicates()
-            return out
-
-        index = self.spark.table(self.name)
-        met = sent.repartition(self.buckets, "g").groupBy("g").cogroup(index.groupBy("g")).applyInPandas(meet, "p bigint, q bigint")
-        pairs = self.scratch.keep(met.distinct(), f"pairs-{name}")
-        side = lambda df, key, s: df.select(F.col("cls").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("frame", "nf", "dh", "ph", "hist")])
-        # an accepted class may be stored with several batches: its frames count once
-        half = side(frames, "q", "b").join(sized(pairs, pairs.count()), "q").dropDuplicates(["p", "q", "b_frame"])
-        full = side(probes, "p", "a").join(half, "p").where(frames_match("a_", "b_"))
-        counted = full.groupBy("p", "q", "a_nf", "b_nf").agg(F.count(F.lit(1)).alias("k"))
-        return counted.where(2 * F.col("k") >= F.col("a_nf") * F.col("b_nf")).select(F.col("p").alias("cls")).distinct()
+            if not len(a) or not len(b):
+                return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("v1", "w1", "v2", "w2")})
+            av, aw, bv, bw = (d[c].to_numpy() for d in (a, b) for c in ("v", "w"))
+            words = aw.view("uint64"), bw.view("uint64"), PH_BITS
+            i, j = cross_pairs(av.view("uint64"), bv.view("uint64"), int(a["g"].iloc[0]), plan, words)
+            return pd.DataFrame({"v1": av[i], "w1": aw[i], "v2": bv[j], "w2": bw[j]})
 
-    def close(self) -> None:
-        self.spark.sql(f"drop table if exists {self.name}")
+        if keys == ["g"]:
+            sent = sent.repartition(self.state["buckets"], "g")
+        met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "v1 bigint, w1 bigint, v2 bigint, w2 bigint")
+        return met.distinct()
 
+    def judged_classes(self, classes: DataFrame) -> DataFrame:
+        """``cid, similar, stored`` of the classes ``cid, nf, fs`` that match an accepted class or are stored already."""
+        own = classes.select(F.explode("fs").alias("f")).groupBy(F.col("f.dh").alias("v"), F.col("f.ph").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        probes = prefixes(classes, "cid", own.where("n > 1"))
+        near = self.scratch.keep(self.near(probes), f"near-{self.batches}")
+        n = near.count()
+        held = self._read("holders").select(F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("q_nf"), F.col("u").alias("q_u"))
+        met = sized(probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), "cid", "nf", "u").join(near, ["v1", "w1"]), n).join(held, ["v2", "w2"])
+        cand = self.scratch.keep(met.where("2 * u * q_u >= nf * q_nf").select("cid", "q").distinct(), f"pairs-{self.batches}")
+        # hashes only lead to the classes; the frames themselves decide
+        b = self._read("classes").select(F.col("h").alias("q"), F.col("cid").alias("q_cid"), F.col("nf").alias("b_nf"), F.col("fs").alias("b_fs"))
+        a = classes.select("cid", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs"))
+        full = b.join(sized(cand, cand.count()), "q").join(a, "cid")
+        return full.groupBy("cid").agg(F.max(classes_match("a_", "b_")).alias("similar"), F.max(F.col("cid") == F.col("q_cid")).alias("stored"))
 
-def sized(df: DataFrame, n: int) -> DataFrame:
-    """``df``, broadcast if its ``n`` rows are few enough."""
-    return F.broadcast(df) if n <= SMALL_ROWS else df
+    def check_prepared(self, now: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+        """`check` for ``n`` entries ``entry_id, cid, tokens`` and their classes ``cid, nf, fs``, both from written tables."""
+        batch = self.batches
+        judged = now.withColumn("repeats", F.lit(False)).withColumn("stored", F.lit(False))
+        if batch:
+            tokens = now.select("entry_id", F.explode("tokens").alias("token"))
+            hits = self.tokens().join(sized(tokens, 2 * n), "token").select("entry_id").distinct().withColumn("exact", F.lit(True))
+            judged = now.join(hits, "entry_id", "left").join(self.judged_classes(classes), "cid", "left")
+            repeats = F.coalesce("exact", F.lit(False)) | F.coalesce("similar", F.lit(False))
+            judged = judged.select(*now.columns, repeats.alias("repeats"), F.coalesce("stored", F.lit(False)).alias("stored"))
+        judged = self.scratch.keep(judged, f"judged-{batch}")
+        self._accept(judged.where("not repeats"), classes, n)
+        return judged.select("entry_id", "repeats")
+
+    def _accept(self, new: DataFrame, classes: DataFrame, n: int) -> None:
+        # a number of its own, so that rows of an attempt that was not completed never count
+        tag, batch = uuid.uuid4().int >> 66, self.batches
+        marked = lambda df: df.withColumn("tag", F.lit(tag).cast("bigint"))
+        self.scratch.append(marked(new.select(F.explode("tokens").alias("token")).distinct()), "tokens")
+        fresh = sized(new.where("cid is not null and not stored").select("cid").distinct(), n)
+        kept = self.scratch.keep(classes.join(fresh, "cid", "left_semi"), f"fresh-{batch}")
+        own = kept.select(F.explode("fs").alias("f")).groupBy(F.col("f.dh").alias("v"), F.col("f.ph").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        postings = self.scratch.keep(prefixes(kept, "cid", own.where("n > 1")).select("v", "w", F.col("cid.h").alias("h"), "nf", "u").distinct(), f"postings-{batch}")
+        # a class that can match none has no postings, no probe will ask for it
+        able = (F.floor(F.col("nf") / F.sqrt(F.lit(2.0))) + 1 - F.col("nf") + F.size("fs") > 0) & (2 * F.size("fs") >= F.col("nf"))
+        held = kept.where(able).select(F.col("cid.h").alias("h"), "cid", "nf", "fs")
+        total = self.state["patterns"] + postings.count()
+        if total > OUTGROWN * self.state["planned"]:
+            old = {name: self._read(name) for name in ("holders", "classes")}
+            self.state = self.state | {"planned": total, "version": self.state["version"] + 1, "buckets": max(self.state["buckets"], -(-total // GROUP_ROWS))}
+            self._tables()
+            for name, df in old.items():
+                self._append(df, name)
+            self._append(self._routes(old["holders"]), "patterns")
+        self._append(marked(postings), "holders")
+        self._append(marked(held), "classes")
+        self._append(self._routes(marked(postings)), "patterns")
+        state = self.state | {"tags": [*self.state["tags"], tag], "patterns": total}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(self.scratch.path(f"manifest-{batch}-{tag}"))
+        self.state = state
+
+    def _routes(self, postings: DataFrame) -> DataFrame:
+        patterns = postings.select("v", "w", "tag").distinct()
+        return patterns.select(F.explode(routed(F.col("v"), self.plan, sides(self.plan)[1])).alias("g"), "v", "w", "tag")
+
+    def check(self, entries: DataFrame, frames: DataFrame) -> DataFrame:
+        """``entry_id, repeats`` of the entries ``entry_id, path, sig, md5``; those that don't repeat are accepted.
+
+        Cases as in `repeated_entries`.  ``frames`` may hold more paths than the batch's.
+        """
+        tokens, paths = prepared(entries.drop("batch_id"), frames)
+        paths = self.scratch.keep(paths, f"in-paths-{self.batches}")
+        now = self.scratch.keep(tokens.join(paths.select("path", "cid"), "path", "left").select("entry_id", "cid", "tokens"), f"in-{self.batches}")
+        return self.check_prepared(now, paths.dropDuplicates(["cid"]).select("cid", "nf", "fs"), now.count())
+
+    def close(self) -> None:
+        """Forget the tables of this session; the folder stays."""
+        for name in self.names.values():
+            self.spark.sql(f"drop table if exists {name}")
 
 
 def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -105,46 +230,29 @@ def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | Non
     """
     spark = cache.sparkSession
     scratch = scratch or Scratch(spark, "history")
-    entries = cache.select("entry_id", "batch_id", "path", "sig", digest("md5").alias("digest")).where("batch_id is not null").distinct()
-    rows = frame_rows(frames, entries.select("path").distinct())
-
-    by_sig = F.when(F.col("path").isNotNull() & (F.col("sig") != ""), F.xxhash64(F.lit("s"), "path", "sig"))
-    by_digest = F.when(F.col("digest").isNotNull(), F.xxhash64(F.lit("m"), "digest"))
-    known = entries.join(path_classes(rows), "path", "left")
-    known = known.select("entry_id", "batch_id", "cls", "nf", "path", F.array_compact(F.array(by_sig, by_digest)).alias("tokens"))
-    known.write.partitionBy("batch_id").parquet(scratch.path("entries"))
-    stored = spark.read.schema("entry_id bigint, cls bigint, nf bigint, path string, tokens array<bigint>, batch_id int").parquet(scratch.path("entries"))
+    tokens, paths = prepared(cache.where("batch_id is not null"), frames)
+    # each batch reads its own part: entries, and one path's frames for each class that it brings
+    paths = scratch.keep(paths, "paths")
+    joined = tokens.join(paths.select("path", "cid"), "path", "left")
+    joined.select("entry_id", "cid", "path", "tokens", "batch_id").write.partitionBy("batch_id").parquet(scratch.path("entries"))
+    stored = spark.read.schema(f"entry_id bigint, cid {CID}, path string, tokens array<{CID}>, batch_id int").parquet(scratch.path("entries"))
     batches = {r["batch_id"]: r["count"] for r in stored.groupBy("batch_id").count().collect()}
-
-    # the input of each batch: the usable frames of one path for each class that it brings
-    heads = stored.where("cls is not null").groupBy("batch_id", "cls", "nf").agg(F.min("path").alias("path"))
-    brought = rows.where("hist is not null").join(heads, "path").select("cls", "frame", "nf", "dh", "ph", "hist", "batch_id")
-    brought.write.partitionBy("batch_id").parquet(scratch.path("frames"))
-    brought = spark.read.schema(brought.schema).parquet(scratch.path("frames"))
-    per_dh = brought.select("dh", "cls").distinct().groupBy("dh").agg(F.count(F.lit(1)).alias("df"))
-    n_patterns, n_shared = per_dh.agg(F.count(F.lit(1)), F.count_if(F.col("df") > 1)).first()
-    df = scratch.keep(per_dh.where("df > 1"), "df")
-    plan = plan_for(n_patterns)
-
-    history = History(spark, plan, scratch)
-    for batch in sorted(batches):
-        now = stored.where(F.col("batch_id") == batch).select("batch_id", "entry_id", "cls", "tokens")
-        probes = brought.where(F.col("batch_id") == batch)
-        if history.batches:
-            tokens = now.select("entry_id", F.explode("tokens").alias("token"))
-            token_hits = history.tokens().join(sized(tokens, 2 * batches[batch]), "token").select("entry_id").distinct()
-            class_hits = history.similar_classes(probes, brought.where(F.col("batch_id") < batch), str(batch)).withColumn("similar", F.lit(True))
-            judged = now.join(token_hits.withColumn("exact", F.lit(True)), "entry_id", "left").join(class_hits, "cls", "left")
-            judged = judged.select("batch_id", "entry_id", "cls", "tokens", (F.col("exact").isNotNull() | F.col("similar").isNotNull()).alias("repeats"))
-        else:
-            judged = now.withColumn("repeats", F.lit(False))
-        judged = scratch.keep(judged, f"judged-{batch}")
-        new = judged.where("not repeats")
-        new_classes = sized(new.where("cls is not null").select("cls").distinct(), batches[batch])
-        new_frames = probes.select("cls", "frame", "nf", "dh").join(new_classes, "cls", "left_semi")
-        history.accept(new.select(F.explode("tokens").alias("token")).distinct(), new_frames, sized(df, n_shared))
-    history.close()
     if not batches:
         return spark.createDataFrame([], "batch_id int, entry_id bigint")
-    judged = spark.read.schema("batch_id int, entry_id bigint, repeats boolean").parquet(*[scratch.path(f"judged-{b}") for b in sorted(batches)])
-    return judged.where("repeats").select("batch_id", "entry_id")
+    heads = stored.where("cid is not null").groupBy("batch_id", "cid").agg(F.min("path").alias("path"))
+    brought = paths.drop("cid").join(heads, "path").select("cid", "nf", "fs", "batch_id")
+    brought.write.partitionBy("batch_id").parquet(scratch.path("brought"))
+    brought = spark.read.schema(brought.schema).parquet(scratch.path("brought"))
+
+    order = sorted(batches)
+    first = brought.where(F.col("batch_id") == order[0]).agg(F.sum(F.size("fs"))).first()[0] or 0
+    history, found = History.create(spark, Scratch(spark, "index"), 4 * first), []
+    for batch in order:
+        now = stored.where(F.col("batch_id") == batch).select("entry_id", "cid", "tokens")
+        judged = history.check_prepared(now, brought.where(F.col("batch_id") == batch).drop("batch_id"), batches[batch])
+        found.append(judged.where("repeats").select(F.lit(batch).cast("int").alias("batch_id"), "entry_id"))
+    history.close()
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out

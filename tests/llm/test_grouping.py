@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
 from tesserae.llm.grouping import linked_groups
-from tesserae.llm.history import repeated_entries
+from tesserae.llm.history import History, repeated_entries
 from tesserae.session import Scratch
 
 FRAME = "path string, frame int, dh bigint, ph bigint, hist array<int>, note string"
@@ -110,9 +110,10 @@ def test_history_matches_brute_force(spark):
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 12)]
     frames, paths = [], [f"p{k:02}" for k in range(60)]
     for p in paths:
-        for k in range(int(rng.integers(1, 4))):
+        for k in range(int(rng.integers(1, 8))):
             flip = lambda m: sum(1 << int(b) for b in rng.choice(62, rng.integers(0, m), replace=False))
-            b = base[rng.integers(0, 12)]
+            # the first pattern is in a third of all frames
+            b = base[rng.integers(0, 12) if rng.random() > 0.3 else 0]
             frames.append((p, k, b ^ flip(6), b ^ flip(7), H if rng.random() > 0.1 else [0] * 16, ""))
     entries = [(k, paths[rng.integers(0, 60)], f"{rng.integers(0, 5)}", None, int(rng.integers(0, 4)), "") for k in range(120)]
     by = {p: [f for f in frames if f[0] == p] for p in paths}
@@ -129,6 +130,39 @@ def test_history_matches_brute_force(spark):
                 new.append(e)
         accepted += new
     assert history(spark, entries, frames) == want
+    # the same from an index that is opened anew for each batch and laid out anew as it grows
+    index, found = Scratch(spark, "index"), set()
+    f = spark.createDataFrame(frames, FRAME)
+    for batch in range(4):
+        h = History.open(spark, index) if batch else History.create(spark, index, 1, buckets=3)
+        e = spark.createDataFrame([e for e in entries if e[4] == batch], ENTRY).drop("frames")
+        found |= {(batch, r["entry_id"]) for r in h.check(e, f).collect() if r["repeats"]}
+        assert batch == 0 or h.state["version"] > 0
+        h.close()
+    assert found == want
+    links = linked_groups(spark.createDataFrame([(p, None, "") for p in paths], FILE), f).collect()
+    edges = spark.createDataFrame([(p, q) for p, q in match if p != q], "src string, dst string")
+    assert {(r[0], r[1]) for r in links} == {(r[0], r[1]) for r in connected_components(edges, Scratch(spark, "cc")).collect()}
+
+
+def test_frames_of_a_class_count_once(spark):
+    # a and b hold equal frames under different numbers; c matches one of four pairs of theirs
+    far = [0, 0x5555555555555555, -1]
+    f = [("a", 0, far[0], far[0], H, ""), ("a", 1, far[1], far[1], H, ""), ("b", 5, far[0], far[0], H, ""), ("b", 6, far[1], far[1], H, "")]
+    f += [("c", 0, far[0], far[0], H, ""), ("c", 1, far[2], far[2], H, "")]
+    e = [(1, "a", "1", None, 0, ""), (2, "b", "2", None, 1, ""), (3, "c", "3", None, 2, "")]
+    assert history(spark, e, f) == {(1, 2)}
+
+
+def test_one_pattern_in_very_many_paths(spark):
+    # a third of all frames share dh; their ph differ, and each has one near partner
+    n = 3_000
+    rng = np.random.default_rng(8)
+    ph = [int(x) for x in rng.integers(0, 2**62, n)]
+    rows = [(f"p{k:05}", 0, 5, ph[k], H, "") for k in range(n)] + [(f"q{k:05}", 0, 5, ph[k] ^ 3, H, "") for k in range(n)]
+    files = spark.createDataFrame([(r[0], None, "") for r in rows], FILE)
+    got = groups(files, spark.createDataFrame(rows, FRAME))
+    assert got == {f"{s}{k:05}": f"p{k:05}" for s in "pq" for k in range(n)}
 
 
 def test_history_of_nothing(spark):
