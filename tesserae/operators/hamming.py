@@ -62,12 +62,12 @@ def plan_for(n: int, max_bits: int = 8, bits: int = 64) -> Plan:
     sizes = [bits // count + (k < bits % count) for k in range(count)]
     shifts = np.cumsum([0, *sizes[:-1]]).tolist()
     route = 2
-    while route < min(sizes) - 2 and n * _ball(route, radius) / (1 << route) > GROUP_ROWS:
+    while route < min(sizes) - 2 and n * ball(route, radius) / (1 << route) > GROUP_ROWS:
         route += 1
     return Plan(tuple(zip(shifts, sizes, strict=True)), radius, route, max_bits, n)
 
 
-def _ball(bits: int, radius: int) -> int:
+def ball(bits: int, radius: int) -> int:
     return sum(comb(bits, k) for k in range(radius + 1))
 
 

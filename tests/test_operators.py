@@ -98,7 +98,7 @@ def test_groups_of_even_patterns_stay_small(n):
         plan = plan_for(n, bits)
         if bits == 14 and n > 10**8:
             continue  # blocks of 21 bits cannot be routed further; chunks bound the groups there
-        assert n * hamming._ball(plan.route, plan.radius) / (1 << plan.route) <= hamming.GROUP_ROWS
+        assert n * hamming.ball(plan.route, plan.radius) / (1 << plan.route) <= hamming.GROUP_ROWS
         assert all(2 * plan.radius >= bits // len(plan.blocks) and size <= 32 for _, size in plan.blocks)
 
 
