@@ -73,20 +73,26 @@ def classes_match(a: str, b: str) -> Column:
     return 2 * matched >= F.col(f"{a}nf") * F.col(f"{b}nf")
 
 
-def prefixes(classes: DataFrame, key: str, common: DataFrame) -> DataFrame:
-    """``key, nf, u, v, w``: the rarest frames of each class, so many that two matching classes have a matching pair among theirs.
+def prefixes(classes: DataFrame, keys: tuple[str, ...] = ("cid",), extra: tuple[str, ...] = ()) -> DataFrame:
+    """``*keys, nf, u, v, w``: the rarest frames of each class, so many that two matching classes have a matching pair among theirs.
 
     If p and q of the n and m frames are taken and 2 * p * q > n * m, then fewer than
     half of all pairs lie outside, whatever frames are taken.  p is therefore the
     least number with 2 * p * p > n * n.  Unusable frames are taken first: they
     match nothing.  ``u`` is the number of usable frames; a class with fewer than
-    half usable ones can match none.  ``common`` (``v, w, n``) counts patterns that
-    several classes hold; a pattern that very many share is taken last.
+    half usable ones can match none.  Patterns that many classes hold (of the same
+    ``keys[1:]``) are taken last.  ``extra`` names fields of the frames to keep.
     """
     take = (F.floor(F.col("nf") / F.sqrt(F.lit(2.0))) + 1 - F.col("nf") + F.size("fs")).cast("int")
-    c = classes.select(key, "nf", F.size("fs").alias("u"), take.alias("take"), "fs").where("take > 0 and 2 * u >= nf")
-    flat = lambda d: d.select(key, "nf", "u", "take", F.explode("fs").alias("f")).select(key, "nf", "u", "take", F.col("f.dh").alias("v"), F.col("f.ph").alias("w"))
-    whole = flat(c.where("take >= u"))
-    rare = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(1)), "v", "w"))
-    part = flat(c.where("take < u")).join(common.select("v", "w", "n"), ["v", "w"], "left").withColumn("at", rare).where("at <= take")
-    return whole.select(key, "nf", "u", "v", "w").unionByName(part.select(key, "nf", "u", "v", "w"))
+    able = classes.where(2 * F.size("fs") >= F.col("nf"))
+    c = able.select(*keys, "nf", F.size("fs").alias("u"), take.alias("take"), "fs").where("take > 0")
+    out = [*keys, "nf", "u", "v", "w", *extra]
+    flat = lambda d: d.select(*keys, "nf", "u", "take", F.explode("fs").alias("f")).select(
+        *keys, "nf", "u", "take", F.col("f.dh").alias("v"), F.col("f.ph").alias("w"), *[F.col(f"f.{x}").alias(x) for x in extra]
+    )
+    whole, part = flat(c.where("take >= u")).select(*out), flat(c.where("take < u"))
+    held = able.select(*keys[1:], F.explode("fs").alias("f")).groupBy(*keys[1:], F.col("f.dh").alias("v"), F.col("f.ph").alias("w"))
+    common = held.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rare = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("n", F.lit(1)), "v", "w"))
+    part = part.join(common, [*keys[1:], "v", "w"], "left").withColumn("at", rare).where("at <= take").select(*out)
+    return whole.unionByName(part)

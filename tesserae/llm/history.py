@@ -2,9 +2,8 @@
 
 `History` keeps, below one shared folder, what the accepted entries brought in:
 
-* ``tokens``: exact tokens (path and signature, digest);
-* ``patterns-V``: perceptual tokens ``g`` and the patterns that carry them, a table bucketed by token;
-* ``holders-V``: which class has which pattern among its rarest frames (its prefix), bucketed by pattern;
+* ``judged``: the entries with their exact tokens (path and signature, digest); the accepted ones are looked up;
+* ``postings-V``: perceptual tokens ``g`` with the patterns of the rarest frames (the prefix) of each class, bucketed by token;
 * ``classes-V``: the frames of each class, stored once, bucketed by class, for verification;
 * ``manifest-N``: what was complete after batch N, and the version V of the layout.
 
@@ -18,8 +17,8 @@ verified.  Plan and rarity come from accepted data and the batch at hand; when t
 index has outgrown its plan four times, it is laid out anew with more tokens and
 buckets, which costs a fixed share of what was indexed since.
 
-A batch shuffles its own rows only; of the index it reads the narrow pattern
-table, and of holders and classes what the candidates need after bucket pruning.
+A batch shuffles its own rows only.  Of the index it reads the narrow postings of
+its tokens' buckets and, for verification, the classes.
 """
 
 from __future__ import annotations
@@ -27,24 +26,28 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.frames import DH_BITS, PH_BITS, classes_match, digest, frame_rows, path_frames, prefixes
-from tesserae.operators.hamming import GROUP_ROWS, cross_pairs, plan_for, routed, sides
+from tesserae.operators.hamming import GROUP_ROWS, ball, cross_pairs, plan_for, routed, sides
 from tesserae.session import Scratch
 
-#: A list of candidates of up to this many rows of under 100 bytes is broadcast; larger ones are shuffled.
+#: A table of up to this many rows of under 100 bytes is broadcast; larger ones are shuffled.
 SMALL_ROWS = 200_000
 #: An index that holds this many times the patterns it was planned for is laid out anew.
 OUTGROWN = 4
+#: Classes that share a pattern and are paired inside the group; more are paired by a join.
+HOT_CLASSES = 64
+CID = "struct<h: bigint, i: bigint>"
+JUDGED = f"batch_id int, entry_id bigint, cid {CID}, tokens array<{CID}>, repeats boolean, stored boolean, tag bigint"
+#: Columns and bucket key of the bucketed tables.
 TABLES = {
-    "holders": ("v bigint, w bigint, h bigint, nf bigint, u int", "v, w"),
+    "postings": ("g int, v bigint, w bigint, h bigint, nf bigint, u int", "g"),
     "classes": ("h bigint, cid struct<h: bigint, i: bigint>, nf bigint, fs array<struct<dh: bigint, ph: bigint, hist: array<int>, nn: double>>", "h"),
-    "patterns": ("g int, v bigint, w bigint", "g"),
 }
-CID = "struct<h: bigint, i: bigint>"
 
 
 def sized(df: DataFrame, n: int) -> DataFrame:
@@ -57,14 +60,27 @@ def pair_hash(*columns: str | Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(7), *columns).alias("i"))
 
 
-def prepared(entries: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries ``entry_id[, batch_id], path, tokens`` with their exact tokens, and the frames ``path, cid, nf, fs`` of their paths."""
-    kept = [c for c in ("entry_id", "batch_id") if c in entries.columns]
-    e = entries.select(*kept, "path", "sig", digest("md5").alias("digest")).distinct()
+def prepare(entries: DataFrame, frames: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of batches to check, laid out by ``batch_id``.
+
+    Entries ``entry_id, cid, tokens``; their classes ``cid, nf, fs``; and the prefixes of these, each batch on its own.
+    """
+    spark = entries.sparkSession
+    e = entries.select("batch_id", "entry_id", "path", "sig", digest("md5").alias("digest")).where("batch_id is not null").distinct()
     by_sig = F.when(F.col("path").isNotNull() & (F.col("sig") != ""), pair_hash(F.lit("s"), "path", "sig"))
     by_digest = F.when(F.col("digest").isNotNull(), pair_hash(F.lit("m"), "digest"))
-    tokens = e.select(*kept, "path", F.array_compact(F.array(by_sig, by_digest)).alias("tokens"))
-    return tokens, path_frames(frame_rows(frames, e.select("path").distinct()))
+    paths = path_frames(frame_rows(frames, e.select("path").distinct()))
+    known = e.select("batch_id", "entry_id", "path", F.array_compact(F.array(by_sig, by_digest)).alias("tokens")).join(paths.select("path", "cid"), "path", "left")
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        df.write.partitionBy("batch_id").parquet(scratch.path(name))
+        return spark.read.schema(df.schema).parquet(scratch.path(name))
+
+    stored = part(known.select("entry_id", "cid", "path", "tokens", "batch_id"), "entries")
+    # one path's frames for each class that a batch brings
+    heads = stored.where("cid is not null").groupBy("batch_id", "cid").agg(F.min("path").alias("path"))
+    classes = part(paths.drop("cid").join(heads, "path").select("cid", "nf", "fs", "batch_id"), "classes")
+    return stored.drop("path"), classes, part(prefixes(classes, ("cid", "batch_id")), "prefixes")
 
 
 class History:
@@ -82,7 +98,7 @@ class History:
     @classmethod
     def open(cls, spark: SparkSession, scratch: Scratch) -> History:
         """The index of a folder as it was after its last complete batch."""
-        rows = spark.read.schema("value string").text(scratch.path("manifest-*")).collect()
+        rows = spark.read.schema("value string").text(scratch.path("manifest")).collect()
         return cls(spark, scratch, max((json.loads(r["value"]) for r in rows), key=lambda s: len(s["tags"])))
 
     @property
@@ -94,125 +110,140 @@ class History:
         return plan_for(self.state["planned"], DH_BITS)
 
     def _tables(self) -> None:
-        for name, (columns, keys) in TABLES.items():
+        for name, (columns, key) in TABLES.items():
             self.names[name] = f"t_{uuid.uuid4().hex}"
             where = self.scratch.path(f"{name}-{self.state['version']}")
-            self.spark.sql(f"create table {self.names[name]} ({columns}, tag bigint) using parquet clustered by ({keys}) into {self.state['buckets']} buckets location '{where}'")
+            self.spark.sql(f"create table {self.names[name]} ({columns}, tag bigint) using parquet clustered by ({key}) into {self.state['buckets']} buckets location '{where}'")
 
     def _append(self, df: DataFrame, name: str) -> None:
         # one file per bucket and batch
-        keys = TABLES[name][1].split(", ")
-        df.repartition(self.state["buckets"], *keys).write.insertInto(self.names[name])
+        df.repartition(self.state["buckets"], TABLES[name][1]).write.insertInto(self.names[name])
 
     def _read(self, name: str) -> DataFrame:
         """The rows of complete batches."""
         self.spark.catalog.refreshTable(self.names[name])
         return self.spark.table(self.names[name]).where(F.col("tag").isin(self.state["tags"]))
 
-    def tokens(self) -> DataFrame:
-        stored = self.spark.read.schema(f"token {CID}, tag bigint").parquet(self.scratch.path("tokens"))
-        return stored.where(F.col("tag").isin(self.state["tags"]))
+    def judged(self) -> DataFrame:
+        """The entries of all complete batches, as they were judged."""
+        return self.spark.read.schema(JUDGED).parquet(self.scratch.path("judged")).where(F.col("tag").isin(self.state["tags"]))
 
-    def near(self, probes: DataFrame) -> DataFrame:
-        """``v1, w1, v2, w2``: patterns of the probes and of the index within the distances, equal ones included."""
+    def candidates(self, probes: DataFrame) -> DataFrame:
+        """``p, q``: hashes of classes of the batch and of the index with near patterns among their rarest frames.
+
+        ``probes``: ``cid, nf, u, v, w``.
+        """
         plan, width = self.plan, 2 * GROUP_ROWS
-        sent = probes.select("v", "w").distinct().select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w")
-        index = self._read("patterns").select("g", "v", "w")
-        keys = ["g"]
+        sent = probes.select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w", F.col("cid.h").alias("h"), "nf", "u")
+        index, keys = self._read("postings").drop("tag"), ["g"]
         if self.state["patterns"] * len(plan.blocks) > width:
-            # a token that very many patterns carry: its chunks meet each chunk of the probes
+            # a token that very many patterns carry is cut into chunks, which meet each chunk of the probes
             count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) * 2 / width).cast("int").alias(c))
-            hot = count(index, "ic").where("ic > 2").join(count(sent, "pc"), "g")
-            hot = self.scratch.keep(hot, f"hot-{self.batches}")
+            hot = count(index, "ic").where("ic > 2")
             if not hot.isEmpty():
+                hot = self.scratch.keep(hot.join(count(sent, "pc"), "g"), f"hot-{self.batches}")
                 keys = ["g", "i", "p"]
-                part = lambda c: F.pmod(F.xxhash64("v", "w"), F.coalesce(c, F.lit(1))).cast("int")
+                part = lambda c: F.pmod(F.xxhash64("v", "w", "h"), F.coalesce(c, F.lit(1))).cast("int")
                 every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
                 sent = sent.join(hot, "g", "left").withColumn("p", part("pc")).withColumn("i", every("ic")).drop("ic", "pc")
                 index = index.join(hot, "g", "left").withColumn("i", part("ic")).withColumn("p", every("pc")).drop("ic", "pc")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("g", "p", "q", "v1", "w1", "v2", "w2")})
             if not len(a) or not len(b):
-                return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("v1", "w1", "v2", "w2")})
-            av, aw, bv, bw = (d[c].to_numpy() for d in (a, b) for c in ("v", "w"))
-            words = aw.view("uint64"), bw.view("uint64"), PH_BITS
-            i, j = cross_pairs(av.view("uint64"), bv.view("uint64"), int(a["g"].iloc[0]), plan, words)
-            return pd.DataFrame({"v1": av[i], "w1": aw[i], "v2": bv[j], "w2": bw[j]})
+                return empty
+            (ai, au), (bi, bu) = _distinct(a), _distinct(b)
+            words = au["w"].to_numpy().view("uint64"), bu["w"].to_numpy().view("uint64"), PH_BITS
+            i, j = cross_pairs(au["v"].to_numpy().view("uint64"), bu["v"].to_numpy().view("uint64"), int(a["g"].iloc[0]), plan, words)
+            # patterns that many classes share are paired by a join, not in memory
+            hot = np.bincount(ai, minlength=len(au))[i] * np.bincount(bi, minlength=len(bu))[j] > HOT_CLASSES**2
+            few = pd.DataFrame({"i": i[~hot], "j": j[~hot]})
+            few = few.merge(a.assign(i=ai)[["i", "h", "nf", "u"]], on="i").merge(b.assign(j=bi)[["j", "h", "nf", "u"]], on="j", suffixes=("", "2"))
+            few = few[2 * few["u"].astype("int64") * few["u2"] >= few["nf"] * few["nf2"]]
+            few = few[["h", "h2"]].drop_duplicates().rename(columns={"h": "p", "h2": "q"}).assign(g=-1, v1=0, w1=0, v2=0, w2=0)
+            x, y = au.iloc[i[hot]], bu.iloc[j[hot]]
+            many = pd.DataFrame({"v1": x["v"].to_numpy(), "w1": x["w"].to_numpy(), "v2": y["v"].to_numpy(), "w2": y["w"].to_numpy()}).assign(g=a["g"].iloc[0], p=0, q=0)
+            return pd.concat([empty, few, many])[list(empty.columns)]
 
         if keys == ["g"]:
             sent = sent.repartition(self.state["buckets"], "g")
-        met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "v1 bigint, w1 bigint, v2 bigint, w2 bigint")
-        return met.distinct()
-
-    def judged_classes(self, classes: DataFrame) -> DataFrame:
-        """``cid, similar, stored`` of the classes ``cid, nf, fs`` that match an accepted class or are stored already."""
-        own = classes.select(F.explode("fs").alias("f")).groupBy(F.col("f.dh").alias("v"), F.col("f.ph").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-        probes = prefixes(classes, "cid", own.where("n > 1"))
-        near = self.scratch.keep(self.near(probes), f"near-{self.batches}")
-        n = near.count()
-        held = self._read("holders").select(F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("q_nf"), F.col("u").alias("q_u"))
-        met = sized(probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), "cid", "nf", "u").join(near, ["v1", "w1"]), n).join(held, ["v2", "w2"])
-        cand = self.scratch.keep(met.where("2 * u * q_u >= nf * q_nf").select("cid", "q").distinct(), f"pairs-{self.batches}")
+        met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "g int, p bigint, q bigint, v1 bigint, w1 bigint, v2 bigint, w2 bigint")
+        met = self.scratch.keep(met, f"met-{self.batches}")
+        few = met.where("g < 0").select("p", "q").distinct()
+        many = met.where("g >= 0").select("g", "v1", "w1", "v2", "w2").distinct()
+        if many.isEmpty():
+            return few
+        held = self._read("postings").select("g", F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("nf2"), F.col("u").alias("u2"))
+        own = probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), F.col("cid.h").alias("p"), "nf", "u")
+        wide = many.join(own, ["v1", "w1"]).join(held, ["g", "v2", "w2"]).where("2 * u * u2 >= nf * nf2")
+        return few.unionByName(wide.select("p", "q")).distinct()
+
+    def judged_classes(self, classes: DataFrame, probes: DataFrame, n: int) -> DataFrame:
+        """``cid, similar, stored`` of the ``n`` or fewer classes ``cid, nf, fs`` with candidates: whether one matches, whether one is the class itself."""
         # hashes only lead to the classes; the frames themselves decide
         b = self._read("classes").select(F.col("h").alias("q"), F.col("cid").alias("q_cid"), F.col("nf").alias("b_nf"), F.col("fs").alias("b_fs"))
-        a = classes.select("cid", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs"))
-        full = b.join(sized(cand, cand.count()), "q").join(a, "cid")
+        a = classes.select(F.col("cid.h").alias("p"), "cid", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs"))
+        full = b.join(self.candidates(probes), "q").join(a, "p")
         return full.groupBy("cid").agg(F.max(classes_match("a_", "b_")).alias("similar"), F.max(F.col("cid") == F.col("q_cid")).alias("stored"))
 
-    def check_prepared(self, now: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-        """`check` for ``n`` entries ``entry_id, cid, tokens`` and their classes ``cid, nf, fs``, both from written tables."""
-        batch = self.batches
+    def check_prepared(self, batch: int, now: DataFrame, classes: DataFrame, prefix: DataFrame, n: int) -> None:
+        """Judge and accept the ``n`` entries of a batch, given as `prepare` makes them."""
+        # a number of its own, so that rows of an attempt that was not completed never count
+        tag = uuid.uuid4().int >> 66
         judged = now.withColumn("repeats", F.lit(False)).withColumn("stored", F.lit(False))
-        if batch:
+        if self.batches:
             tokens = now.select("entry_id", F.explode("tokens").alias("token"))
-            hits = self.tokens().join(sized(tokens, 2 * n), "token").select("entry_id").distinct().withColumn("exact", F.lit(True))
-            judged = now.join(hits, "entry_id", "left").join(self.judged_classes(classes), "cid", "left")
+            held = self.judged().where("not repeats").select(F.explode("tokens").alias("token"))
+            hits = held.join(sized(tokens, 2 * n), "token").select("entry_id").distinct().withColumn("exact", F.lit(True))
+            judged = now.join(hits, "entry_id", "left").join(self.judged_classes(classes, prefix, n), "cid", "left")
             repeats = F.coalesce("exact", F.lit(False)) | F.coalesce("similar", F.lit(False))
             judged = judged.select(*now.columns, repeats.alias("repeats"), F.coalesce("stored", F.lit(False)).alias("stored"))
-        judged = self.scratch.keep(judged, f"judged-{batch}")
-        self._accept(judged.where("not repeats"), classes, n)
-        return judged.select("entry_id", "repeats")
-
-    def _accept(self, new: DataFrame, classes: DataFrame, n: int) -> None:
-        # a number of its own, so that rows of an attempt that was not completed never count
-        tag, batch = uuid.uuid4().int >> 66, self.batches
-        marked = lambda df: df.withColumn("tag", F.lit(tag).cast("bigint"))
-        self.scratch.append(marked(new.select(F.explode("tokens").alias("token")).distinct()), "tokens")
-        fresh = sized(new.where("cid is not null and not stored").select("cid").distinct(), n)
-        kept = self.scratch.keep(classes.join(fresh, "cid", "left_semi"), f"fresh-{batch}")
-        own = kept.select(F.explode("fs").alias("f")).groupBy(F.col("f.dh").alias("v"), F.col("f.ph").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-        postings = self.scratch.keep(prefixes(kept, "cid", own.where("n > 1")).select("v", "w", F.col("cid.h").alias("h"), "nf", "u").distinct(), f"postings-{batch}")
+        judged = judged.select(F.lit(batch).cast("int").alias("batch_id"), "entry_id", "cid", "tokens", "repeats", "stored", F.lit(tag).cast("bigint").alias("tag"))
+        self.scratch.append(judged, "judged")
+        new = self.spark.read.schema(JUDGED).parquet(self.scratch.path("judged")).where(F.col("tag") == tag)
+        new = sized(new.where("not repeats and not stored and cid is not null").select("cid").distinct(), n)
+        fresh = lambda df: df.join(new, "cid", "left_semi").withColumn("tag", F.lit(tag).cast("bigint"))
+        self._append(self._routes(fresh(prefix).select("v", "w", F.col("cid.h").alias("h"), "nf", "u", "tag")), "postings")
         # a class that can match none has no postings, no probe will ask for it
         able = (F.floor(F.col("nf") / F.sqrt(F.lit(2.0))) + 1 - F.col("nf") + F.size("fs") > 0) & (2 * F.size("fs") >= F.col("nf"))
-        held = kept.where(able).select(F.col("cid.h").alias("h"), "cid", "nf", "fs")
-        total = self.state["patterns"] + postings.count()
-        if total > OUTGROWN * self.state["planned"]:
-            old = {name: self._read(name) for name in ("holders", "classes")}
-            self.state = self.state | {"planned": total, "version": self.state["version"] + 1, "buckets": max(self.state["buckets"], -(-total // GROUP_ROWS))}
-            self._tables()
-            for name, df in old.items():
-                self._append(df, name)
-            self._append(self._routes(old["holders"]), "patterns")
-        self._append(marked(postings), "holders")
-        self._append(marked(held), "classes")
-        self._append(self._routes(marked(postings)), "patterns")
-        state = self.state | {"tags": [*self.state["tags"], tag], "patterns": total}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(self.scratch.path(f"manifest-{batch}-{tag}"))
-        self.state = state
+        self._append(fresh(classes.where(able)).select(F.col("cid.h").alias("h"), "cid", "nf", "fs", "tag"), "classes")
+        self.state = self.state | {"tags": [*self.state["tags"], tag]}
+        self.state["patterns"] += self._read("postings").where(F.col("tag") == tag).count() // (len(self.plan.blocks) * ball(self.plan.route, sides(self.plan)[1]))
+        if self.state["patterns"] > OUTGROWN * self.state["planned"]:
+            self._lay_out_anew()
+        self._manifest(json.dumps(self.state))
+
+    def _lay_out_anew(self) -> None:
+        old, blocks, total = {name: self._read(name) for name in TABLES}, self.plan.blocks, self.state["patterns"]
+        buckets = max(self.state["buckets"], -(-total * len(blocks) // GROUP_ROWS))
+        self.state = self.state | {"planned": total, "version": self.state["version"] + 1, "buckets": buckets}
+        self._tables()
+        self._append(old["classes"], "classes")
+        self._append(self._routes(old["postings"].drop("g").distinct()), "postings")
 
     def _routes(self, postings: DataFrame) -> DataFrame:
-        patterns = postings.select("v", "w", "tag").distinct()
-        return patterns.select(F.explode(routed(F.col("v"), self.plan, sides(self.plan)[1])).alias("g"), "v", "w", "tag")
+        groups = F.explode(routed(F.col("v"), self.plan, sides(self.plan)[1]))
+        return postings.select(groups.alias("g"), "v", "w", "h", "nf", "u", "tag")
+
+    def _manifest(self, text: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path, done = (jvm.org.apache.hadoop.fs.Path(f"{self.scratch.path('manifest')}/{mark}{self.batches:06}") for mark in ("_", "m"))
+        fs = path.getFileSystem(conf)
+        out = fs.create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.rename(path, done)
 
     def check(self, entries: DataFrame, frames: DataFrame) -> DataFrame:
-        """``entry_id, repeats`` of the entries ``entry_id, path, sig, md5``; those that don't repeat are accepted.
+        """``entry_id, repeats`` of the entries ``entry_id, path, sig, md5`` of one batch; those that don't repeat are accepted.
 
         Cases as in `repeated_entries`.  ``frames`` may hold more paths than the batch's.
         """
-        tokens, paths = prepared(entries.drop("batch_id"), frames)
-        paths = self.scratch.keep(paths, f"in-paths-{self.batches}")
-        now = self.scratch.keep(tokens.join(paths.select("path", "cid"), "path", "left").select("entry_id", "cid", "tokens"), f"in-{self.batches}")
-        return self.check_prepared(now, paths.dropDuplicates(["cid"]).select("cid", "nf", "fs"), now.count())
+        inputs = Scratch(self.spark, "batch")
+        parts = [df.drop("batch_id") for df in prepare(entries.withColumn("batch_id", F.lit(self.batches)), frames, inputs)]
+        self.check_prepared(self.batches, *parts, parts[0].count())
+        return self.judged().where(F.col("tag") == self.state["tags"][-1]).select("entry_id", "repeats")
 
     def close(self) -> None:
         """Forget the tables of this session; the folder stays."""
@@ -220,6 +251,12 @@ class History:
             self.spark.sql(f"drop table if exists {name}")
 
 
+def _distinct(rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """For each row the number of its pattern, and the patterns ``v, w``."""
+    number = rows.groupby(["v", "w"], sort=False).ngroup().to_numpy()
+    return number, rows[["v", "w"]].drop_duplicates()
+
+
 def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``batch_id, entry_id`` of the entries that repeat an accepted entry of a smaller batch.
 
@@ -229,30 +266,14 @@ def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | Non
     are dropped; a null path, sig or digest only lacks that link.
     """
     spark = cache.sparkSession
-    scratch = scratch or Scratch(spark, "history")
-    tokens, paths = prepared(cache.where("batch_id is not null"), frames)
-    # each batch reads its own part: entries, and one path's frames for each class that it brings
-    paths = scratch.keep(paths, "paths")
-    joined = tokens.join(paths.select("path", "cid"), "path", "left")
-    joined.select("entry_id", "cid", "path", "tokens", "batch_id").write.partitionBy("batch_id").parquet(scratch.path("entries"))
-    stored = spark.read.schema(f"entry_id bigint, cid {CID}, path string, tokens array<{CID}>, batch_id int").parquet(scratch.path("entries"))
-    batches = {r["batch_id"]: r["count"] for r in stored.groupBy("batch_id").count().collect()}
+    entries, classes, prefix = prepare(cache, frames, scratch or Scratch(spark, "history"))
+    batches = {r["batch_id"]: r["count"] for r in entries.groupBy("batch_id").count().collect()}
     if not batches:
         return spark.createDataFrame([], "batch_id int, entry_id bigint")
-    heads = stored.where("cid is not null").groupBy("batch_id", "cid").agg(F.min("path").alias("path"))
-    brought = paths.drop("cid").join(heads, "path").select("cid", "nf", "fs", "batch_id")
-    brought.write.partitionBy("batch_id").parquet(scratch.path("brought"))
-    brought = spark.read.schema(brought.schema).parquet(scratch.path("brought"))
-
     order = sorted(batches)
-    first = brought.where(F.col("batch_id") == order[0]).agg(F.sum(F.size("fs"))).first()[0] or 0
-    history, found = History.create(spark, Scratch(spark, "index"), 4 * first), []
+    of = lambda df, batch: df.where(F.col("batch_id") == batch).drop("batch_id")
+    history = History.create(spark, Scratch(spark, "index"), 4 * of(prefix, order[0]).count())
     for batch in order:
-        now = stored.where(F.col("batch_id") == batch).select("entry_id", "cid", "tokens")
-        judged = history.check_prepared(now, brought.where(F.col("batch_id") == batch).drop("batch_id"), batches[batch])
-        found.append(judged.where("repeats").select(F.lit(batch).cast("int").alias("batch_id"), "entry_id"))
+        history.check_prepared(batch, of(entries, batch), of(classes, batch), of(prefix, batch), batches[batch])
     history.close()
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    return history.judged().where("repeats").select("batch_id", "entry_id")

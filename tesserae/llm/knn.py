@@ -12,6 +12,9 @@ instead of one vector at a time:
    incremental search: leaves beyond it need no visit, all others are visited and
    their vectors verified with the full cosine.
 
+Leaves and their visitors are split where they grow beyond their bounds, so no task
+holds more than a bounded number of vectors.
+
 Equal vectors form one class that is searched once and keeps its k + 1 smallest
 keys, so copies, however many, cost nothing in the search.
 """
@@ -28,8 +31,12 @@ from pyspark.sql import functions as F
 from tesserae.session import Scratch
 
 DIMENSIONS, CONFIDENCE = 8, 0.999
-#: Distinct vectors that a leaf should hold, and the bound of the sample that places the splits.
-LEAF_ROWS, SAMPLE_ROWS = 3_000, 40_000
+#: Distinct vectors that a leaf should hold; leaves of more than twice as many are cut into chunks.
+LEAF_ROWS = 2_000
+#: Visitors that are compared with a leaf in one task; more are split.
+VISITOR_ROWS = 200_000
+#: Size of the sample of projected vectors that places the splits: for small tables, and at most.
+SAMPLE_ROWS = 40_000, 400_000
 #: Cosines are compared after rounding to this many decimals.
 DECIMALS = 9
 
@@ -88,112 +95,185 @@ class Tree:
         return out
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), dtype=np.float64)
+#: Numbers of a vector as they are sent between tasks, by Spark type.
+PACKED = {"tinyint": "int8", "smallint": "int16", "int": "int32", "float": "float32"}
+
+
+def _unit(packed: pd.Series, kind: str, size: int) -> np.ndarray:
+    """Rows of unit length from packed vectors."""
+    x = np.frombuffer(b"".join(packed.tolist()), dtype=kind).reshape(len(packed), size).astype(np.float64)
+    # scaled first, so that very small or large numbers keep their square
+    x = x / np.abs(x).max(1, keepdims=True, initial=0.0)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _top(cos: np.ndarray, k: int) -> np.ndarray:
     """Of each row the k-th greatest value, -2 where there are fewer."""
     if cos.shape[1] < k:
-        return np.full(len(cos), -2.0)
+        return np.full(len(cos), -2.0, cos.dtype)
     return np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
 
 
 SLACK = 2 * 10.0**-DECIMALS
+#: What a cosine of single precision may be off; pairs within it are computed again in double precision.
+SINGLE_SLACK = 4e-6
 
 
-def _tree(classes: DataFrame, n: int, projection: np.ndarray, leaf_rows: int) -> Tree:
-    every = max(1, -(-n // SAMPLE_ROWS))
-    sample = classes.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("vec").limit(2 * SAMPLE_ROWS).toPandas()
-    points = _unit(sample["vec"]) @ projection if len(sample) else np.zeros((0, projection.shape[1]))
+def _close(x: np.ndarray, y: np.ndarray, least: np.ndarray, k: int = 0, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``i, j, cos`` of the rows of y that are as close to a row of x as ``least`` (and, with ``k``, its own k-th best here), and these bounds.
+
+    ``skip``: the row of y that is the row of x itself.
+    """
+    x32, y32, out, bounds = x.astype(np.float32), y.astype(np.float32), [], least.copy()
+    step = max(16, 4_000_000 // max(1, len(y)))
+    for a in range(0, len(x), step):
+        cos = x32[a : a + step] @ y32.T
+        if skip is not None:
+            cos[np.arange(len(cos)), skip[a : a + step]] = -3.0
+        bound = np.maximum(least[a : a + step], _top(cos, k) - SINGLE_SLACK) if k else least[a : a + step]
+        i, j = np.nonzero(cos >= (bound - SINGLE_SLACK)[:, None])
+        real = cos[i, j] > -2.5
+        i, j = i[real] + a, j[real]
+        exact = np.einsum("ij,ij->i", x[i], y[j])
+        kept = exact >= bound[i - a] - SLACK
+        out.append((i[kept], j[kept], exact[kept]))
+        bounds[a : a + step] = bound
+    i, j, cos = (np.concatenate(c) if out else np.zeros(0) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return i, j, cos, bounds
+
+
+def _tree(placed: DataFrame, n: int, leaf_rows: int) -> Tree:
+    """The tree over a sample of 16 or more projected vectors per leaf, at most about ``SAMPLE_ROWS[1]``."""
+    wanted = min(SAMPLE_ROWS[1], max(SAMPLE_ROWS[0], 16 * n // leaf_rows))
+    every = max(1, -(-n // wanted))
+    sample = placed.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("point").limit(2 * SAMPLE_ROWS[1]).toPandas()
+    points = np.array(sample["point"].tolist()) if len(sample) else np.zeros((0, DIMENSIONS))
     depth = 0
     while (n >> depth) > leaf_rows and (len(points) >> depth) > 16:
         depth += 1
     return Tree(points, depth)
 
 
-def near_classes(classes: DataFrame, k: int, n: int, scratch: Scratch, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``cid, other, cos``: for each class at least its k most similar other ones (all of equal rounded cosine)."""
-    first = classes.select("vec").head()
-    size = len(first["vec"]) if first else 1
+def near_classes(
+    classes: DataFrame, k: int, n: int, size: int, scratch: Scratch, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS, visitor_rows: int = VISITOR_ROWS
+) -> DataFrame:
+    """``cid, other, cos``: for each class that is asked for at least its k most similar other ones (all of equal rounded cosine).
+
+    ``classes``: ``cid`` (bigint, unique), ``vec`` (of ``size`` numbers), ``asked``.
+    """
+    kind = PACKED.get(classes.schema["vec"].dataType.elementType.simpleString(), "float64")
     projection = np.random.default_rng(20_240_101).standard_normal((size, DIMENSIONS))
-    tree = _tree(classes, n, projection, leaf_rows)
     reach = chi_square_quantile(confidence, DIMENSIONS)
 
+    @F.pandas_udf("binary")
+    def pack(vec: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, dtype=kind).tobytes() for v in vec])
+
+    @F.pandas_udf("array<float>")
+    def project(vec: pd.Series) -> pd.Series:
+        return pd.Series(list((_unit(vec, kind, size) @ projection).astype(np.float32)))
+
+    packed = scratch.keep(classes.select("cid", "asked", pack(F.col("vec").cast("array<double>") if kind == "float64" else F.col("vec")).alias("vec")), "packed")
+    tree = _tree(packed.select("cid", project("vec").alias("point")), n, leaf_rows)
+
     @F.pandas_udf("int")
     def place(vec: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaf(_unit(vec) @ projection).astype(np.int32))
-
-    placed = scratch.keep(classes.select(place("vec").alias("leaf"), "cid", "vec"), "placed")
-    columns = "leaf int, cid bigint, vec array<int>, bound double, other bigint, cos double"
+        return pd.Series(tree.leaf((_unit(vec, kind, size) @ projection)).astype(np.int32))
+
+    placed = scratch.keep(packed.select(place("vec").alias("leaf"), "cid", "asked", "vec"), "placed")
+    # a leaf that got more than its share is cut into chunks, each of which is visited on its own; one number per leaf
+    parts = np.ones(1 << tree.depth, np.int64)
+    for r in placed.groupBy("leaf").count().where(F.col("count") > 2 * leaf_rows).collect():
+        parts[r["leaf"]] = -(-r["count"] // leaf_rows)
+    chunks = F.lit(1)
+    if parts.max() > 1:
+        chunks = F.element_at(F.create_map(*[F.lit(int(x)) for leaf in np.flatnonzero(parts > 1) for x in (leaf, parts[leaf])]), F.col("leaf"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.coalesce(chunks, F.lit(1))).cast("int"))
 
     def inside(members: pd.DataFrame) -> pd.DataFrame:
-        x, cid, own = _unit(members["vec"]), members["cid"].to_numpy(), int(members["leaf"].iloc[0])
-        bound, found = np.zeros(len(x)), []
-        for a in range(0, len(x), 1024):
-            cos = x[a : a + 1024] @ x.T
-            cos[np.arange(len(cos)), np.arange(a, a + len(cos))] = -3.0
-            bound[a : a + 1024] = _top(cos, k)
-            i, j = np.nonzero(cos >= bound[a : a + 1024, None] - SLACK)
-            keep = cos[i, j] > -2.5
-            i, j = i[keep], j[keep]
-            rows = {"leaf": -1, "cid": cid[a + i], "vec": pd.Series([None] * len(i), dtype=object), "bound": 0.0, "other": cid[j], "cos": np.round(cos[i, j], DECIMALS)}
-            found.append(pd.DataFrame(rows))
+        x, cid, asked = _unit(members["vec"], kind, size), members["cid"].to_numpy(), members["asked"].to_numpy(bool)
+        own, chunk, who = int(members["leaf"].iloc[0]), int(members["chunk"].iloc[0]), np.flatnonzero(asked)
+        i, j, cos, bound = _close(x[who], x, np.full(len(who), -2.0), k, who)
+        out = [pd.DataFrame({"leaf": -1, "chunk": 0, "cid": cid[who[i]], "bound": 0.0, "other": cid[j], "cos": np.round(cos, DECIMALS)})]
         radius2 = np.maximum(2 - 2 * bound + 4 * SLACK, 0.0) * reach
-        visits = []
-        for leaf, at in tree.within(x @ projection, radius2):
-            if leaf != own:
-                rows = {"leaf": leaf, "cid": cid[at], "vec": pd.Series(members["vec"].iloc[at].tolist(), dtype=object), "bound": bound[at], "other": 0, "cos": 0.0}
-                visits.append(pd.DataFrame(rows))
-        return pd.concat([*found, *visits], ignore_index=True).astype({"vec": object})
+        for leaf, at in tree.within(x[who] @ projection, radius2):
+            for part in range(parts[leaf]):
+                if (leaf, part) != (own, chunk):
+                    out.append(pd.DataFrame({"leaf": leaf, "chunk": part, "cid": cid[who[at]], "bound": bound[at], "other": 0, "cos": 0.0}))
+        return pd.concat(out, ignore_index=True)
 
-    first_round = scratch.keep(placed.groupBy("leaf").applyInPandas(inside, columns), "round-1")
+    columns = "leaf int, chunk int, cid bigint, bound double, other bigint, cos double"
+    first_round = scratch.keep(placed.groupBy("leaf", "chunk").applyInPandas(inside, columns), "round-1")
 
     def verify(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"cid": [], "other": [], "cos": []}).astype({"cid": "int64", "other": "int64", "cos": "float64"})]
-        if len(visitors) and len(members):
-            x, cid, ids = _unit(members["vec"]), members["cid"].to_numpy(), visitors["cid"].to_numpy()
-            bound, step = visitors["bound"].to_numpy(), max(64, 4_000_000 // len(x))
-            for a in range(0, len(visitors), step):
-                cos = _unit(visitors["vec"].iloc[a : a + step]) @ x.T
-                least = np.maximum(bound[a : a + step], _top(cos, k) if k <= len(x) <= 4 * k else -2.0)
-                i, j = np.nonzero(cos >= least[:, None] - SLACK)
-                found.append(pd.DataFrame({"cid": ids[a + i], "other": cid[j], "cos": np.round(cos[i, j], DECIMALS)}))
-        return pd.concat(found)
-
-    visits = first_round.where("leaf >= 0").select("leaf", "cid", "vec", "bound")
-    second = visits.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(verify, "cid bigint, other bigint, cos double")
+        if not len(visitors) or not len(members):
+            return pd.DataFrame({"cid": [], "other": [], "cos": []}).astype({"cid": "int64", "other": "int64", "cos": "float64"})
+        ids, cid = visitors["cid"].to_numpy(), members["cid"].to_numpy()
+        i, j, cos, _ = _close(_unit(visitors["vec"], kind, size), _unit(members["vec"], kind, size), visitors["bound"].to_numpy())
+        return pd.DataFrame({"cid": ids[i], "other": cid[j], "cos": np.round(cos, DECIMALS)})
+
+    # visits are narrow; the vectors join them here
+    visits = first_round.where("leaf >= 0").select("leaf", "chunk", "cid", "bound")
+    members = placed.select("leaf", "chunk", "cid", "vec")
+    crowded = visits.groupBy("leaf", "chunk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > visitor_rows)
+    keys = ["leaf", "chunk"]
+    if not crowded.isEmpty():
+        # too many visitors of one leaf are split, and the leaf is sent to each part
+        keys, share = [*keys, "part"], crowded.select("leaf", "chunk", F.ceil(F.col("n") / visitor_rows).cast("int").alias("parts"))
+        share = scratch.keep(share, "crowded")
+        visits = visits.join(share, ["leaf", "chunk"], "left").withColumn("part", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        members = members.join(share, ["leaf", "chunk"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    visits = visits.join(packed.select("cid", "vec"), "cid")
+    second = visits.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(verify, "cid bigint, other bigint, cos double")
     return first_round.where("leaf < 0").select("cid", "other", "cos").unionByName(second)
 
 
-def nearest(vectors: DataFrame, k: int = 3, scratch: Scratch | None = None, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def nearest(
+    vectors: DataFrame, k: int = 3, scratch: Scratch | None = None, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS, size: int | None = None, visitor_rows: int = VISITOR_ROWS
+) -> DataFrame:
     """``path, frame, near_path, near_frame, cos``: the k rows of highest cosine of every row of ``path, frame, vec``.
 
-    ``vec`` is an array of numbers of one length, not all 0, without nulls (the
-    caller drops others).  Cosines are rounded to 9 decimals; among equals the
-    smaller path, then the smaller frame goes first.  Repeated rows count once;
-    a table of k rows or fewer gives fewer than k neighbours.
+    ``vec`` is an array of ``size`` numbers (if not given, of the greatest length
+    there is).  Null vectors, others of another length, without a number other than
+    0, or with nulls or numbers that aren't finite take no part.  A boolean column
+    ``asked`` restricts the rows to search for, not those to find.  Cosines are
+    rounded to 9 decimals; among equals the smaller path, then the smaller frame
+    goes first.  Repeated rows count once; a table of k rows or fewer gives fewer
+    than k neighbours, an empty one no rows.  Integers beyond 53 bits lose precision.
     """
     scratch = scratch or Scratch(vectors.sparkSession, "knn")
-    rows = vectors.select("path", "frame", "vec").distinct().withColumn("cid", F.xxhash64("vec"))
+    asked = F.coalesce("asked", F.lit(False)) if "asked" in vectors.columns else F.lit(True)
+    fine = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    size = size or vectors.agg(F.max(F.size("vec"))).first()[0] or 1
+    rows = vectors.where((F.size("vec") == size) & fine).groupBy("path", "frame", "vec").agg(F.max(asked).alias("asked"))
+    # equal vectors by two hashes
+    rows = rows.select("path", "frame", "vec", "asked", F.struct(F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(7), "vec").alias("i")).alias("same"))
     # the limit per group is applied on the map side first, so a frequent vector is never gathered
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy("path", "frame"))
-    heads = scratch.keep(rows.withColumn("rn", rank).where(F.col("rn") <= k + 1), "heads")
-    classes = heads.where("rn = 1").select("cid", "vec")
+    rank = F.row_number().over(Window.partitionBy("same").orderBy("path", "frame"))
+    heads = rows.withColumn("rn", rank).where(F.col("rn") <= k + 1)
+    if "asked" in vectors.columns:
+        wanted = rows.groupBy("same").agg(F.max("asked").alias("wanted"))
+        heads = heads.join(wanted, "same")
+    else:
+        heads = heads.withColumn("wanted", F.lit(True))
+    heads = scratch.keep(heads.select("same", "path", "frame", "rn", "wanted", F.when(F.col("rn") == 1, F.col("vec")).alias("vec")), "heads")
+    # the number of a class, fixed by being written
+    classes = scratch.keep(heads.where("rn = 1").select("same", "path", "frame", "vec", F.col("wanted").alias("asked")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    near = near_classes(classes, k, n, scratch, confidence, leaf_rows)
-    members = heads.select(F.col("cid").alias("other"), F.col("path").alias("near_path"), F.col("frame").alias("near_frame"))
+    near = near_classes(classes.select("cid", "vec", "asked"), k, n, size, scratch, confidence, leaf_rows, visitor_rows)
     best = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("cos"), "other_path", "other_frame"))
     # only k classes (by their first key) can give neighbours: a later class is behind k keys already
-    leads = heads.where("rn = 1").select(F.col("cid").alias("other"), F.col("path").alias("other_path"), F.col("frame").alias("other_frame"))
+    leads = classes.select(F.col("cid").alias("other"), F.col("path").alias("other_path"), F.col("frame").alias("other_frame"))
     kept = near.join(leads, "other").withColumn("b", best).where(F.col("b") <= k).select("cid", "other", "cos")
-    own = heads.where("rn = 2").select("cid", F.col("cid").alias("other"), F.lit(1.0).alias("cos"))
+    number = heads.join(classes.select("same", "cid"), "same")
+    own = number.where("rn = 2").select("cid", F.col("cid").alias("other"), F.lit(1.0).alias("cos"))
+    members = number.select(F.col("cid").alias("other"), F.col("path").alias("near_path"), F.col("frame").alias("near_frame"))
     offers = kept.unionByName(own).join(members, "other")
     place = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("cos"), "near_path", "near_frame"))
     offers = offers.withColumn("o", place).where(F.col("o") <= k + 1)
     offers = offers.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("o", "near_path", "near_frame", "cos"))).alias("offers"))
-    joined = rows.select("path", "frame", "cid").join(offers, "cid")
+    offers = offers.join(classes.select("cid", "same"), "cid").select("same", "offers")
+    joined = rows.where("asked").select("path", "frame", "same").join(offers, "same")
     others = F.filter("offers", lambda x: (x["near_path"] != F.col("path")) | (x["near_frame"] != F.col("frame")))
     out = joined.select("path", "frame", F.explode(F.slice(others, 1, k)).alias("x"))
     return out.select("path", "frame", F.col("x.near_path").alias("near_path"), F.col("x.near_frame").alias("near_frame"), F.col("x.cos").alias("cos"))

@@ -46,7 +46,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     usable = table(spark, d, "frames").where(usable_hist("hist")).selectExpr("path", "frame", "hist as vec")
-    return nearest(usable).drop("cos")
+    return nearest(usable, size=16).drop("cos")
+
+
+def p5_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of all embeddings for every one whose id is divisible by 100."""
+    rows = table(spark, d, "embeddings").selectExpr("'' as path", "vec_id as frame", "embedding as vec", "vec_id % 100 = 0 as asked")
+    return nearest(rows).selectExpr("frame as vec_id", "near_frame as near_id", "round(cos, 6) as cos")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

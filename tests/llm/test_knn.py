@@ -34,6 +34,55 @@ def test_recall_against_brute_force(spark, leaf_rows):
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.99
 
 
+def as_table(spark, x, kind):
+    return spark.createDataFrame([(f"{i:05}", 0, [v.item() for v in row], "clash") for i, row in enumerate(x)], f"path string, frame int, vec array<{kind}>, cid string")
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_on_real_numbers(spark, kind, clustered):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 16))
+    if clustered:
+        x = rng.normal(size=(12, 16))[rng.integers(0, 12, 600)] + 0.05 * x
+    x = x.astype(np.float32 if kind == "float" else np.float64)
+    got = {(r["path"], r["near_path"]) for r in nearest(as_table(spark, x, kind), 3, leaf_rows=50, visitor_rows=40).collect()}
+    want = {(a, b) for a, _, b, _ in brute([(f"{i:05}", 0, tuple(row)) for i, row in enumerate(x.astype(float))], 3)}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.99
+
+
+def test_a_leaf_with_more_than_its_share_is_cut(spark):
+    # all but a few vectors lie so close together that the sample's cuts cannot part them evenly
+    rng = np.random.default_rng(6)
+    x = np.concatenate([1 + 1e-3 * rng.normal(size=(500, 16)), rng.normal(size=(40, 16))])
+    got = {(r["path"], r["near_path"]) for r in nearest(as_table(spark, x, "double"), 3, leaf_rows=20, visitor_rows=30).collect()}
+    want = {(a, b) for a, _, b, _ in brute([(f"{i:05}", 0, tuple(row)) for i, row in enumerate(x)], 3)}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.99
+
+
+def test_vectors_that_take_no_part_and_rows_that_are_not_asked_for(spark):
+    rows = [("a", 0, [1.0, 2.0], True), ("b", 0, [2.0, 1.0], False), ("c", 0, [0.0, 0.0], True), ("d", 0, None, True), ("e", 0, [1.0], True), ("f", 0, [float("nan"), 1.0], True), ("g", 0, [None, 1.0], True), ("h", 0, [1.0, 2.1], None)]
+    df = spark.createDataFrame(rows, "path string, frame int, vec array<double>, asked boolean")
+    assert {(r["path"], r["near_path"]) for r in nearest(df, 2).collect()} == {("a", "h"), ("a", "b")}
+
+
+def test_embeddings_against_brute_force(spark, data):
+    from tesserae.llm.queries import p5_embeddings
+
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r["embedding"]}
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for n, i in enumerate(ids):
+        if i % 100 == 0:
+            cos = x @ x[n]
+            cos[n] = -2
+            want |= {(i, ids[j]) for j in np.argsort(-cos)[:3]}
+    got = {(r["vec_id"], r["near_id"]) for r in p5_embeddings(spark, data).collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_copies_and_ties(spark):
     a, b, c = (1,) * 16, (2,) * 16, (1,) * 15 + (9,)
     rows = [(f"c{k:02}", 0, a) for k in range(30)] + [("a", 0, b), ("z", 1, c), ("z", 0, c), ("z", 0, c)]
