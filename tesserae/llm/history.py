@@ -26,7 +26,6 @@ from __future__ import annotations
 import json
 import uuid
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +38,6 @@ from tesserae.session import Scratch
 SMALL_ROWS = 200_000
 #: An index that holds this many times the patterns it was planned for is laid out anew.
 OUTGROWN = 4
-#: Classes that share a pattern and are paired inside the group; more are paired by a join.
-HOT_CLASSES = 64
 CID = "struct<h: bigint, i: bigint>"
 JUDGED = f"batch_id int, entry_id bigint, cid {CID}, tokens array<{CID}>, repeats boolean, stored boolean, tag bigint"
 #: Columns and bucket key of the bucketed tables.
@@ -69,7 +66,7 @@ def prepare(entries: DataFrame, frames: DataFrame, scratch: Scratch) -> tuple[Da
     e = entries.select("batch_id", "entry_id", "path", "sig", digest("md5").alias("digest")).where("batch_id is not null").distinct()
     by_sig = F.when(F.col("path").isNotNull() & (F.col("sig") != ""), pair_hash(F.lit("s"), "path", "sig"))
     by_digest = F.when(F.col("digest").isNotNull(), pair_hash(F.lit("m"), "digest"))
-    paths = path_frames(frame_rows(frames, e.select("path").distinct()))
+    paths = scratch.keep(path_frames(frame_rows(frames, e.select("path").distinct())), "paths")
     known = e.select("batch_id", "entry_id", "path", F.array_compact(F.array(by_sig, by_digest)).alias("tokens")).join(paths.select("path", "cid"), "path", "left")
 
     def part(df: DataFrame, name: str) -> DataFrame:
@@ -133,50 +130,39 @@ class History:
 
         ``probes``: ``cid, nf, u, v, w``.
         """
-        plan, width = self.plan, 2 * GROUP_ROWS
-        sent = probes.select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w", F.col("cid.h").alias("h"), "nf", "u")
-        index, keys = self._read("postings").drop("tag"), ["g"]
+        plan, width, keys = self.plan, 2 * GROUP_ROWS, ["g"]
+        sent = probes.select("v", "w").distinct().select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w")
+        # bucketed by token: neither this nor the groups below shuffle the index
+        index = self._read("postings").select("g", "v", "w").distinct()
         if self.state["patterns"] * len(plan.blocks) > width:
             # a token that very many patterns carry is cut into chunks, which meet each chunk of the probes
             count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) * 2 / width).cast("int").alias(c))
-            hot = count(index, "ic").where("ic > 2")
+            hot = count(self._read("postings"), "ic").where("ic > 2")
             if not hot.isEmpty():
                 hot = self.scratch.keep(hot.join(count(sent, "pc"), "g"), f"hot-{self.batches}")
                 keys = ["g", "i", "p"]
-                part = lambda c: F.pmod(F.xxhash64("v", "w", "h"), F.coalesce(c, F.lit(1))).cast("int")
+                part = lambda c: F.pmod(F.xxhash64("v", "w"), F.coalesce(c, F.lit(1))).cast("int")
                 every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
                 sent = sent.join(hot, "g", "left").withColumn("p", part("pc")).withColumn("i", every("ic")).drop("ic", "pc")
                 index = index.join(hot, "g", "left").withColumn("i", part("ic")).withColumn("p", every("pc")).drop("ic", "pc")
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("g", "p", "q", "v1", "w1", "v2", "w2")})
             if not len(a) or not len(b):
-                return empty
-            (ai, au), (bi, bu) = _distinct(a), _distinct(b)
-            words = au["w"].to_numpy().view("uint64"), bu["w"].to_numpy().view("uint64"), PH_BITS
-            i, j = cross_pairs(au["v"].to_numpy().view("uint64"), bu["v"].to_numpy().view("uint64"), int(a["g"].iloc[0]), plan, words)
-            # patterns that many classes share are paired by a join, not in memory
-            hot = np.bincount(ai, minlength=len(au))[i] * np.bincount(bi, minlength=len(bu))[j] > HOT_CLASSES**2
-            few = pd.DataFrame({"i": i[~hot], "j": j[~hot]})
-            few = few.merge(a.assign(i=ai)[["i", "h", "nf", "u"]], on="i").merge(b.assign(j=bi)[["j", "h", "nf", "u"]], on="j", suffixes=("", "2"))
-            few = few[2 * few["u"].astype("int64") * few["u2"] >= few["nf"] * few["nf2"]]
-            few = few[["h", "h2"]].drop_duplicates().rename(columns={"h": "p", "h2": "q"}).assign(g=-1, v1=0, w1=0, v2=0, w2=0)
-            x, y = au.iloc[i[hot]], bu.iloc[j[hot]]
-            many = pd.DataFrame({"v1": x["v"].to_numpy(), "w1": x["w"].to_numpy(), "v2": y["v"].to_numpy(), "w2": y["w"].to_numpy()}).assign(g=a["g"].iloc[0], p=0, q=0)
-            return pd.concat([empty, few, many])[list(empty.columns)]
+                return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("g", "v1", "w1", "v2", "w2")})
+            av, aw, bv, bw = (d[c].to_numpy() for d in (a, b) for c in ("v", "w"))
+            g = int(a["g"].iloc[0])
+            i, j = cross_pairs(av.view("uint64"), bv.view("uint64"), g, plan, (aw.view("uint64"), bw.view("uint64"), PH_BITS))
+            return pd.DataFrame({"g": g, "v1": av[i], "w1": aw[i], "v2": bv[j], "w2": bw[j]})
 
         if keys == ["g"]:
             sent = sent.repartition(self.state["buckets"], "g")
-        met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "g int, p bigint, q bigint, v1 bigint, w1 bigint, v2 bigint, w2 bigint")
+        met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "g int, v1 bigint, w1 bigint, v2 bigint, w2 bigint")
         met = self.scratch.keep(met, f"met-{self.batches}")
-        few = met.where("g < 0").select("p", "q").distinct()
-        many = met.where("g >= 0").select("g", "v1", "w1", "v2", "w2").distinct()
-        if many.isEmpty():
-            return few
+        # classes join by pattern, so a pattern that many of them share is never gathered
         held = self._read("postings").select("g", F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("nf2"), F.col("u").alias("u2"))
         own = probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), F.col("cid.h").alias("p"), "nf", "u")
-        wide = many.join(own, ["v1", "w1"]).join(held, ["g", "v2", "w2"]).where("2 * u * u2 >= nf * nf2")
-        return few.unionByName(wide.select("p", "q")).distinct()
+        wide = held.join(met, ["g", "v2", "w2"]).join(own, ["v1", "w1"])
+        return wide.where("2 * u * u2 >= nf * nf2").select("p", "q").distinct()
 
     def judged_classes(self, classes: DataFrame, probes: DataFrame, n: int) -> DataFrame:
         """``cid, similar, stored`` of the ``n`` or fewer classes ``cid, nf, fs`` with candidates: whether one matches, whether one is the class itself."""
@@ -251,12 +237,6 @@ class History:
             self.spark.sql(f"drop table if exists {name}")
 
 
-def _distinct(rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
-    """For each row the number of its pattern, and the patterns ``v, w``."""
-    number = rows.groupby(["v", "w"], sort=False).ngroup().to_numpy()
-    return number, rows[["v", "w"]].drop_duplicates()
-
-
 def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``batch_id, entry_id`` of the entries that repeat an accepted entry of a smaller batch.
 

@@ -132,4 +132,5 @@ def test_fusion_against_a_simulated_truth(spark):
 def test_a_certain_preference_overrides_votes(spark):
     rows = [("x", f"s{k}", "often", 1, 1) for k in range(5)] + [("x", "t", "preferred", 1, 2), ("y", "s", "b", 1, None), ("y", "t", "a", 1, None)]
     got = {r["item"]: (r["value"], r["rank"]) for r in fuse(spark.createDataFrame(rows, CLAIM + ", rank int"), Scratch(spark, "f")).collect()}
-    assert got == {"x": ("preferred", 2), "y": ("a", None)}
+    # t lost the votes on x, so s is believed on y
+    assert got == {"x": ("preferred", 2), "y": ("b", None)}
