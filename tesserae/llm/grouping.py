@@ -18,26 +18,25 @@ from tesserae.session import Scratch
 
 
 def class_links(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``lead_a, lead_b``: the leads of different classes that match, each pair once.
+    """``lead1, lead2``: the leads (smallest paths) of different classes that match; a pair may come more than once.
 
-    ``classes``: ``cid, lead, nf, fs``.  Candidates are classes with a matching pair
+    ``classes``: ``lead, nf, fs``.  Candidates are classes with a matching pair
     of frames among their rarest ones.  Classes of one frame match by that; others
     are verified on all their frames.
     """
-    prefix = scratch.keep(prefixes(classes.withColumn("id", F.struct("cid", "lead")), ("id",), ("hist", "nn")), "prefix")
+    prefix = scratch.keep(prefixes(classes, ("lead",), ("hist", "nn")), "prefix")
     patterns = scratch.keep(prefix.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "patterns")
     near = near_pairs(patterns, plan_for(patterns.count(), DH_BITS), PH_BITS)
     pairs = near.unionByName(patterns.where("n > 1").selectExpr("v as v1", "w as w1", "v as v2", "w as w2"))
     side = lambda k: prefix.select(*[F.col(c).alias(f"{c}{k}") for c in prefix.columns])
     met = pairs.join(side(1), ["v1", "w1"]).join(side(2), ["v2", "w2"])
-    met = met.where("id1 <> id2 and (v1 <> v2 or w1 <> w2 or id1 < id2) and 2 * u1 * u2 >= nf1 * nf2")
+    met = met.where("lead1 <> lead2 and (v1 <> v2 or w1 <> w2 or lead1 < lead2) and 2 * u1 * u2 >= nf1 * nf2")
     met = met.where(dot(F.col("hist1"), F.col("hist2")) / F.sqrt(F.col("nn1") * F.col("nn2")) >= MIN_COSINE)
-    met = scratch.keep(met.select("id1", "id2", ((F.col("nf1") == 1) & (F.col("nf2") == 1)).alias("sure")), "met")
-    full = lambda s: classes.select(F.struct("cid", "lead").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("nf", "fs")])
-    cand = met.where("not sure").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    met = scratch.keep(met.select("lead1", "lead2", ((F.col("nf1") == 1) & (F.col("nf2") == 1)).alias("sure")), "met")
+    full = lambda s: classes.select(F.col("lead").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("nf", "fs")])
+    cand = met.where("not sure").select(F.least("lead1", "lead2").alias("a"), F.greatest("lead1", "lead2").alias("b")).distinct()
     seen = cand.join(full("a"), "a").join(full("b"), "b").where(classes_match("a_", "b_"))
-    lead = lambda x, y: [F.col(f"{x}.lead").alias("a_lead"), F.col(f"{y}.lead").alias("b_lead")]
-    return met.where("sure").select(*lead("id1", "id2")).unionByName(seen.select(*lead("a", "b")))
+    return met.where("sure").select("lead1", "lead2").unionByName(seen.select(F.col("a").alias("lead1"), F.col("b").alias("lead2")))
 
 
 def linked_groups(files: DataFrame, frames: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -55,7 +54,7 @@ def linked_groups(files: DataFrame, frames: DataFrame, scratch: Scratch | None =
     paths = path_frames(frame_rows(frames, listed))
     leaders = paths.groupBy("cid").agg(F.min("path").alias("lead"), F.max("path").alias("last"), F.first("nf").alias("nf"), F.first("fs").alias("fs"))
     leaders = scratch.keep(leaders, "leaders")
-    across = scratch.keep(class_links(leaders, scratch), "across").select(F.col("a_lead").alias("src"), F.col("b_lead").alias("dst"))
+    across = scratch.keep(class_links(leaders, scratch), "across").select(F.col("lead1").alias("src"), F.col("lead2").alias("dst"))
     # copies of a class are linked if the class matches itself
     copied = leaders.where("lead < last").select("cid", "lead", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs"), F.col("nf").alias("b_nf"), F.col("fs").alias("b_fs"))
     copied = copied.where(classes_match("a_", "b_")).select("cid", F.col("lead").alias("dst"))

@@ -119,19 +119,23 @@ class History:
     def _read(self, name: str) -> DataFrame:
         """The rows of complete batches."""
         self.spark.catalog.refreshTable(self.names[name])
-        return self.spark.table(self.names[name]).where(F.col("tag").isin(self.state["tags"]))
+        return self.spark.table(self.names[name]).where(self._complete())
+
+    def _complete(self) -> Column:
+        # an array literal, unlike a list of values, leaves the generated code the same for every batch
+        return F.array_contains(F.lit(self.state["tags"]).cast("array<bigint>"), F.col("tag"))
 
     def judged(self) -> DataFrame:
         """The entries of all complete batches, as they were judged."""
-        return self.spark.read.schema(JUDGED).parquet(self.scratch.path("judged")).where(F.col("tag").isin(self.state["tags"]))
+        return self.spark.read.schema(JUDGED).parquet(self.scratch.path("judged")).where(self._complete())
 
-    def candidates(self, probes: DataFrame) -> DataFrame:
-        """``p, q``: hashes of classes of the batch and of the index with near patterns among their rarest frames.
+    def candidates(self, probes: DataFrame, n: int) -> DataFrame:
+        """``p, q``: hashes of classes of the batch and of the index with near patterns among their rarest frames, pairs may repeat.
 
         ``probes``: ``cid, nf, u, v, w``.
         """
         plan, width, keys = self.plan, 2 * GROUP_ROWS, ["g"]
-        sent = probes.select("v", "w").distinct().select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w")
+        sent = probes.select(F.explode(routed(F.col("v"), plan, sides(plan)[0])).alias("g"), "v", "w")
         # bucketed by token: neither this nor the groups below shuffle the index
         index = self._read("postings").select("g", "v", "w").distinct()
         if self.state["patterns"] * len(plan.blocks) > width:
@@ -149,31 +153,30 @@ class History:
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("g", "v1", "w1", "v2", "w2")})
+            a, g = a[["v", "w"]].drop_duplicates(), int(a["g"].iloc[0])
             av, aw, bv, bw = (d[c].to_numpy() for d in (a, b) for c in ("v", "w"))
-            g = int(a["g"].iloc[0])
             i, j = cross_pairs(av.view("uint64"), bv.view("uint64"), g, plan, (aw.view("uint64"), bw.view("uint64"), PH_BITS))
             return pd.DataFrame({"g": g, "v1": av[i], "w1": aw[i], "v2": bv[j], "w2": bw[j]})
 
         if keys == ["g"]:
             sent = sent.repartition(self.state["buckets"], "g")
         met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "g int, v1 bigint, w1 bigint, v2 bigint, w2 bigint")
-        met = self.scratch.keep(met, f"met-{self.batches}")
         # classes join by pattern, so a pattern that many of them share is never gathered
+        met = self.scratch.keep(met, f"met-{self.batches}")
         held = self._read("postings").select("g", F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("nf2"), F.col("u").alias("u2"))
-        own = probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), F.col("cid.h").alias("p"), "nf", "u")
-        wide = held.join(met, ["g", "v2", "w2"]).join(own, ["v1", "w1"])
-        return wide.where("2 * u * u2 >= nf * nf2").select("p", "q").distinct()
+        own = sized(probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), F.col("cid.h").alias("p"), "nf", "u"), n)
+        return held.join(met, ["g", "v2", "w2"]).join(own, ["v1", "w1"]).where("2 * u * u2 >= nf * nf2").select("p", "q")
 
     def judged_classes(self, classes: DataFrame, probes: DataFrame, n: int) -> DataFrame:
-        """``cid, similar, stored`` of the ``n`` or fewer classes ``cid, nf, fs`` with candidates: whether one matches, whether one is the class itself."""
+        """``cid, similar, stored`` of the classes ``cid, nf, fs`` (``n`` frames) with candidates: whether one matches, whether one is the class itself."""
         # hashes only lead to the classes; the frames themselves decide
         b = self._read("classes").select(F.col("h").alias("q"), F.col("cid").alias("q_cid"), F.col("nf").alias("b_nf"), F.col("fs").alias("b_fs"))
-        a = classes.select(F.col("cid.h").alias("p"), "cid", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs"))
-        full = b.join(self.candidates(probes), "q").join(a, "p")
+        a = sized(classes.select(F.col("cid.h").alias("p"), "cid", F.col("nf").alias("a_nf"), F.col("fs").alias("a_fs")), n)
+        full = b.join(self.candidates(probes, n), "q").join(a, "p")
         return full.groupBy("cid").agg(F.max(classes_match("a_", "b_")).alias("similar"), F.max(F.col("cid") == F.col("q_cid")).alias("stored"))
 
-    def check_prepared(self, batch: int, now: DataFrame, classes: DataFrame, prefix: DataFrame, n: int) -> None:
-        """Judge and accept the ``n`` entries of a batch, given as `prepare` makes them."""
+    def check_prepared(self, batch: int, now: DataFrame, classes: DataFrame, prefix: DataFrame, n: int, frames: int) -> None:
+        """Judge and accept the ``n`` entries of a batch with ``frames`` usable frames, given as `prepare` makes them."""
         # a number of its own, so that rows of an attempt that was not completed never count
         tag = uuid.uuid4().int >> 66
         judged = now.withColumn("repeats", F.lit(False)).withColumn("stored", F.lit(False))
@@ -181,13 +184,13 @@ class History:
             tokens = now.select("entry_id", F.explode("tokens").alias("token"))
             held = self.judged().where("not repeats").select(F.explode("tokens").alias("token"))
             hits = held.join(sized(tokens, 2 * n), "token").select("entry_id").distinct().withColumn("exact", F.lit(True))
-            judged = now.join(hits, "entry_id", "left").join(self.judged_classes(classes, prefix, n), "cid", "left")
+            judged = now.join(sized(hits, n), "entry_id", "left").join(sized(self.judged_classes(classes, prefix, frames), n), "cid", "left")
             repeats = F.coalesce("exact", F.lit(False)) | F.coalesce("similar", F.lit(False))
             judged = judged.select(*now.columns, repeats.alias("repeats"), F.coalesce("stored", F.lit(False)).alias("stored"))
         judged = judged.select(F.lit(batch).cast("int").alias("batch_id"), "entry_id", "cid", "tokens", "repeats", "stored", F.lit(tag).cast("bigint").alias("tag"))
         self.scratch.append(judged, "judged")
         new = self.spark.read.schema(JUDGED).parquet(self.scratch.path("judged")).where(F.col("tag") == tag)
-        new = sized(new.where("not repeats and not stored and cid is not null").select("cid").distinct(), n)
+        new = sized(new.where("not repeats and not stored and cid is not null").select("cid"), n)
         fresh = lambda df: df.join(new, "cid", "left_semi").withColumn("tag", F.lit(tag).cast("bigint"))
         self._append(self._routes(fresh(prefix).select("v", "w", F.col("cid.h").alias("h"), "nf", "u", "tag")), "postings")
         # a class that can match none has no postings, no probe will ask for it
@@ -228,7 +231,7 @@ class History:
         """
         inputs = Scratch(self.spark, "batch")
         parts = [df.drop("batch_id") for df in prepare(entries.withColumn("batch_id", F.lit(self.batches)), frames, inputs)]
-        self.check_prepared(self.batches, *parts, parts[0].count())
+        self.check_prepared(self.batches, *parts, parts[0].count(), parts[1].agg(F.coalesce(F.sum(F.size("fs")), F.lit(0))).first()[0])
         return self.judged().where(F.col("tag") == self.state["tags"][-1]).select("entry_id", "repeats")
 
     def close(self) -> None:
@@ -252,8 +255,9 @@ def repeated_entries(cache: DataFrame, frames: DataFrame, scratch: Scratch | Non
         return spark.createDataFrame([], "batch_id int, entry_id bigint")
     order = sorted(batches)
     of = lambda df, batch: df.where(F.col("batch_id") == batch).drop("batch_id")
-    history = History.create(spark, Scratch(spark, "index"), 4 * of(prefix, order[0]).count())
+    counts = {r["batch_id"]: r["n"] for r in classes.groupBy("batch_id").agg(F.sum(F.size("fs")).alias("n")).collect()}
+    history = History.create(spark, Scratch(spark, "index"), 4 * counts.get(order[0], 0))
     for batch in order:
-        history.check_prepared(batch, of(entries, batch), of(classes, batch), of(prefix, batch), batches[batch])
+        history.check_prepared(batch, of(entries, batch), of(classes, batch), of(prefix, batch), batches[batch], counts.get(batch, 0))
     history.close()
     return history.judged().where("repeats").select("batch_id", "entry_id")
