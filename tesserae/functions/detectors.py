@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesserae.functions import colour as C
+from tesserae.functions import fixed
 from tesserae.functions.media import aspect_class
 
 
@@ -76,3 +77,19 @@ def config_match(palette: Column, expected: Column, excluded: Column, have: Colu
     shape = F.lit(1.0) if "any" in aspects else F.when(aspect_class(w, h).isin(*aspects), 1.0).otherwise(0.0)
     size = F.when((w >= least[0]) & (h >= least[1]), 1.0).otherwise(0.3) if least[0] and least[1] else F.lit(1.0)
     return (palette + keyword_match(expected, excluded, have) + shape + size) / 4.0
+
+
+def gate(size: Column, seen: Column, sharpness: Column, aesthetic: Column, bare: Column, reply: Column, least_aesthetic: float = 0.0, use_reply: bool = True) -> Column:
+    """Where a file goes before it is classified, or null: too large, too blurred or plain, or bare skin by measure or by a model's reply.
+
+    ``seen`` is null for files without a profile, which only the size can stop.  The
+    aesthetic gate is off at 0.
+    """
+    g = fixed.GATES
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    blurred = zero(sharpness) < g["least_sharpness"]
+    if least_aesthetic > 0:
+        blurred = blurred | (zero(aesthetic) < least_aesthetic)
+    replied = (zero(reply) >= g["reply_unsure"]) & (zero(reply) >= g["reply_nsfw"]) if use_reply else F.lit(False)
+    known = F.coalesce(seen, F.lit(False))
+    return F.when(size > g["most_bytes"], "Discarded").when(known & blurred, "Low-Quality").when(known & (replied | (zero(bare) >= g["nsfw"])), "NSFW")

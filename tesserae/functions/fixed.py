@@ -191,3 +191,6 @@ EXAMPLES = (
 
 #: Leading phrases that are removed from written descriptions.
 BAD_LEADS = ("the image features", "a unified aesthetic can be achieved", "a unified aesthetic combines", "the unified aesthetic", "this category", "category:")
+
+# The limits of the gates before classification.
+GATES = {"most_bytes": 104_857_600, "least_sharpness": 80.0, "nsfw": 0.5, "reply_unsure": 0.65, "reply_nsfw": 0.70}

@@ -230,3 +230,24 @@ def victims(files: DataFrame, frames: DataFrame, scratch: Scratch, source: str,
     order = F.struct(F.when(F.col("tier") == "exact", inside).otherwise(F.lit(False)).alias("i"), (~F.col("is_keep")).alias("k"), F.col("path").alias("p"))
     keep = groups.groupBy("group_id", "tier").agg(F.min(order)["p"].alias("keep"), F.max(inside).alias("touched"))
     return groups.join(keep.where("touched"), ["group_id", "tier"]).where("path <> keep").select("path", "group_id", "tier")
+
+
+def group_stats(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """``measure, name, value`` of duplicate groups ``group_id, path, tier, is_keep``.
+
+    Measures: 'total' (groups, duplicates, size_matched, md5_matched, perceptual,
+    wasted_bytes), 'tier' (groups of each tier) and 'kind' (groups that hold each
+    extension).  A group is known by its id and whether it is exact.
+    """
+    size = listed(files).groupBy("path").agg(F.max("size_bytes").alias("size"))
+    g = groups.join(size, "path").withColumn("exact", F.col("tier") == "exact").withColumn("ext", extension(F.col("path")))
+    per = g.groupBy("group_id", "exact", "tier").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.min("size") == F.max("size"), F.lit(False)).alias("same"), F.sum(F.when(F.col("is_keep"), 0).otherwise(F.coalesce("size", F.lit(0)))).alias("wasted")
+    )
+    total = per.agg(
+        F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count_if("same").alias("size_matched"), F.count_if("exact").alias("md5_matched"), F.count_if(~F.col("exact")).alias("perceptual"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted_bytes")
+    )
+    total = total.unpivot([], total.columns, "name", "value").select(F.lit("total").alias("measure"), "name", F.col("value").cast("bigint").alias("value"))
+    tiers = per.groupBy(F.col("tier").alias("name")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("tier").alias("measure"), "name", "value")
+    kinds = g.select("group_id", "exact", F.col("ext").alias("name")).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("value")).select(F.lit("kind").alias("measure"), "name", "value")
+    return total.unionByName(tiers).unionByName(kinds)

@@ -50,8 +50,10 @@ class Plan(NamedTuple):
         return len(self.blocks) << self.route
 
 
-def plan_for(n: int, max_bits: int = 8, bits: int = 64) -> Plan:
-    """Three blocks of radius 1 up to about 30 million patterns, two blocks of radius 2 beyond (for 8 bits)."""
+def plan_for(n: int, max_bits: int = 8, bits: int = 64, index: bool = False) -> Plan:
+    """``index``: for the groups of an index, which lists fewer values than either side of a self-join.
+
+    Three blocks of radius 1 up to about 30 million patterns, two blocks of radius 2 beyond (for 8 bits)."""
     count = max(1, -(-max_bits // 3)) if n <= 30_000_000 else max(1, -(-max_bits // 5))
     # listed values are packed with row numbers into 64 bits, so a block has 32 bits at most
     count = max(count, -(-bits // 32))
@@ -62,7 +64,8 @@ def plan_for(n: int, max_bits: int = 8, bits: int = 64) -> Plan:
     sizes = [bits // count + (k < bits % count) for k in range(count)]
     shifts = np.cumsum([0, *sizes[:-1]]).tolist()
     route = 2
-    while route < min(sizes) - 2 and n * ball(route, radius) / (1 << route) > GROUP_ROWS:
+    listed = max(0, 2 * radius - 2) if index else radius
+    while route < min(sizes) - 2 and n * ball(route, listed) / (1 << route) > GROUP_ROWS:
         route += 1
     return Plan(tuple(zip(shifts, sizes, strict=True)), radius, route, max_bits, n)
 

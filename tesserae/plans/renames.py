@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.functions.media import text_digest8
+from tesserae.operators.ranks import ranked_within
+from tesserae.session import Scratch
 
 #: Rename strategies that need no tags.
 PLAIN = (
@@ -58,12 +60,13 @@ def new_base(strategy: str, base: Column, n: Column, folder: Column, comps: Colu
     return rules[strategy]()
 
 
-def rename_plan(files: DataFrame, strategy: str, today: str = "2024-01-01", stamp: int = 1_700_000_000, start: int = 1, pad: int = 3, cut: int = 32, most_tags: int = 3) -> DataFrame:
+def rename_plan(files: DataFrame, strategy: str, scratch: Scratch, today: str = "2024-01-01", stamp: int = 1_700_000_000, start: int = 1, pad: int = 3, cut: int = 32, most_tags: int = 3) -> DataFrame:
     """``path, new_path`` of ``files`` (``path, parent, md5``, and ``tags`` and ``subject`` for tag strategies).
 
     Files are numbered by path in their folder.  Names above 120 characters are cut,
     empty ones become file_N; of several files with one target all but the first
-    get their number appended.  The clock is a parameter, so a plan is repeatable.
+    get their number appended, and what then still meets another target or an
+    existing name takes the next free number.  The clock is a parameter, so a plan is repeatable.
     Without tags the last resort is 'untagged'.
     """
     order = Window.partitionBy("parent").orderBy("path")
@@ -82,29 +85,60 @@ def rename_plan(files: DataFrame, strategy: str, today: str = "2024-01-01", stam
     folder = F.regexp_replace("path", r"[^/]*$", "")
     f = f.withColumn("target", F.concat(folder, F.col("b"), F.col("x.ext")))
     again = F.row_number().over(Window.partitionBy("target").orderBy("path")) > 1
-    return f.select("path", F.when(again & (F.col("target") != F.col("path")), F.concat(folder, F.col("b"), F.lit("_"), F.col("n").cast("string"), F.col("x.ext"))).otherwise(F.col("target")).alias("new_path"))
+    wanted = F.when(again & (F.col("target") != F.col("path")), F.concat(folder, F.col("b"), F.lit("_"), F.col("n").cast("string"), F.col("x.ext"))).otherwise(F.col("target"))
+    return free_targets(f.select("path", wanted.alias("wanted")), f.select("path"), scratch).withColumnRenamed("target", "new_path")
 
 
-def move_plan(moves: DataFrame, existing: DataFrame, root: str) -> DataFrame:
-    """``path, target``: each file into ``root/category/name``; the k-th file of a taken name gets the suffix _k.
+def numbered(name: Column) -> Column:
+    """``stem, k, ext`` of a file name that ends in '_k'; ``k`` is null for others."""
+    x = T.split_extension(name)
+    k = F.regexp_extract(x["base"], r"_([1-9][0-9]{0,8})$", 1)
+    return F.struct(F.regexp_replace(x["base"], r"_[1-9][0-9]{0,8}$", "").alias("stem"), F.when(k != "", k.cast("bigint")).alias("k"), x["ext"].alias("ext"))
+
+
+def free_targets(wanted: DataFrame, existing: DataFrame, scratch: Scratch) -> DataFrame:
+    """``path, target``: the wanted name where it is free, else the same with the next free number; all targets differ and none exists.
+
+    ``wanted``: ``path`` (unique), ``wanted`` (a full path); ``existing``: ``path`` of
+    what is there.  A file that stays where it is keeps its name, then the smallest
+    path; the others of a name are numbered by path with the numbers that no existing
+    or wanted name has.  Every step is an aggregate, an equi-join or a sort in ranges,
+    so a name that very many files want is never gathered.
+    """
+    w = scratch.keep(wanted.select("path", "wanted"), "wanted")
+    there = existing.where("path is not null").select(F.col("path").alias("wanted")).distinct()
+    first = w.groupBy("wanted").agg(F.min(F.struct((F.col("path") != F.col("wanted")).alias("moves"), "path")).alias("first"))
+    met = w.join(first, "wanted").join(there.withColumn("taken", F.lit(True)), "wanted", "left")
+    keeps = (F.col("path") == F.col("first.path")) & (~F.col("first.moves") | F.col("taken").isNull())
+    met = scratch.keep(met.select("path", "wanted", keeps.alias("keeps")), "met")
+    kept, need = met.where("keeps").select("path", F.col("wanted").alias("target")), met.where("not keeps").select("wanted", "path")
+    if need.isEmpty():
+        return kept
+    split = F.regexp_extract("wanted", r"^(.*/)?([^/]*)$", 1), F.regexp_extract("wanted", r"^(.*/)?([^/]*)$", 2)
+    names = there.unionByName(w.select("wanted")).select(split[0].alias("folder"), numbered(split[1]).alias("x")).where("x.k is not null")
+    used = names.select(F.concat("folder", "x.stem", "x.ext").alias("wanted"), F.col("x.k").alias("k")).distinct().join(need.select("wanted"), "wanted", "left_semi")
+    # the j-th used number k has k - j free ones before it; the i-th file takes the number that is its place among files and used numbers in this order
+    used = ranked_within(used, ["wanted"], ["k"], scratch, "used").select("wanted", F.lit(None).cast("string").alias("path"), (F.col("k") - F.col("rank")).alias("at"))
+    files = ranked_within(need, ["wanted"], ["path"], scratch, "need").select("wanted", "path", F.col("rank").alias("at"))
+    place = ranked_within(files.unionByName(used), ["wanted"], ["at", F.col("path").isNull(), "path"], scratch, "places").where("path is not null")
+    x = T.split_extension(split[1])
+    return kept.unionByName(place.select("path", F.concat(split[0], x["base"], F.lit("_"), F.col("rank").cast("string"), x["ext"]).alias("target")))
+
+
+def move_plan(moves: DataFrame, existing: DataFrame, root: str, scratch: Scratch) -> DataFrame:
+    """``path, target``: each file into ``root/category/name``, numbered where that is taken.
 
     ``moves``: ``path, category, name``; ``existing``: ``path`` of what is there already.
     """
-    m = moves.withColumn("plain", F.concat_ws("/", F.lit(root), "category", "name")).withColumn("x", T.split_extension(F.col("name")))
-    taken = existing.select(F.col("path").alias("plain"), F.lit(1).alias("taken")).distinct()
-    m = m.join(taken, "plain", "left").withColumn("k", F.row_number().over(Window.partitionBy("plain").orderBy("path")) - 1 + F.coalesce("taken", F.lit(0)))
-    suffixed = F.concat(F.lit(root + "/"), F.col("category"), F.lit("/"), F.col("x.base"), F.lit("_"), F.col("k").cast("string"), F.col("x.ext"))
-    return m.select("path", F.when(F.col("k") == 0, F.col("plain")).otherwise(suffixed).alias("target"))
+    return free_targets(moves.select("path", F.concat_ws("/", F.lit(root), "category", "name").alias("wanted")), existing, scratch)
 
 
-def flatten_plan(files: DataFrame, root: str) -> DataFrame:
+def flatten_plan(files: DataFrame, existing: DataFrame, root: str, scratch: Scratch) -> DataFrame:
     """``path, target``: all files into one folder; names that several files have are led by their folder's name, then numbered."""
-    w = Window.partitionBy("name")
-    f = files.select("path", "name", "parent").distinct().withColumn("n", F.count(F.lit(1)).over(w))
-    f = f.withColumn("flat", F.when(F.col("n") > 1, F.concat_ws("_", "parent", "name")).otherwise(F.col("name")))
-    f = f.withColumn("k", F.row_number().over(Window.partitionBy("flat").orderBy("path")) - 1).withColumn("x", T.split_extension(F.col("flat")))
-    name = F.when(F.col("k") == 0, F.col("flat")).otherwise(F.concat(F.col("x.base"), F.lit("_"), F.col("k").cast("string"), F.col("x.ext")))
-    return f.select("path", F.concat(F.lit(root + "/"), name).alias("target"))
+    f = files.select("path", "name", "parent").distinct()
+    n = f.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    flat = F.when(F.col("n") > 1, F.concat_ws("_", "parent", "name")).otherwise(F.col("name"))
+    return free_targets(f.join(n, "name").select("path", F.concat(F.lit(root + "/"), flat).alias("wanted")), existing, scratch)
 
 
 def plan_stats(plan: DataFrame) -> DataFrame:

@@ -147,3 +147,12 @@ def duplicates_combined(spark: SparkSession, d: str) -> DataFrame:
   SELECT w.path, w.group_id, w.tier FROM w JOIN kk USING (group_id, tier) WHERE touched AND path <> kept""")
 def dedupe_victims(spark: SparkSession, d: str) -> DataFrame:
     return D.victims(table(spark, d, "files"), table(spark, d, "frames"), Scratch(spark, "groups"), "/library/", "resize")
+
+
+@query(groups_sql(1) + f""", {ALL}, gx AS (SELECT ag.*, f.size, tier = 'exact' AS exact, lower(regexp_extract(ag.path, '[^/.][^/]*(\\.[^/.]*)$', 1)) AS ext FROM ag JOIN (SELECT path, max(size_bytes) AS size FROM f GROUP BY path) f ON ag.path = f.path),
+  pg AS (SELECT group_id, exact, tier, count(*) AS n, coalesce(min(size) = max(size), false) AS same, sum(CASE WHEN is_keep THEN 0 ELSE coalesce(size, 0) END) AS wasted FROM gx GROUP BY ALL),
+  tt AS (SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS duplicates, count(*) FILTER (same) AS size_matched, count(*) FILTER (exact) AS md5_matched, count(*) FILTER (NOT exact) AS perceptual, coalesce(sum(wasted), 0)::BIGINT AS wasted_bytes FROM pg)
+  SELECT 'total' AS measure, name, value FROM (UNPIVOT tt ON COLUMNS(*) INTO NAME name VALUE value) UNION ALL SELECT 'tier', tier, count(*) FROM pg GROUP BY tier UNION ALL SELECT 'kind', ext, count(*) FROM (SELECT DISTINCT group_id, exact, ext FROM gx) GROUP BY ext""".replace("\\\\", "\\"))
+def dup_group_stats(spark: SparkSession, d: str) -> DataFrame:
+    groups = D.all_groups(table(spark, d, "files"), table(spark, d, "frames"), Scratch(spark, "groups"), "resize")
+    return D.group_stats(Scratch(spark, "stats").keep(groups, "groups"), table(spark, d, "files"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import detectors as X
 from tesserae.functions import fixed
 from tesserae.functions import media as M
+from tesserae.operators.ranks import ranked
 from tesserae.queries.registry import names, query, values
 from tesserae.session import Scratch, table
 
@@ -66,13 +68,33 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "profiles").where("path is not null").dropDuplicates(["path"])
 
 
-@query(f"""WITH {F_SQL}, {P_SQL} SELECT f.path, CASE WHEN size_bytes > 20971520 THEN 'Discarded' WHEN coalesce(sharpness, 0) < 80 THEN 'Low-Quality' WHEN coalesce(aesthetic, 0) < 0.2 THEN 'Low-Quality'
-  WHEN coalesce(skin_fraction, 0) >= 0.3 THEN 'Review' ELSE 'classify' END AS gate FROM f JOIN p ON f.path = p.path""")
+G = fixed.GATES
+BARE = f"""SELECT *, CASE WHEN skin < 0.08 THEN 0 ELSE least(1, least(1, (skin - 0.05) / 0.30) * CASE WHEN subject >= 0.35 THEN 1 ELSE 0.5 END * CASE WHEN tex < 4.5 THEN 1 ELSE greatest(0, 1 - (tex - 4.5) / 1.5) END) END AS bare FROM
+  (SELECT *, CASE WHEN coalesce(len(sh), 0) < 2 THEN 0 ELSE least(1, 1.3 * (1 - sh[1])) END AS subject FROM (SELECT *, list_reverse_sort(list_transform(map_values(weights), lambda x: x / (CASE WHEN list_sum(map_values(weights)) > 0 THEN list_sum(map_values(weights)) ELSE 1 END))) AS sh,
+    coalesce(skin_fraction, 0) AS skin, coalesce(texture_entropy, 0) AS tex FROM p))"""
+
+
+@query(f"""WITH {F_SQL}, {P_SQL}, b AS ({BARE}), c AS (SELECT path, min(category) AS category FROM classified WHERE category IS NOT NULL GROUP BY path), a AS (SELECT min(category) AS least FROM categories)
+  SELECT f.path, CASE WHEN size_bytes > {G["most_bytes"]} THEN 'Discarded' WHEN b.path IS NOT NULL AND coalesce(sharpness, 0) < {G["least_sharpness"]} THEN 'Low-Quality' WHEN bare >= {G["nsfw"]} THEN 'NSFW' ELSE coalesce(c.category, a.least) END AS gate
+  FROM f LEFT JOIN b USING (path) LEFT JOIN c USING (path), a""")
 def gate_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The cheap gates in their order: size, sharpness, aesthetic, skin; the first that applies wins."""
-    v = lambda c: F.coalesce(c, F.lit(0.0))
-    gate = F.when(F.col("size_bytes") > 20 << 20, "Discarded").when(v("sharpness") < 80, "Low-Quality").when(v("aesthetic") < 0.2, "Low-Quality").when(v("skin_fraction") >= 0.3, "Review")
-    return files(spark, d).select("path", "size_bytes").join(profiles(spark, d).select("path", "sharpness", "aesthetic", "skin_fraction"), "path").select("path", gate.otherwise("classify").alias("gate"))
+    """Size, sharpness, aesthetic (off by default) and bare-skin gates in their order, then the stored decision, then the first category."""
+    stored = table(spark, d, "classified").where("path is not null and category is not null").groupBy("path").agg(F.min("category").alias("category"))
+    least = table(spark, d, "categories").agg(F.min("category").alias("least"))
+    p = profiles(spark, d).select("path", "sharpness", "aesthetic", X.shares(F.col("weights")).alias("s"), F.coalesce("skin_fraction", F.lit(0.0)).alias("skin"), F.coalesce("texture_entropy", F.lit(0.0)).alias("tex"), F.lit(True).alias("seen"))
+    p = p.withColumn("bare", X.bare_skin(F.col("skin"), X.subject_area(F.col("s")), F.col("tex")))
+    rows = files(spark, d).select("path", "size_bytes").join(p, "path", "left").join(stored, "path", "left").crossJoin(F.broadcast(least))
+    gate = X.gate(F.col("size_bytes"), F.col("seen"), F.col("sharpness"), F.col("aesthetic"), F.col("bare"), F.lit(None).cast("double"))
+    return rows.select("path", F.coalesce(gate, "category", "least").alias("gate"))
+
+
+@query(f"""SELECT path, confidence, CASE WHEN confidence >= {G["nsfw"]} OR (confidence >= {G["reply_unsure"]} AND confidence >= {G["reply_nsfw"]}) THEN 'NSFW' END AS either, CASE WHEN confidence >= {G["reply_unsure"]} AND confidence >= {G["reply_nsfw"]} THEN 'NSFW' END AS reply_only FROM (SELECT DISTINCT path, confidence FROM classified)""")
+def nsfw_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The two triggers of the bare-skin gate on the stored scores: measured or replied, and replied alone."""
+    rows = table(spark, d, "classified").select("path", "confidence").distinct()
+    none = F.lit(None).cast("double")
+    gate = lambda bare, reply: X.gate(F.lit(0), F.lit(True), F.lit(1e9), F.lit(1.0), bare, reply)
+    return rows.select("path", "confidence", gate(F.col("confidence"), F.col("confidence")).alias("either"), gate(none, F.col("confidence")).alias("reply_only"))
 
 
 #: The sort orders of a library page: (SQL, columns with direction).
@@ -93,28 +115,6 @@ def filtered(spark: SparkSession, d: str) -> DataFrame:
     return f.where(F.lower("name").contains("img") & (F.col("kind") != "video") & F.col("aspect").isin("horizontal", "square"))
 
 
-def ranked(df: DataFrame, order: list, scratch: Scratch) -> DataFrame:
-    """``df`` with ``rank`` from 1 by ``order``: a sort in ranges, then each range's start is added to the places within it."""
-    rows = scratch.keep(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
-    # the upper bits of the id are the range, the lower 33 the place; one row per range
-    sizes = sorted((r["k"], r["count"]) for r in rows.groupBy(F.shiftright("at", 33).alias("k")).count().collect())
-    starts, before = [], 0
-    for k, n in sizes:
-        starts.append((k, before))
-        before += n
-    starts = df.sparkSession.createDataFrame(starts, "k bigint, before bigint")
-    rows = rows.withColumn("k", F.shiftright("at", 33)).join(F.broadcast(starts), "k")
-    return rows.withColumn("rank", F.col("at") - F.shiftleft("k", 33) + F.col("before") + 1).drop("k", "at", "before")
-
-
-def _page(order: str):
-    def page(spark: SparkSession, d: str) -> DataFrame:
-        """The first 200 of the filtered files in one of the sort orders: a page of `library_all_*`."""
-        return filtered(spark, d).orderBy(*ORDERS[order][1]()).limit(200).select("path", "kind")
-
-    return page
-
-
 def _whole(order: str):
     def whole(spark: SparkSession, d: str) -> DataFrame:
         """All filtered files with their rank in one of the sort orders."""
@@ -126,13 +126,8 @@ def _whole(order: str):
 for _order, (_sql, _) in ORDERS.items():
     query(
         f"""WITH {F_SQL}, x AS (SELECT *, {EXT} AS e, {ASPECT} AS aspect FROM f), y AS (SELECT *, {KIND} AS kind FROM x)
-  SELECT path, kind FROM y WHERE contains(lower(name), 'img') AND kind <> 'video' AND aspect IN ('horizontal', 'square') ORDER BY {_sql} LIMIT 200""",
-        f"library_{_order}",
-    )(_page(_order))
-    query(
-        f"""WITH {F_SQL}, x AS (SELECT *, {EXT} AS e, {ASPECT} AS aspect FROM f), y AS (SELECT *, {KIND} AS kind FROM x)
   SELECT path, kind, row_number() OVER (ORDER BY {_sql}) AS rank FROM y WHERE contains(lower(name), 'img') AND kind <> 'video' AND aspect IN ('horizontal', 'square')""",
-        f"library_all_{_order}",
+        f"library_{_order}",
     )(_whole(_order))
 
 

@@ -117,23 +117,11 @@ def llm_structured(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(T.structured_tags(tags, list(STOP)), "|").alias("tags"), F.round(F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))), 6).alias("nsfw"))
 
 
-@query(r"""WITH c AS (SELECT list(category ORDER BY category) AS cs FROM categories), a AS (SELECT doc_id, rtrim(trim(text), '.,;:!?') AS t FROM documents WHERE length(text) BETWEEN 1 AND 400), n AS (SELECT doc_id, t, TRY_CAST(regexp_extract(t, '^\s*(\d+)', 1) AS INT) AS k FROM a)
-  SELECT doc_id, CASE WHEN k BETWEEN 1 AND len(cs) THEN cs[k] WHEN list_contains(cs, t) THEN t ELSE (SELECT min(category) FROM categories WHERE contains(lower(n.t), lower(category))) END AS category FROM n, c""")
-def answer_category(spark: SparkSession, d: str) -> DataFrame:
-    """The category that a short reply names: by number, exactly, or as a part of the reply (the first such name)."""
-    listed = cats(spark, d).agg(F.array_sort(F.collect_list("category")).alias("cs"))
-    docs = table(spark, d, "documents").where(F.length("text").between(1, 400)).select("doc_id", F.rtrim(F.trim("text"), F.lit(".,;:!?")).alias("t")).crossJoin(F.broadcast(listed))
-    k = F.regexp_extract("t", r"^\s*(\d+)", 1).try_cast("int")
-    part = F.get(F.filter("cs", lambda c: F.contains(F.lower(F.col("t")), F.lower(c))), F.lit(0))
-    chosen = F.when((k >= 1) & (k <= F.size("cs")), F.get("cs", k - 1)).when(F.array_contains("cs", F.col("t")), F.col("t")).otherwise(part)
-    return docs.select("doc_id", chosen.alias("category"))
-
-
 @query(f"""WITH c AS (SELECT list(category ORDER BY category) AS cs FROM categories), a AS (SELECT doc_id, rtrim(trim(text, {"||".join(f"chr({ord(x)})" for x in T.BLANKS)}), '.,;:!?') AS t FROM documents),
   n AS (SELECT doc_id, t, TRY_CAST(regexp_extract(t, '^\\s*(\\d+)', 1) AS INT) AS k FROM a), p AS (SELECT doc_id, min(category) AS part FROM n, categories WHERE contains(lower(t), lower(category)) GROUP BY doc_id)
   SELECT doc_id, CASE WHEN k BETWEEN 1 AND len(cs) THEN cs[k] WHEN list_contains(cs, t) THEN t ELSE part END AS category FROM n CROSS JOIN c LEFT JOIN p USING (doc_id)""")
-def answer_category_all(spark: SparkSession, d: str) -> DataFrame:
-    """`answer_category` for every document, whatever its length; null where the text names no category."""
+def answer_category(spark: SparkSession, d: str) -> DataFrame:
+    """The category that a reply names: by number, exactly, or as a part of it (the first such name); null where it names none."""
     listed = cats(spark, d).agg(F.array_sort(F.collect_list("category")).alias("cs")).withColumn("low", F.transform("cs", F.lower))
     t = F.rtrim(T.strip(F.col("text"), T.BLANKS), F.lit(".,;:!?"))
     docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", t.alias("t")).withColumn("lt", F.lower("t")).crossJoin(F.broadcast(listed))

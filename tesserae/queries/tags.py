@@ -40,13 +40,13 @@ def polluted_tags(spark: SparkSession, d: str) -> DataFrame:
     return G.polluted(cats(spark, d), 0.05)
 
 
-@query(f"""WITH {DF}, p AS (SELECT tag, df FROM df ORDER BY df DESC, tag LIMIT 20), e AS (SELECT tag, category, row_number() OVER (PARTITION BY tag ORDER BY category) AS rn FROM ct JOIN p USING (tag))
-  SELECT p.tag, p.df, string_agg(category, ', ' ORDER BY category) AS examples FROM p JOIN e ON p.tag = e.tag AND rn <= 3 GROUP BY ALL""")
+@query(f"""WITH {DF}, p AS (SELECT tag, df, n FROM df, nn WHERE df >= 0.05 * n), e AS (SELECT tag, category, row_number() OVER (PARTITION BY tag ORDER BY category) AS rn FROM ct JOIN p USING (tag))
+  SELECT p.tag, p.df, round(100.0::DOUBLE * p.df / n, 6) AS percent, string_agg(category, ', ' ORDER BY category) AS examples FROM p JOIN e ON p.tag = e.tag AND rn <= 3 GROUP BY ALL""")
 def pollution_report(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 most frequent tags, each with three example categories."""
-    top = G.document_frequency(cats(spark, d)).orderBy(F.desc("df"), "tag").limit(20).select("tag", "df")
-    rows = G.category_tags(cats(spark, d)).join(F.broadcast(top), "tag")
-    return rows.groupBy("tag", "df").agg(F.array_join(F.slice(F.array_sort(F.collect_list("category")), 1, 3), ", ").alias("examples"))
+    """Every polluted tag with its share of the categories and three example categories."""
+    bad = G.polluted(cats(spark, d), 0.05).select("tag", "df", F.round(100.0 * F.col("df") / F.col("n"), 6).alias("percent"))
+    rows = G.category_tags(cats(spark, d)).join(bad, "tag")
+    return rows.groupBy("tag", "df", "percent").agg(F.array_join(F.slice(F.array_sort(F.collect_list("category")), 1, 3), ", ").alias("examples"))
 
 
 JOIN = lambda source: f"SELECT path, coalesce(string_agg(tag, '|' ORDER BY i), '') AS tags FROM {source} GROUP BY path"
@@ -215,25 +215,9 @@ def merge_sources(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", F.array_join(merged, "|").alias("tags"))
 
 
-@query(f"""WITH {CT}, vocab AS (SELECT DISTINCT tag FROM ct WHERE length(tag) BETWEEN 2 AND 20 AND NOT contains(tag, ' ')), ww AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,20}}')) AS word FROM documents WHERE length(text) < 300)
-  SELECT word, count(DISTINCT doc_id) AS docs, min(tag) AS tag FROM ww JOIN vocab ON contains(tag, word) GROUP BY word""".replace("\\\\", "\\"))
-def description_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Words of short descriptions that are part of a registered tag, with the smallest such tag.
-
-    The distinct words are matched, not their occurrences; the vocabulary is that of the (fixed) categories.
-    """
-    words = table(spark, d, "documents").where(F.length("text") < 300).select("doc_id", F.explode(F.array_distinct(T.description_words(F.col("text")))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
-    vocabulary = G.category_tags(cats(spark, d)).select("tag").distinct().where((F.length("tag").between(2, 20)) & ~F.col("tag").contains(" "))
-    # every substring of a tag that could be a word: a bounded expansion of a fixed table, then an equi-join
-    parts = vocabulary.select("tag", F.explode(F.sequence(F.lit(1), F.length("tag"))).alias("i")).select("tag", "i", F.explode(F.sequence(F.lit(3), F.greatest(F.length("tag") - F.col("i") + 1, F.lit(3)))).alias("k"))
-    parts = parts.select("tag", F.expr("substring(tag, i, k)").alias("word")).where(F.length("word") >= 3).groupBy("word").agg(F.min("tag").alias("tag"))
-    return counts.join(parts, "word")
-
-
 @query(f"""WITH {CT}, vocab AS (SELECT DISTINCT tag FROM ct), ww AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,20}}')) AS word FROM documents), wc AS (SELECT word, count(*) AS docs FROM ww GROUP BY word)
   SELECT word, any_value(docs) AS docs, coalesce(max(tag) FILTER (tag = word), min(tag)) AS tag FROM wc JOIN vocab ON length(tag) >= 3 AND (contains(tag, word) OR contains(word, tag)) GROUP BY word""".replace("\\\\", "\\"))
-def description_tags_all(spark: SparkSession, d: str) -> DataFrame:
+def description_tags(spark: SparkSession, d: str) -> DataFrame:
     """Words of all descriptions with their registered tag: the word itself, else the smallest tag that holds the word or that the word holds.
 
     The distinct words are matched, not their occurrences; the vocabulary is that of the (fixed) categories.

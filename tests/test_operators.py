@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions import fixed, media, pixels
+from tesserae.functions import detectors, fixed, media, pixels
 from tesserae.functions import text as T
 from tesserae.operators import duplicates as D
 from tesserae.operators import stats
@@ -168,12 +168,12 @@ def test_title_case_and_archives(spark):
 @pytest.mark.parametrize("strategy", [*renames.PLAIN, *renames.TAGGED])
 def test_rename_targets_are_unique_per_plan(spark, strategy):
     rows = [(f"/d/{n}", "d", None, t) for n, t in [("a b.jpg", ["X y", None]), ("A_b.jpg", []), ("007.png", None), (".png", ["sky"]), ("a-b.jpg", ["X y"])]]
-    plan = renames.rename_plan(spark.createDataFrame(rows, "path string, parent string, md5 string, tags array<string>"), strategy).collect()
+    plan = renames.rename_plan(spark.createDataFrame(rows, "path string, parent string, md5 string, tags array<string>"), strategy, Scratch(spark, "r")).collect()
     # a file that keeps its name keeps it even if another one wants it; `apply_plan` numbers the other
     moved = [r["new_path"] for r in plan if r["new_path"] != r["path"]]
     assert len(plan) == len(rows) and len(set(moved)) == len(moved)
     with pytest.raises(ValueError):
-        renames.rename_plan(spark.createDataFrame(rows, "path string, parent string, md5 string, tags array<string>"), "nonsense")
+        renames.rename_plan(spark.createDataFrame(rows, "path string, parent string, md5 string, tags array<string>"), "nonsense", Scratch(spark, "r"))
 
 
 def test_plan_is_applied_in_two_phases(spark, tmp_path):
@@ -242,3 +242,38 @@ def test_shrunk_deviation(spark):
 
 def test_signal_weights_are_complete():
     assert abs(sum(fixed.SIGNAL_WEIGHTS.values()) - 1.13) < 1e-9
+
+
+def targets(plan):
+    return {r[0]: r[1] for r in plan.collect()}
+
+
+def test_move_plan_has_no_collisions(spark):
+    moves = spark.createDataFrame([(f"/i/{k}/{n}", "c", n) for k, n in enumerate(["a.jpg", "a.jpg", "a_1.jpg", "a.jpg", "b", "b"])], "path string, category string, name string")
+    there = spark.createDataFrame([("/r/c/a_2.jpg",), ("/r/c/b_1",), (None,)], "path string")
+    got = targets(renames.move_plan(moves, there, "/r", Scratch(spark, "m")))
+    assert got == {"/i/0/a.jpg": "/r/c/a.jpg", "/i/1/a.jpg": "/r/c/a_3.jpg", "/i/2/a_1.jpg": "/r/c/a_1.jpg", "/i/3/a.jpg": "/r/c/a_4.jpg", "/i/4/b": "/r/c/b", "/i/5/b": "/r/c/b_2"}
+    there = spark.createDataFrame([("/r/c/a.jpg",), ("/r/c/a_1.jpg",)], "path string")
+    assert set(targets(renames.move_plan(moves, there, "/r", Scratch(spark, "m"))).values()) == {"/r/c/a_2.jpg", "/r/c/a_3.jpg", "/r/c/a_1_1.jpg", "/r/c/a_4.jpg", "/r/c/b", "/r/c/b_1"}
+
+
+def test_plans_of_random_names_are_free_of_collisions(spark):
+    rng = np.random.default_rng(9)
+    names = [f"{rng.choice(['a', 'A', 'a_1', 'a_2', 'x_a', 'a_10', '.a', 'b.tar'])}{rng.choice(['', '.jpg', '.gz'])}" for _ in range(300)]
+    rows = sorted({(f"/d{k % 9}/{n}", n, f"d{k % 9}", None) for k, n in enumerate(names)})
+    f = spark.createDataFrame(rows, "path string, name string, parent string, md5 string")
+    there = spark.createDataFrame([(f"/flat/{n}",) for n in set(names[::3])], "path string")
+    flat = targets(renames.flatten_plan(f, there, "/flat", Scratch(spark, "f")))
+    assert len(flat) == len(rows) == len(set(flat.values())) and not set(flat.values()) & {f"/flat/{n}" for n in names[::3]}
+    paths = {r[0] for r in rows}
+    for strategy in ("lowercase", "truncate", "reverse", "sequential", "ai_classification"):
+        new = targets(renames.rename_plan(f, strategy, Scratch(spark, "r")))
+        assert len(new) == len(set(new.values())) and all(t == p or t not in paths for p, t in new.items())
+
+
+def test_gates_in_their_order(spark):
+    rows = [(200 << 20, True, 500.0, 0.9, 0.0, 0.0), (1, True, 79.9, 0.9, 0.9, 0.0), (1, True, 80.0, 0.1, 0.5, 0.0), (1, True, 90.0, 0.1, 0.49, 0.69), (1, True, 90.0, 0.1, 0.0, 0.70), (1, None, None, None, None, 0.9), (None, True, 90.0, 0.1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "size bigint, seen boolean, sharp double, nice double, bare double, reply double")
+    cols = [F.col(c) for c in df.columns]
+    assert [r[0] for r in df.select(detectors.gate(*cols)).collect()] == ["Discarded", "Low-Quality", "NSFW", None, "NSFW", None, None]
+    assert [r[0] for r in df.select(detectors.gate(*cols, 0.2, False)).collect()] == ["Discarded", "Low-Quality", "Low-Quality", "Low-Quality", "Low-Quality", None, "Low-Quality"]

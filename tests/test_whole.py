@@ -14,7 +14,7 @@ def test_library_returns_every_match_in_order(spark, tmp_path, order):
     rows = [(f"/l/{k % 7}/IMG_{k * 37 % 500:03d}.jpg", f"IMG_{k * 37 % 500:03d}.jpg", f"/l/{k % 7}", None if k % 50 == 0 else k * 31 % 97, None if k % 60 == 0 else float(k * 17 % 89), 200, 100) for k in range(500)]
     rows += [("/l/a/other.jpg", "other.jpg", "/l/a", 1, 1.0, 200, 100), ("/l/a/img.mp4", "img.mp4", "/l/a", 1, 1.0, 200, 100), ("/l/a/img_tall.jpg", "img_tall.jpg", "/l/a", 1, 1.0, 100, 200)]
     spark.createDataFrame(rows, "path string, name string, parent string, size_bytes bigint, mtime double, width int, height int").repartition(5).write.parquet(f"{tmp_path}/files.parquet")
-    got = [r["path"] for r in core.queries()[f"library_all_{order}"](spark, str(tmp_path)).orderBy("rank").collect()]
+    got = [r["path"] for r in core.queries()[f"library_{order}"](spark, str(tmp_path)).orderBy("rank").collect()]
     low = lambda r: r[1].lower()
     nulls_first = lambda x: (x is not None, x or 0)
     want = sorted((r for r in rows[:500]), key=lambda r: r[0])
@@ -37,7 +37,7 @@ def test_description_tags_reads_long_texts_all_tags_and_both_directions(spark, t
             met = sorted(t for t in tags if len(t) >= 3 and (w in t or t in w))
             if met:
                 want[w] = (want.get(w, (0,))[0] + 1, w if w in tags else met[0])
-    got = {r["word"]: (r["docs"], r["tag"]) for r in core.queries()["description_tags_all"](spark, str(tmp_path)).collect()}
+    got = {r["word"]: (r["docs"], r["tag"]) for r in core.queries()["description_tags"](spark, str(tmp_path)).collect()}
     assert got == want and got["art"] == (2, "art") and got["nightfall"] == (1, "night") and "several" in got
 
 
@@ -55,7 +55,7 @@ def test_every_reply_gets_its_category(spark, tmp_path):
             return names[int(m.group(1)) - 1]
         return text if text in names else next((c for c in names if c.lower() in text.lower()), None)
 
-    got = {r["doc_id"]: r["category"] for r in core.queries()["answer_category_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["category"] for r in core.queries()["answer_category"](spark, str(tmp_path)).collect()}
     assert got == {k: parsed(t) for k, t in enumerate(texts)} and got[0] == "Forest" and got[1] == "Forest" and got[11] == "Night_Sky"
 
 
