@@ -194,3 +194,10 @@ BAD_LEADS = ("the image features", "a unified aesthetic can be achieved", "a uni
 
 # The limits of the gates before classification.
 GATES = {"most_bytes": 104_857_600, "least_sharpness": 80.0, "nsfw": 0.5, "reply_unsure": 0.65, "reply_nsfw": 0.70}
+
+# Tags that cleaning never removes, tags of the adult folder, soft priors, name markers of models that see images.
+ALWAYS_KEPT = ("anime", "photograph", "photo", "illustration", "digital-art", "pixel-art", "painting", "sketch", "3d-render", "minimalist", "monochrome", "portrait", "landscape")
+ADULT_TAGS = ("nsfw", "figure", "human", "skin", "portrait", "person", "body")
+PRIORS = {"Nature": 1.05, "Anime": 1.05, "Abstract": 1.02, "Minimalist": 1.02, "Photograph": 1.02}
+SEEING_MODELS = ("llava", "vision", "vl", "minicpm-v", "moondream", "bakllava", "granite3.1-vision", "qwen2.5vl", "qwen-vl", "internvl")
+BLIND_MODELS = ("-text", "embed")

@@ -187,15 +187,37 @@ def classified(profiles: DataFrame, categories: DataFrame, category_stats: DataF
     return out.join(F.broadcast(place), "place").select("path", "category", F.round("a", 6).alias("score"), F.round(confidence, 3).alias("confidence"))
 
 
-def decided_rows(decided: DataFrame, profiles: DataFrame, categories: DataFrame, category_stats: DataFrame, scratch) -> DataFrame:
-    """The scoring rows of each path with its decided category."""
-    rows = scratch.keep(profile_rows(profiles, categories), "decided-profiles").join(decided.select("path", "category"), "path")
-    return rows.join(scratch.keep(category_rows(categories, category_stats), "decided-categories"), "category")
-
-
-def explained(rows: DataFrame, most: int = 3) -> DataFrame:
-    """``path, category, reasons``: the strongest weighted signals of each decision (`decided_rows`) as 'name=value' with two decimals."""
-    signals = signal_columns()
-    ranked = F.array_sort(F.array(*[F.struct((-F.round(signals[k] * w, 9)).alias("v"), F.lit(k).alias("k")) for k, w in fixed.SIGNAL_WEIGHTS.items()]))
-    kept = F.slice(F.filter(ranked, lambda x: -x["v"] >= 0.05), 1, most)
-    return rows.select("path", "category", F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit("="), F.format_number(-x["v"], 2))), ", ").alias("reasons"))
+def explained(profiles: DataFrame, categories: DataFrame, category_stats: DataFrame, scratch, most: int = 3, signals: int = 3) -> DataFrame:
+    """``path, place, category, share, reasons``: the ``most`` best categories of every profile and why.
+
+    ``share`` is the score's part of all scores of the path; ``reasons`` are the
+    strongest weighted signals of those above 0.05 as 'name=value' with two decimals.
+    The best are found as the greatest numbers per part of the (fixed) categories,
+    so no path's scores are collected; only the winners' signals are written out.
+    """
+    spark = profiles.sparkSession
+    cats = scratch.keep(category_rows(categories, category_stats), "categories")
+    order = sorted(r["category"] for r in cats.select("category").collect())
+    if not order:
+        return spark.createDataFrame([], "path string, place int, category string, share double, reasons string")
+    place = spark.createDataFrame([(k, len(order) - i) for i, k in enumerate(order)], "category string, name bigint")
+    cats = F.broadcast(cats.join(F.broadcast(place), "category"))
+    rows = spread(scratch.keep(profile_rows(profiles, categories), "profiles"), "path")
+    base = len(order) + 1
+    scored = rows.crossJoin(cats).select("path", combined(signal_columns()).alias("s"), "name")
+    scored = scratch.keep(scored.select("path", "s", (F.round(F.col("s") * 1e9).cast("bigint") * base + F.col("name")).alias("packed")), "scores")
+    total = scored.groupBy("path").agg(F.sum("s").alias("total"), F.max("packed").alias("p1"))
+    best = total.select("path", "total", F.lit(1).alias("place"), F.col("p1").alias("packed"))
+    last = total.select("path", F.col("p1").alias("below"))
+    for k in range(2, most + 1):
+        nxt = scored.join(last, "path").groupBy("path").agg(F.max(F.when(F.col("packed") < F.col("below"), F.col("packed"))).alias("packed")).where("packed is not null")
+        nxt = scratch.keep(nxt, f"place-{k}")
+        best = best.unionByName(nxt.join(total.select("path", "total"), "path").select("path", "total", F.lit(k).alias("place"), "packed"))
+        last = nxt.select("path", F.col("packed").alias("below"))
+    best = best.select("path", "total", "place", "packed", (F.col("packed") % base).alias("name"))
+    met = rows.join(best, "path").join(cats, "name")
+    found = signal_columns()
+    ranked = F.array_sort(F.array_compact(F.array(*[F.when(found[k] > 0.05, F.struct((-F.round(found[k] * w, 9)).alias("v"), F.lit(i).alias("i"), F.lit(k).alias("k"))) for i, (k, w) in enumerate(fixed.SIGNAL_WEIGHTS.items())])))
+    reasons = F.array_join(F.transform(F.slice(ranked, 1, signals), lambda x: F.concat(x["k"], F.lit("="), F.format_number(-x["v"], 2))), ", ")
+    score = F.floor(F.col("packed") / base) / 1e9
+    return met.select("path", "place", "category", F.round(score / F.when(F.col("total") > 0, F.col("total")).otherwise(1e-9), 3).alias("share"), reasons.alias("reasons"))

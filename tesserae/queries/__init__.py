@@ -9,6 +9,8 @@ from tesserae.queries import scoring as _scoring  # noqa: F401
 from tesserae.queries import renames as _renames  # noqa: F401
 from tesserae.queries import vectors as _vectors  # noqa: F401
 from tesserae.queries import models as _models  # noqa: F401
+from tesserae.queries import images as _images  # noqa: F401
+from tesserae.queries import analysis as _analysis  # noqa: F401
 from tesserae.queries.registry import QUERIES, SQL
 
 

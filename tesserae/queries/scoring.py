@@ -134,9 +134,8 @@ def combine_signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def explain_topn(spark: SparkSession, d: str) -> DataFrame:
-    scratch = Scratch(spark, "explain")
-    p, c, s = profiles(spark, d), cats(spark, d), category_stats(spark, d)
-    return S.explained(S.decided_rows(S.classified(p, c, s, scratch), p, c, s, scratch))
+    """The three best categories of every profile, each with its three strongest signals."""
+    return S.explained(profiles(spark, d), cats(spark, d), category_stats(spark, d), Scratch(spark, "explain"))
 
 
 @query(f"""WITH RECURSIVE {RAW}, {KEPT.format(excl=EXCL, most=24)}, {P2.replace('p AS', 'pz AS', 1).replace('p1 AS', 'p9 AS')}, ct AS (SELECT DISTINCT category, lower(trim(t)) AS tag FROM (SELECT category, unnest(tags) AS t FROM categories) WHERE trim(t) <> ''), nn AS (SELECT count(*) AS n FROM categories),
