@@ -37,16 +37,20 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+#: Ids are held as one character each until a text is put together: code points in order, without the surrogates.
+SURROGATES, GAP = 0xD800, 0x800
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word, n, out``: the ids of each word."""
+    """``word, n, out``: the ids of each word, one character per id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(path)
         for b in batches:
             coded = tokenizer.encode_batch_fast(b["word"].tolist(), add_special_tokens=False)
-            yield b.assign(out=[x.ids for x in coded])
+            yield b.assign(out=["".join(chr(i if i < SURROGATES else i + GAP) for i in x.ids) for x in coded])
 
-    return words.mapInPandas(run, "word string, n bigint, out array<int>")
+    return words.mapInPandas(run, "word string, n bigint, out string")
 
 
 def split_words(documents: DataFrame, path: str) -> DataFrame:
@@ -81,9 +85,11 @@ def encode(documents: DataFrame, scratch: Scratch | None = None, path: str | Non
     path = path or str(Path(TOKENIZERS) / VOCABULARY)
     scratch = scratch or Scratch(documents.sparkSession, "encode")
     occurrences, words = _coded(documents, scratch, path)
-    met = join_words(occurrences, words, F.array().cast("array<int>"))
+    met = join_words(occurrences, words, F.lit(""))
     per = met.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "out")).alias("parts"))
-    return per.select("doc_id", F.flatten(F.transform(F.array_sort("parts"), lambda x: x["out"])).alias("ids"))
+    text = per.select("doc_id", F.array_join(F.transform(F.array_sort("parts"), lambda x: x["out"]), "").alias("t"))
+    ids = F.transform(F.split("t", ""), lambda c: F.when(F.ascii(c) < SURROGATES, F.ascii(c)).otherwise(F.ascii(c) - GAP))
+    return text.select("doc_id", F.when(F.length("t") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
 
 
 def token_counts(documents: DataFrame, scratch: Scratch | None = None, path: str | None = None) -> DataFrame:
@@ -91,10 +97,9 @@ def token_counts(documents: DataFrame, scratch: Scratch | None = None, path: str
     path = path or str(Path(TOKENIZERS) / VOCABULARY)
     scratch = scratch or Scratch(documents.sparkSession, "counts")
     occurrences, words = _coded(documents, scratch, path)
-    # per document and word first: repeated words shuffle once
-    tally = occurrences.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("k"))
-    met = join_words(tally, words.select("word", "n", F.size("out").alias("out")), F.lit(0))
-    return met.groupBy("doc_id").agg(F.sum(F.col("out") * F.col("k")).cast("bigint").alias("n_tokens"))
+    # frequent words are counted where they stand, only rare ones are sent; sums are partial before they are sent
+    met = join_words(occurrences.drop("pos"), words.select("word", "n", F.length("out").alias("out")), F.lit(0))
+    return met.groupBy("doc_id").agg(F.sum("out").cast("bigint").alias("n_tokens"))
 
 
 def byte_pieces(path: str) -> list[tuple[int, bytes]]:

@@ -12,7 +12,7 @@ from tesserae.llm.frames import usable_hist
 from tesserae.llm.grouping import linked_groups
 from tesserae.llm.history import repeated_entries
 from tesserae.llm.knn import nearest
-from tesserae.llm.lookalike import look_forms, look_pairs
+from tesserae.llm.lookalike import look_classes, look_forms, look_pairs
 from tesserae.llm.packing import pack
 from tesserae.llm.setjoin import similar_links, similar_pairs
 from tesserae.session import table
@@ -75,6 +75,10 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return look_forms(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from tesserae.llm.encoding import TOKENIZERS, VOCABULARY, decode, encode, load_tokenizer, token_counts
-from tesserae.llm.lookalike import look_forms, look_pairs
-from tesserae.llm.packing import completion, fillings, pack
+from tesserae.llm.lookalike import look_classes, look_forms, look_pairs
+from tesserae.llm.packing import best_fit, completion, fillings, least_containers, pack
 
 DOC = "doc_id bigint, text string, word string, pos int"
 TEXTS = [
@@ -156,3 +156,27 @@ def test_fillings_need_the_fewest_containers():
         assert all(sum(sizes) <= capacity for _, sizes in solution)
         assert sum((Counter({s: times * sizes.count(s) for s in sizes}) for times, sizes in solution), Counter()) == Counter(items)
         assert sum(times for times, _ in solution) == fewest(items, capacity)
+
+
+def test_runs_of_many_marks_and_letters_of_other_scripts(spark):
+    many = "a\u0301" + "\u0316" * 3 + "\u0308" * 4
+    texts = [many, "\u00e1" + "\u0316" * 3 + "\u0308" * 4, "a" + "\u0316" * 3 + "\u0301" + "\u0308" * 4, "a" + "\u0308\u0301" + "\u0316" * 3 + "\u0308" * 3, "\u03bd\u03c1", "vp", "\u13aa\u13b7", "AM"]
+    forms = {r["doc_id"]: r["form"] for r in look_forms(docs(spark, texts)).collect()}
+    # marks of different classes commute, those of one class do not
+    assert forms[0] == forms[1] == forms[2] != forms[3] and forms[4] == forms[5] and forms[6] == forms[7]
+    classes = {r["doc_id"]: (r["class_id"], r["texts"]) for r in look_classes(docs(spark, [*texts, " ", None, "vp"])).collect()}
+    assert classes[2] == (0, 3) and classes[3] == (3, 1) and classes[10] == classes[4] == (4, 2) and 8 not in classes and 9 not in classes
+
+
+def test_filling_is_never_worse_than_best_fit_on_large_items():
+    rng = np.random.default_rng(5)
+    for k in range(4):
+        counts = Counter(int(x) for x in rng.integers(600, 1_024, 200 + 50 * k))
+        n = lambda solution: sum(t for t, _ in solution)
+        got, bound = fillings(dict(counts), 2_048, 300_000), least_containers(sorted(counts, reverse=True), counts, 2_048)
+        used = Counter()
+        for times, sizes in got:
+            assert sum(sizes) <= 2_048
+            for s in sizes:
+                used[s] += times
+        assert used == counts and bound <= n(got) <= n(best_fit(dict(counts), 2_048))
