@@ -104,7 +104,7 @@ class History:
 
     @property
     def plan(self):
-        return plan_for(self.state["planned"], DH_BITS)
+        return plan_for(self.state["planned"], DH_BITS, index=True)
 
     def _tables(self) -> None:
         for name, (columns, key) in TABLES.items():
@@ -201,6 +201,8 @@ class History:
         if self.state["patterns"] > OUTGROWN * self.state["planned"]:
             self._lay_out_anew()
         self._manifest(json.dumps(self.state))
+        # lets the context cleaner drop the shuffles and broadcasts of this batch, on the driver and the executors
+        self.spark.sparkContext._jvm.System.gc()
 
     def _lay_out_anew(self) -> None:
         old, blocks, total = {name: self._read(name) for name in TABLES}, self.plan.blocks, self.state["patterns"]
