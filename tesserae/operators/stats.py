@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import fixed
 from tesserae.functions.media import rescaled
+from tesserae.operators.ranks import ranked_within
+from tesserae.session import Scratch
 
 
 def long_features(profiles: DataFrame, features: Iterable[str], keys: Iterable[str] = ("path",)) -> DataFrame:
@@ -105,38 +107,47 @@ def majority(members: DataFrame, value: str) -> DataFrame:
     return best.select("category", "b.value", (-F.col("b.k")).alias("n"))
 
 
-def ranked_by_size(files: DataFrame, by: str = "parent") -> DataFrame:
-    """Files with their rank by size (null sizes count as 0, then by path) in their folder, and its number of files."""
-    w = Window.partitionBy(by)
-    size = F.coalesce("size_bytes", F.lit(0))
-    return files.select(
-        by, "path", (F.row_number().over(w.orderBy(size, "path")) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n")
-    )
+def ranked_by_size(files: DataFrame, scratch: Scratch, by: str = "parent") -> DataFrame:
+    """Files with their rank ``i`` by size (null sizes count as 0, then by path) in their folder, and its number ``n`` of files.
+
+    A folder that holds a large part of all files is sorted in ranges like any other.
+    """
+    f = files.select(by, "path", F.coalesce("size_bytes", F.lit(0)).alias("size"))
+    n = f.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    r = ranked_within(f, [by], ["size", "path"], scratch)
+    return r.join(n, by).select(by, "path", (F.col("rank") - 1).alias("i"), "n")
 
 
-def smart_sample(files: DataFrame, k: int, by: str = "parent") -> DataFrame:
+def smart_sample(files: DataFrame, k: int, scratch: Scratch, by: str = "parent") -> DataFrame:
     """``by, path``: the smallest, the largest and ``k - 2`` evenly spaced files by size per folder; all of small folders."""
-    r = ranked_by_size(files, by)
+    r = ranked_by_size(files, scratch, by)
     middle, extra = F.col("n") - 2, k - 2
     at = F.transform(F.sequence(F.lit(0), F.lit(max(extra - 1, 0))), lambda j: F.least(F.floor(j * (middle / F.lit(float(max(extra, 1))))), middle - 1) + 1)
     picked = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | (F.lit(extra > 0) & F.array_contains(at.cast("array<bigint>"), F.col("i")))
     return r.where((F.col("n") <= k) | picked).select(by, "path")
 
 
-def stratified_sample(files: DataFrame, k: int, by: str = "parent", most: int = 6) -> DataFrame:
-    """``by, path``: round-robin over ``most`` size buckets per folder until ``k`` are taken; all of small folders."""
-    r = ranked_by_size(files, by)
+def stratified_sample(files: DataFrame, k: int, scratch: Scratch, by: str = "parent", most: int = 6) -> DataFrame:
+    """``by, path``: round-robin over ``most`` size buckets per folder until ``k`` are taken; all of small folders.
+
+    A bucket is a range of ranks, so the turn of a file follows from its rank; only
+    the at most ``k`` first of each bucket are ordered.
+    """
     buckets = min(k, most)
-    r = r.withColumn("b", F.least(F.floor(F.col("i") / F.col("n") * buckets), F.lit(buckets - 1)))
-    r = r.withColumn("turn", F.row_number().over(Window.partitionBy(by, "b").orderBy("i")))
-    r = r.withColumn("o", F.row_number().over(Window.partitionBy(by).orderBy("turn", "b")))
-    return r.where((F.col("n") <= k) | (F.col("o") <= k)).select(by, "path")
+    r = ranked_by_size(files, scratch, by)
+    b = F.least(F.floor(F.col("i") / F.col("n") * buckets), F.lit(buckets - 1))
+    r = r.withColumn("b", b)
+    # the first rank of a bucket is the smallest i with floor(i / n * buckets) = b
+    first = r.groupBy(by, "b").agg(F.min("i").alias("first"))
+    early = r.join(first, [by, "b"]).withColumn("turn", F.col("i") - F.col("first")).where((F.col("n") <= k) | (F.col("turn") < k))
+    early = early.withColumn("o", F.row_number().over(Window.partitionBy(by).orderBy("turn", "b")))
+    return early.where((F.col("n") <= k) | (F.col("o") <= k)).select(by, "path")
 
 
-def uniform_sample(files: DataFrame, k: int, by: str = "parent") -> DataFrame:
+def uniform_sample(files: DataFrame, k: int, scratch: Scratch, by: str = "parent") -> DataFrame:
     """``by, path``: every n/k-th file by path per folder; all of small folders."""
-    w = Window.partitionBy(by)
-    r = files.select(by, "path", (F.row_number().over(w.orderBy("path")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    f = files.select(by, "path")
+    r = ranked_within(f, [by], ["path"], scratch).withColumn("i", F.col("rank") - 1).join(f.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
     step = F.col("n") / F.lit(float(k))
     # i is picked if i = floor(j * step) for a whole j
     j = F.ceil(F.col("i") / step)

@@ -45,11 +45,11 @@ PREDICTED = f"""xf AS (SELECT path, f.feature, CASE f.feature {" ".join(f"WHEN '
 @query(f"""WITH {P_SQL}, {MEMBERS}, {PREDICTED}, {CT}, x AS (SELECT path, {", ".join(f"{x} AS {f}" for f, x in SCALED.items())} FROM p),
   md AS (SELECT category, {", ".join(f"round(avg({f}), 9) AS mu_{f}, CASE WHEN round(stddev_pop({f}), 9) > 0 THEN round(stddev_pop({f}), 9) ELSE 0.05 END AS sd_{f}" for f in SMALL)} FROM x JOIN k USING (path) WHERE category IN (SELECT category FROM categories) GROUP BY category),
   bo AS (SELECT path, category, sum(mass * 0.4) AS extra FROM pt JOIN ct USING (tag) GROUP BY ALL), nb AS (SELECT path, category, sum(mass * 0.6) AS extra FROM pt JOIN md ON lower(md.category) = pt.tag GROUP BY ALL),
-  s AS (SELECT x.path, md.category, round(({" + ".join(f"greatest(0, 1 - least(abs({f} - mu_{f}) / sd_{f}, 3) / 3.0::DOUBLE)" for f in SMALL)}) / {len(SMALL)} * (1 + coalesce(bo.extra, 0) + coalesce(nb.extra, 0)), 9) AS s
+  s AS (SELECT x.path, md.category, round(({" + ".join(f"greatest(0, 1 - least(abs({f} - mu_{f}) / sd_{f}, 3) / 3.0::DOUBLE)" for f in SMALL)}) / {len(SMALL)} * (1 + coalesce(bo.extra, 0) + coalesce(nb.extra, 0)) * CASE md.category {" ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in fixed.PRIORS.items())} ELSE 1 END, 9) AS s
     FROM x CROSS JOIN md LEFT JOIN bo ON bo.path = x.path AND bo.category = md.category LEFT JOIN nb ON nb.path = x.path AND nb.category = md.category)
   SELECT path, arg_min(category, (-s, category)) AS category, round(max(s) / sum(s), 3) AS confidence, max(s) / sum(s) < 0.30 AS fallback FROM s GROUP BY path""")
 def mini_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """The category of the best fit of scaled features, raised by shared predicted tags.
+    """The category of the best fit of scaled features, raised by shared predicted tags and a soft prior.
 
     The models are one row per category and are broadcast with the category names;
     scores become one number per row (score, then name), so a path needs two sums.
@@ -67,7 +67,10 @@ def mini_classifier(spark: SparkSession, d: str) -> DataFrame:
     extra = shared.unionByName(named).groupBy("path", "category").agg(F.sum("extra").alias("extra"))
     extra = extra.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("category", "extra"))).alias("extra"))
     rows = spread(p.drop("weights", "clip_scores").join(extra, "path", "left"), "path").crossJoin(F.broadcast(model.join(F.broadcast(place), "category")))
-    s = A.fit_score(p.columns, SMALL) * (1 + F.coalesce(F.try_element_at("extra", F.col("category")), F.lit(0.0)))
+    prior = F.lit(1.0)
+    for k, w in fixed.PRIORS.items():
+        prior = F.when(F.col("category") == k, w).otherwise(prior)
+    s = A.fit_score(p.columns, SMALL) * (1 + F.coalesce(F.try_element_at("extra", F.col("category")), F.lit(0.0))) * prior
     scored = rows.select("path", F.round(s, 9).alias("s"), "place").select("path", "s", (F.round(F.col("s") * 1e9).cast("bigint") * base + F.col("place")).alias("packed"))
     out = scored.groupBy("path").agg(F.max("packed").alias("m"), F.max("s").alias("a"), F.sum("s").alias("t"))
     out = out.select("path", (F.col("m") % base).alias("place"), (F.col("a") / F.col("t")).alias("c")).join(F.broadcast(place), "place")

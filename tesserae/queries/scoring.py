@@ -218,16 +218,16 @@ RANKED = f"{F_SQL}, r AS (SELECT parent, path, row_number() OVER (PARTITION BY p
 
 @query(f"WITH {RANKED} SELECT parent, path FROM r WHERE n <= 5 OR i = 0 OR i = n - 1 OR list_contains(list_transform(range(3), lambda j: (least(floor(j * ((n - 2) / 3.0::DOUBLE)), n - 3) + 1)::BIGINT), i)")
 def smart_sample(spark: SparkSession, d: str) -> DataFrame:
-    return A.smart_sample(files(spark, d), 5)
+    return A.smart_sample(files(spark, d), 5, Scratch(spark, "sample"))
 
 
 @query(f"""WITH {RANKED}, b AS (SELECT *, least(floor(i / n::DOUBLE * 6), 5) AS b FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY parent, b ORDER BY i) AS turn FROM b),
   o AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY turn, b) AS o FROM t) SELECT parent, path FROM o WHERE n <= 8 OR o <= 8""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    return A.stratified_sample(files(spark, d), 8)
+    return A.stratified_sample(files(spark, d), 8, Scratch(spark, "sample"))
 
 
 @query(f"""WITH {F_SQL}, r AS (SELECT parent, path, row_number() OVER (PARTITION BY parent ORDER BY path) - 1 AS i, count(*) OVER (PARTITION BY parent) AS n FROM f)
   SELECT parent, path FROM r WHERE n <= 4 OR list_contains(list_transform(range(4), lambda j: floor(j * (n / 4.0::DOUBLE))::BIGINT), i)""")
 def uniform_sample(spark: SparkSession, d: str) -> DataFrame:
-    return A.uniform_sample(files(spark, d), 4)
+    return A.uniform_sample(files(spark, d), 4, Scratch(spark, "sample"))

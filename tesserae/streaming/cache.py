@@ -20,7 +20,8 @@ def upsert(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Keep ``target`` (Parquet, versions ``v=N``) at the newest entry of each path.
 
     Each micro-batch is merged with the last version and written as the next one;
-    a repeated batch after a failure writes the same version again.
+    a repeated batch after a failure writes the same version again.  The last two
+    versions are kept, which is what a repeated batch can need.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -30,6 +31,8 @@ def upsert(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
             rows = rows.unionByName(spark.read.schema("entry_id bigint, path string, sig string, md5 string, size_bytes bigint, scanned_at timestamp_ntz").parquet(f"{target}/v={number - 1}"))
         newest = rows.where("path is not null").groupBy("path").agg(F.max(F.struct("scanned_at", "entry_id", "sig", "md5", "size_bytes")).alias("e"))
         newest.select("path", "e.*").write.mode("overwrite").parquet(f"{target}/v={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
