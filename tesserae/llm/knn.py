@@ -32,7 +32,7 @@ from tesserae.session import Scratch
 
 DIMENSIONS, CONFIDENCE = 8, 0.999
 #: Distinct vectors that a leaf should hold; leaves of more than twice as many are cut into chunks.
-LEAF_ROWS = 2_000
+LEAF_ROWS = 3_000
 #: Visitors that are compared with a leaf in one task; more are split.
 VISITOR_ROWS = 200_000
 #: Size of the sample of projected vectors that places the splits: for small tables, and at most.
