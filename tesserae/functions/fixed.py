@@ -24,23 +24,23 @@ FRAME_EXTENSIONS = (".gif", ".apng", ".mng", ".fli", ".flc")
 #: Moving pictures for frame sampling; webp counts as one there.
 SAMPLED_ANIMATIONS = (".gif", ".apng", ".webp", ".mng", ".fli", ".flc")
 SKIPPED_NAMES = ("README.md", "LICENSE", "requirements.txt", "run.sh", ".gitignore")
-#: (offset, bytes as hex, format), the first match wins.
+#: (offset, bytes, format), the first match wins.
 MAGIC = (
-    (0, "FFD8FF", "JPEG"), (0, "89504E470D0A1A0A", "PNG"), (0, "474946383761", "GIF"), (0, "474946383961", "GIF"), (0, "424D", "BMP"),
-    (0, "49492A00", "TIFF-LE"), (0, "4D4D002A", "TIFF-BE"), (0, "762F3101", "EXR"), (0, "38425053", "PSD"), (0, "38425042", "PSB"),
-    (0, "44445320", "DDS"), (0, "716F6966", "QOI"), (0, "5031", "PBM-ASCII"), (0, "5032", "PGM-ASCII"), (0, "5033", "PPM-ASCII"),
-    (0, "5034", "PBM"), (0, "5035", "PGM"), (0, "5036", "PPM"), (0, "8A4D4E470D0A1A0A", "MNG"), (0, "8B4D4E470D0A1A0A", "MNG"),
-    (0, "8B4A4E470D0A1A0A", "JNG"), (4, "11AF", "FLI"), (4, "12AF", "FLC"), (8, "56503820", "WEBP"), (8, "5650384C", "WEBP"),
-    (8, "56503858", "WEBP"), (4, "6674797068656963", "HEIC"), (4, "6674797068656978", "HEIC"), (4, "667479706865696D", "HEIC"),
-    (4, "6674797068656973", "HEIC"), (4, "667479706D696631", "HEIF"), (4, "667479706D736631", "HEIF"), (4, "6674797061766966", "AVIF"),
-    (4, "6674797061766973", "AVIF"), (4, "667479706A786C", "JPEG-XL"), (4, "6674797071742020", "MOV"), (4, "667479706D703432", "MP4"),
-    (4, "667479706D703431", "MP4"), (4, "6674797069736F6D", "MP4"), (4, "667479704D345620", "M4V"), (4, "667479704D344120", "M4A"),
-    (4, "6674797064617368", "DASH"), (0, "1A45DFA3", "WEBM/MKV"), (8, "41564920", "AVI"), (0, "464C5601", "FLV"), (0, "465753", "SWF"),
-    (0, "435753", "SWF"), (0, "000001BA", "MPEG-PS"), (0, "000001B3", "MPEG-Video"), (0, "4F676753", "OGG"), (0, "47", "MPEG-TS"),
-    (0, "0000000C6A502020", "JPEG-2000"), (0, "0000000C6A703220", "JPEG-2000"), (0, "FF4FFF51", "JPEG-2000"), (4, "4A584C20", "JPEG-XL"),
-    (0, "FF0A", "JPEG-XL"), (4, "66747970", "MP4"),
+    (0, b"\xff\xd8\xff", "JPEG"), (0, b"\x89PNG\r\n\x1a\n", "PNG"), (0, b"GIF87a", "GIF"), (0, b"GIF89a", "GIF"), (0, b"BM", "BMP"),
+    (0, b"II*\x00", "TIFF-LE"), (0, b"MM\x00*", "TIFF-BE"), (0, b"v/1\x01", "EXR"), (0, b"8BPS", "PSD"), (0, b"8BPB", "PSB"),
+    (0, b"DDS ", "DDS"), (0, b"qoif", "QOI"), (0, b"P1", "PBM-ASCII"), (0, b"P2", "PGM-ASCII"), (0, b"P3", "PPM-ASCII"),
+    (0, b"P4", "PBM"), (0, b"P5", "PGM"), (0, b"P6", "PPM"), (0, b"\x8aMNG\r\n\x1a\n", "MNG"), (0, b"\x8bMNG\r\n\x1a\n", "MNG"),
+    (0, b"\x8bJNG\r\n\x1a\n", "JNG"), (4, b"\x11\xaf", "FLI"), (4, b"\x12\xaf", "FLC"), (8, b"VP8 ", "WEBP"), (8, b"VP8L", "WEBP"),
+    (8, b"VP8X", "WEBP"), (4, b"ftypheic", "HEIC"), (4, b"ftypheix", "HEIC"), (4, b"ftypheim", "HEIC"),
+    (4, b"ftypheis", "HEIC"), (4, b"ftypmif1", "HEIF"), (4, b"ftypmsf1", "HEIF"), (4, b"ftypavif", "AVIF"),
+    (4, b"ftypavis", "AVIF"), (4, b"ftypjxl", "JPEG-XL"), (4, b"ftypqt  ", "MOV"), (4, b"ftypmp42", "MP4"),
+    (4, b"ftypmp41", "MP4"), (4, b"ftypisom", "MP4"), (4, b"ftypM4V ", "M4V"), (4, b"ftypM4A ", "M4A"),
+    (4, b"ftypdash", "DASH"), (0, b"\x1aE\xdf\xa3", "WEBM/MKV"), (8, b"AVI ", "AVI"), (0, b"FLV\x01", "FLV"), (0, b"FWS", "SWF"),
+    (0, b"CWS", "SWF"), (0, b"\x00\x00\x01\xba", "MPEG-PS"), (0, b"\x00\x00\x01\xb3", "MPEG-Video"), (0, b"OggS", "OGG"), (0, b"G", "MPEG-TS"),
+    (0, b"\x00\x00\x00\x0cjP  ", "JPEG-2000"), (0, b"\x00\x00\x00\x0cjp2 ", "JPEG-2000"), (0, b"\xffO\xffQ", "JPEG-2000"), (4, b"JXL ", "JPEG-XL"),
+    (0, b"\xff\n", "JPEG-XL"), (4, b"ftyp", "MP4"),
 )
-RIFF_KINDS = (("57454250", "WEBP"), ("41564920", "AVI"), ("57415645", "WAV"))
+RIFF_KINDS = ((b"WEBP", "WEBP"), (b"AVI ", "AVI"), (b"WAVE", "WAV"))
 
 # --- duplicates ------------------------------------------------------------------------------------------------------
 #: (name, most bits of dh, most bits of ph, least cosine), strictest first.
@@ -168,7 +168,7 @@ EXAMPLES = (
     ("Space", {"space_score": 0.7, "hsv_V_mean": 15, "colorfulness": 50, "unique_colors": 80, "subject_area_ratio": 0.05}, ("space", "galaxy", "dark")),
     ("Nature", {"nature_score": 0.6, "colorfulness": 50, "hsv_S_mean": 50, "hsv_V_mean": 55, "subject_area_ratio": 0.3}, ("nature", "outdoor", "landscape", "green")),
     ("Minimalist", {"texture_entropy": 1.5, "edge_density": 0.05, "unique_colors": 8, "subject_area_ratio": 0.1, "centeredness": 0.7}, ("minimalist", "clean", "monochrome")),
-    ("Abstract", {"texture_entropy": 5.0, "colorfulness": 70, "subject_area_ratio": 0.2, "unique_colors": 200}, ("abstract", "pattern")),
+    ("Abstract", {"periodicity_score": 0.5, "texture_entropy": 5.0, "colorfulness": 70, "subject_area_ratio": 0.2, "unique_colors": 200}, ("abstract", "pattern")),
     ("Dark", {"hsv_V_mean": 18, "colorfulness": 25, "space_score": 0.3, "subject_area_ratio": 0.1}, ("dark", "black")),
     ("Pastel", {"pastel_score": 0.5, "hsv_S_mean": 25, "hsv_V_mean": 80, "colorfulness": 35, "anime_score": 0.3}, ("pastel", "light", "soft")),
     ("Vaporwave", {"vw_score": 0.6, "pastel_score": 0.3, "neon_score": 0.3, "colorfulness": 70, "hsv_S_mean": 60}, ("vaporwave", "retro", "neon")),
@@ -185,7 +185,7 @@ EXAMPLES = (
     ("Sports", {"subject_area_ratio": 0.3, "edge_density": 0.18, "hsv_S_mean": 60, "aesthetic": 0.5}, ("sport",)),
     ("Music", {"colorfulness": 60, "subject_area_ratio": 0.4, "centeredness": 0.55, "edge_density": 0.18}, ("music",)),
     ("Game", {"anime_score": 0.4, "colorfulness": 70, "edge_density": 0.20, "unique_colors": 200}, ("game", "digital-art")),
-    ("Pattern", {"texture_entropy": 4.5, "subject_area_ratio": 0.1, "unique_colors": 64}, ("pattern", "abstract", "tile")),
+    ("Pattern", {"periodicity_score": 0.7, "texture_entropy": 4.5, "is_periodic": 0.7, "subject_area_ratio": 0.1, "unique_colors": 64}, ("pattern", "abstract", "tile")),
     ("Aesthetic", {"colorfulness": 45, "aesthetic": 0.7, "pastel_score": 0.3, "subject_area_ratio": 0.4}, ("aesthetic", "vibe")),
 )
 

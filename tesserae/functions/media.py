@@ -50,8 +50,8 @@ def is_supported(name: Column, animations: bool = True) -> Column:
 
 def detect_format(content: Column) -> Column:
     """The format of the first bytes; null if unknown or empty.  RIFF kinds go first, then the signatures in order."""
-    at = lambda offset, hexed: F.substring(content, offset + 1, len(hexed) // 2) == F.to_binary(F.lit(hexed), F.lit("hex"))
-    rules = [(at(0, "52494646") & at(8, kind), name) for kind, name in fixed.RIFF_KINDS]
+    at = lambda offset, sig: F.substring(content, offset + 1, len(sig)) == F.lit(bytearray(sig))
+    rules = [(at(0, b"RIFF") & at(8, kind), name) for kind, name in fixed.RIFF_KINDS]
     rules += [(at(offset, sig), name) for offset, sig, name in fixed.MAGIC]
     return reduce(lambda chain, rule: chain.when(*rule), rules[1:], F.when(*rules[0]))
 

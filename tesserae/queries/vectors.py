@@ -54,7 +54,7 @@ def softmax_mass(spark: SparkSession, d: str) -> DataFrame:
     return per.select("vec_id", F.round(F.least(F.lit(1.0), 2 * F.col("some") / F.col("all")), 6).alias("mass"))
 
 
-HEADS = [(i, "00" * o + s + "00" * 8, n) for i, (o, s, n) in enumerate(fixed.MAGIC)]
+HEADS = [(i, "00" * o + s.hex() + "00" * 8, n) for i, (o, s, n) in enumerate(fixed.MAGIC)]
 
 
 @query()
