@@ -1,16 +1,21 @@
 """Problem 5: the k most similar vectors of every vector.
 
-Vectors are projected to a few dimensions with a 2-stable (Gaussian) projection
-and indexed by a kd-tree over the projected space.  The tree's splits come from
-a bounded sample; every vector is indexed.  The search runs in two rounds
-instead of one vector at a time:
+Vectors are projected to a few dimensions with a 2-stable (Gaussian) projection,
+orthonormal by columns, and indexed by a kd-tree over the projected space.  The
+tree's splits come from a bounded sample; every vector is indexed.  The search runs
+in two rounds instead of one vector at a time:
 
-1. inside its own leaf each vector is compared with all others; the k-th best
-   gives a bound d on the distance of the true neighbours;
+1. each vector is searched for inside its own leaf; the k-th best gives a bound d on
+   the distance of the true neighbours;
 2. a neighbour within d has, with probability ``confidence``, a projected
-   distance within d * sqrt(chi-square quantile).  That is the stopping test of the
-   incremental search: leaves beyond it need no visit, all others are visited and
-   their vectors verified with the full cosine.
+   distance within d * sqrt(chi-square quantile), and always one within
+   d * sqrt(size), as columns of that length without correlation stretch nothing
+   further.  The smaller is the stopping test of the incremental search: leaves beyond
+   it need no visit, all others are visited and their vectors verified with the full
+   cosine.  Up to 26 numbers the test is therefore exact.
+
+Within a leaf the search is incremental too: a small tree over its vectors is gone
+through cell by cell, nearest first, and the bound shrinks with what is found.
 
 Leaves and their visitors are split where they grow beyond their bounds, so no task
 holds more than a bounded number of vectors.
@@ -31,8 +36,12 @@ from pyspark.sql import functions as F
 from tesserae.session import Scratch
 
 DIMENSIONS, CONFIDENCE = 8, 0.999
-#: Distinct vectors that a leaf should hold; leaves of more than twice as many are cut into chunks.
-LEAF_ROWS = 3_000
+#: Distinct vectors that a leaf should hold: for small tables, and at most; leaves of more than twice as many are cut into chunks.
+LEAF_ROWS = 3_000, 24_000
+#: Leaves that a table of middle size should have, so that there is work for all tasks.
+LEAVES = 24
+#: Vectors of a cell of the small tree inside a leaf.
+CELL_ROWS = 400
 #: Visitors that are compared with a leaf in one task; more are split.
 VISITOR_ROWS = 200_000
 #: Size of the sample of projected vectors that places the splits: for small tables, and at most.
@@ -107,47 +116,102 @@ def _unit(packed: pd.Series, kind: str, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _top(cos: np.ndarray, k: int) -> np.ndarray:
-    """Of each row the k-th greatest value, -2 where there are fewer."""
-    if cos.shape[1] < k:
-        return np.full(len(cos), -2.0, cos.dtype)
-    return np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+def _projection(size: int) -> np.ndarray:
+    """Orthogonal columns of Gaussian directions, of length sqrt(size): distances grow sqrt(DIMENSIONS) times on average, sqrt(size) times at most."""
+    return np.linalg.qr(np.random.default_rng(20_240_101).standard_normal((size, min(size, DIMENSIONS))))[0] * math.sqrt(size)
 
 
 SLACK = 2 * 10.0**-DECIMALS
 #: What a cosine of single precision may be off; pairs within it are computed again in double precision.
 SINGLE_SLACK = 4e-6
+#: Numbers of a block of cosines.
+BLOCK = 4_000_000
+
+
+def _radius2(bound: np.ndarray, reach: float) -> np.ndarray:
+    """The square of the projected distance within which vectors of a cosine of ``bound`` are looked for."""
+    return np.maximum(2 - 2 * bound + 4 * SLACK, 0.0) * reach * (1 + 1e-9)
 
 
-def _close(x: np.ndarray, y: np.ndarray, least: np.ndarray, k: int = 0, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``i, j, cos`` of the rows of y that are as close to a row of x as ``least`` (and, with ``k``, its own k-th best here), and these bounds.
+def _search(
+    x: np.ndarray, y: np.ndarray, projection: np.ndarray, reach: float, least: np.ndarray, k: int, skip: np.ndarray | None = None, cell_rows: int = CELL_ROWS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``i, j, cos`` of the k rows of y (more if equal) that are closest to each row of x, if at least as close as ``least``; and the bounds reached.
 
     ``skip``: the row of y that is the row of x itself.
     """
-    x32, y32, out, bounds = x.astype(np.float32), y.astype(np.float32), [], least.copy()
-    step = max(16, 4_000_000 // max(1, len(y)))
-    for a in range(0, len(x), step):
-        cos = x32[a : a + step] @ y32.T
-        if skip is not None:
-            cos[np.arange(len(cos)), skip[a : a + step]] = -3.0
-        bound = np.maximum(least[a : a + step], _top(cos, k) - SINGLE_SLACK) if k else least[a : a + step]
-        i, j = np.nonzero(cos >= (bound - SINGLE_SLACK)[:, None])
-        real = cos[i, j] > -2.5
-        i, j = i[real] + a, j[real]
-        exact = np.einsum("ij,ij->i", x[i], y[j])
-        kept = exact >= bound[i - a] - SLACK
-        out.append((i[kept], j[kept], exact[kept]))
-        bounds[a : a + step] = bound
-    i, j, cos = (np.concatenate(c) if out else np.zeros(0) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return i, j, cos, bounds
-
-
-def _tree(placed: DataFrame, n: int, leaf_rows: int) -> Tree:
+    places, seeds = y @ projection, x @ projection
+    depth = max(0, math.ceil(math.log2(max(1.0, len(y) / cell_rows))))
+    tree = Tree(places, depth)
+    cell = tree.leaf(places)
+    order = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(cell[order]) > 0])
+    last = np.r_[first[1:], len(y)]
+    lo, hi = np.minimum.reduceat(places[order], first), np.maximum.reduceat(places[order], first)
+    # the distance to each cell, rounded down
+    away = np.empty((len(x), len(first)), np.float32)
+    for c in range(len(first)):
+        gap = np.maximum(np.maximum(lo[c] - seeds, seeds - hi[c]), 0.0)
+        away[:, c] = (gap * gap).sum(1) * (1 - 1e-6)
+    middle = (lo + hi) / 2
+    apart = ((middle[:, None] - middle[None]) ** 2).sum(2)
+    x32, y32 = x.astype(np.float32), y[order].astype(np.float32)
+    position = None
+    if skip is not None:
+        position = np.empty(len(y), np.int64)
+        position[order] = np.arange(len(y))
+        position = position[skip]
+    best = np.repeat(least.astype(np.float32)[:, None], k, axis=1)
+    bound, found = least.astype(np.float64), []
+
+    def visit(rows: np.ndarray, c: int) -> None:
+        a, b = first[c], last[c]
+        cos = x32[rows] @ y32[a:b].T
+        if position is not None:
+            own = np.flatnonzero((position[rows] >= a) & (position[rows] < b))
+            cos[own, position[rows[own]] - a] = -3.0
+        some = np.flatnonzero(cos.max(1) >= bound[rows] - SINGLE_SLACK)
+        if len(some) < len(rows):
+            rows, cos = rows[some], cos[some]
+        if not len(rows):
+            return
+        top = np.partition(cos, b - a - k, axis=1)[:, b - a - k :] if b - a > k else cos
+        merged = np.concatenate([best[rows], top], axis=1)
+        best[rows] = np.partition(merged, merged.shape[1] - k, axis=1)[:, merged.shape[1] - k :]
+        bound[rows] = np.maximum(bound[rows], best[rows].min(1).astype(np.float64) - SINGLE_SLACK)
+        i, j = np.nonzero(cos >= np.maximum(bound[rows] - SINGLE_SLACK, -2.5)[:, None])
+        found.append((rows[i], order[j + a], cos[i, j]))
+
+    home = away.argmin(1)
+    by_home = np.argsort(home, kind="stable")
+    for rows in np.split(by_home, np.flatnonzero(np.diff(home[by_home])) + 1):
+        if not len(rows):
+            continue
+        for c in np.argsort(apart[home[rows[0]]], kind="stable"):
+            near = rows[away[rows, c] <= _radius2(bound[rows], reach)]
+            step = max(16, BLOCK // int(last[c] - first[c]))
+            for s in range(0, len(near), step):
+                visit(near[s : s + step], c)
+    i, j, cos = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    kept = cos >= bound[i] - SINGLE_SLACK
+    i, j = i[kept], j[kept]
+    exact = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + BLOCK]], y[j[s : s + BLOCK]]) for s in range(0, max(1, len(i)), BLOCK)])
+    # the k-th in double precision is the last word
+    at = np.lexsort((-exact, i))
+    i, j, exact = i[at], j[at], exact[at]
+    start = np.searchsorted(i, np.arange(len(x)))
+    whole = np.flatnonzero(np.searchsorted(i, np.arange(len(x)), "right") - start >= k)
+    bound[whole] = np.maximum(bound[whole], exact[start[whole] + k - 1] - SLACK)
+    kept = exact >= bound[i] - SLACK
+    return i[kept], j[kept], exact[kept], bound
+
+
+def _tree(placed: DataFrame, n: int, leaf_rows: int, dimensions: int) -> Tree:
     """The tree over a sample of 16 or more projected vectors per leaf, at most about ``SAMPLE_ROWS[1]``."""
     wanted = min(SAMPLE_ROWS[1], max(SAMPLE_ROWS[0], 16 * n // leaf_rows))
     every = max(1, -(-n // wanted))
     sample = placed.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("point").limit(2 * SAMPLE_ROWS[1]).toPandas()
-    points = np.array(sample["point"].tolist()) if len(sample) else np.zeros((0, DIMENSIONS))
+    points = np.array(sample["point"].tolist()) if len(sample) else np.zeros((0, dimensions))
     depth = 0
     while (n >> depth) > leaf_rows and (len(points) >> depth) > 16:
         depth += 1
@@ -155,15 +219,15 @@ def _tree(placed: DataFrame, n: int, leaf_rows: int) -> Tree:
 
 
 def near_classes(
-    classes: DataFrame, k: int, n: int, size: int, scratch: Scratch, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS, visitor_rows: int = VISITOR_ROWS
+    classes: DataFrame, k: int, n: int, size: int, scratch: Scratch, confidence: float = CONFIDENCE, leaf_rows: int | None = None, visitor_rows: int = VISITOR_ROWS
 ) -> DataFrame:
     """``cid, other, cos``: for each class that is asked for at least its k most similar other ones (all of equal rounded cosine).
 
     ``classes``: ``cid`` (bigint, unique), ``vec`` (of ``size`` numbers), ``asked``.
     """
     kind = PACKED.get(classes.schema["vec"].dataType.elementType.simpleString(), "float64")
-    projection = np.random.default_rng(20_240_101).standard_normal((size, DIMENSIONS))
-    reach = chi_square_quantile(confidence, DIMENSIONS)
+    leaf_rows = leaf_rows or max(LEAF_ROWS[0], min(LEAF_ROWS[1], n // LEAVES))
+    projection, reach = _projection(size), min(chi_square_quantile(confidence, DIMENSIONS), size)
 
     @F.pandas_udf("binary")
     def pack(vec: pd.Series) -> pd.Series:
@@ -174,7 +238,7 @@ def near_classes(
         return pd.Series(list((_unit(vec, kind, size) @ projection).astype(np.float32)))
 
     packed = scratch.keep(classes.select("cid", "asked", pack(F.col("vec").cast("array<double>") if kind == "float64" else F.col("vec")).alias("vec")), "packed")
-    tree = _tree(packed.select("cid", project("vec").alias("point")), n, leaf_rows)
+    tree = _tree(packed.select("cid", project("vec").alias("point")), n, leaf_rows, projection.shape[1])
 
     @F.pandas_udf("int")
     def place(vec: pd.Series) -> pd.Series:
@@ -193,10 +257,9 @@ def near_classes(
     def inside(members: pd.DataFrame) -> pd.DataFrame:
         x, cid, asked = _unit(members["vec"], kind, size), members["cid"].to_numpy(), members["asked"].to_numpy(bool)
         own, chunk, who = int(members["leaf"].iloc[0]), int(members["chunk"].iloc[0]), np.flatnonzero(asked)
-        i, j, cos, bound = _close(x[who], x, np.full(len(who), -2.0), k, who)
+        i, j, cos, bound = _search(x[who], x, projection, reach, np.full(len(who), -2.0), k, who)
         out = [pd.DataFrame({"leaf": -1, "chunk": 0, "cid": cid[who[i]], "bound": 0.0, "other": cid[j], "cos": np.round(cos, DECIMALS)})]
-        radius2 = np.maximum(2 - 2 * bound + 4 * SLACK, 0.0) * reach
-        for leaf, at in tree.within(x[who] @ projection, radius2):
+        for leaf, at in tree.within(x[who] @ projection, _radius2(bound, reach)):
             for part in range(parts[leaf]):
                 if (leaf, part) != (own, chunk):
                     out.append(pd.DataFrame({"leaf": leaf, "chunk": part, "cid": cid[who[at]], "bound": bound[at], "other": 0, "cos": 0.0}))
@@ -209,7 +272,7 @@ def near_classes(
         if not len(visitors) or not len(members):
             return pd.DataFrame({"cid": [], "other": [], "cos": []}).astype({"cid": "int64", "other": "int64", "cos": "float64"})
         ids, cid = visitors["cid"].to_numpy(), members["cid"].to_numpy()
-        i, j, cos, _ = _close(_unit(visitors["vec"], kind, size), _unit(members["vec"], kind, size), visitors["bound"].to_numpy())
+        i, j, cos, _ = _search(_unit(visitors["vec"], kind, size), _unit(members["vec"], kind, size), projection, reach, visitors["bound"].to_numpy(), k)
         return pd.DataFrame({"cid": ids[i], "other": cid[j], "cos": np.round(cos, DECIMALS)})
 
     # visits are narrow; the vectors join them here
@@ -229,7 +292,7 @@ def near_classes(
 
 
 def nearest(
-    vectors: DataFrame, k: int = 3, scratch: Scratch | None = None, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS, size: int | None = None, visitor_rows: int = VISITOR_ROWS
+    vectors: DataFrame, k: int = 3, scratch: Scratch | None = None, confidence: float = CONFIDENCE, leaf_rows: int | None = None, size: int | None = None, visitor_rows: int = VISITOR_ROWS
 ) -> DataFrame:
     """``path, frame, near_path, near_frame, cos``: the k rows of highest cosine of every row of ``path, frame, vec``.
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tesserae.llm.knn import Tree, chi_square_quantile, nearest
+from tesserae.llm.knn import Tree, _projection, _search, chi_square_quantile, nearest
 
 ROW = "path string, frame int, vec array<int>, cos string"
 
@@ -83,6 +83,23 @@ def test_embeddings_against_brute_force(spark, data):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_a_leaf_gives_each_visitor_its_k_best_only():
+    # a loose bound lets all vectors of the leaf in; no more than k may be sent on, and the bound shrinks to the k-th
+    rng = np.random.default_rng(9)
+    x = rng.integers(1, 900, (60, 16))[rng.integers(0, 60, 1500)] + rng.integers(0, 60, (1500, 16)).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j, cos, bound = _search(x[:500], x[500:], _projection(16), 16, np.full(500, -1.0), 3, cell_rows=50)
+    s = x[:500] @ x[500:].T
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, int(b)) for a in range(500) for b in np.argsort(-s[a])[:3]}
+    assert np.allclose(cos, s[i, j], atol=1e-12) and np.allclose(bound, np.sort(s, axis=1)[:, -3], atol=1e-8)
+
+
+@pytest.mark.parametrize("size", [1, 5, 16, 64])
+def test_the_projection_stretches_nothing_beyond_the_size(size):
+    p = _projection(size)
+    assert p.shape == (size, min(size, 8)) and np.linalg.norm(p, 2) <= np.sqrt(size) * (1 + 1e-12)
+
+
 def test_copies_and_ties(spark):
     a, b, c = (1,) * 16, (2,) * 16, (1,) * 15 + (9,)
     rows = [(f"c{k:02}", 0, a) for k in range(30)] + [("a", 0, b), ("z", 1, c), ("z", 0, c), ("z", 0, c)]
