@@ -66,6 +66,18 @@ def test_survivors(spark):
     assert survivors(spark.createDataFrame([], CACHE)).count() == 0
 
 
+def test_survivors_run_no_stage_without_effect(spark, monkeypatch):
+    # the stated orders end in the id and decide alone: not even five folders that agree outvote the latest scan, and no table is kept on the way
+    from datetime import datetime as t
+
+    rows = [(k, f"/f{k}/x", "10-1", M, 10, [2, 3], t(2024, 1, k), 0) for k in range(1, 6)] + [(6, "/z/x", "11-1", M, 11, [3, 2], t(2024, 1, 9), 0)]
+    kept = []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or df)
+    monkeypatch.setattr("tesserae.llm.fusion.fuse", lambda *a, **k: pytest.fail("votes decide nothing here"))
+    got = [tuple(r) for r in survivors(spark.createDataFrame(rows, CACHE)).collect()]
+    assert got == [(M, 6, 6, 6)] and not kept
+
+
 def test_fusion_discounts_copied_votes(spark):
     rows = [(f"i{k}", s, "true", 1) for k in range(30) for s in ("a", "b", "c", "g")]
     # d errs often; e and f repeat its errors later
