@@ -4,6 +4,7 @@
 
 * ``judged``: the entries with their exact tokens (path and signature, digest); the accepted ones are looked up;
 * ``postings-V``: perceptual tokens ``g`` with the patterns of the rarest frames (the prefix) of each class, bucketed by token;
+* ``holders-V``: these patterns, each once, with the class that holds it, bucketed by pattern;
 * ``classes-V``: the frames of each class, stored once, bucketed by class, for verification;
 * ``manifest-N``: what was complete after batch N, and the version V of the layout.
 
@@ -17,8 +18,9 @@ verified.  Plan and rarity come from accepted data and the batch at hand; when t
 index has outgrown its plan four times, it is laid out anew with more tokens and
 buckets, which costs a fixed share of what was indexed since.
 
-A batch shuffles its own rows only.  Of the index it reads the narrow postings of
-its tokens' buckets and, for verification, the classes.
+A batch shuffles its own rows only: each table of the index is bucketed by all keys
+by which it is joined.  Of the index it reads the narrow postings of its tokens'
+buckets, the holders and, for verification, the classes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.frames import DH_BITS, PH_BITS, classes_match, digest, frame_rows, path_frames, prefixes
-from tesserae.operators.hamming import GROUP_ROWS, ball, cross_pairs, plan_for, routed, sides
+from tesserae.operators.hamming import GROUP_ROWS, cross_pairs, plan_for, routed, sides
 from tesserae.session import Scratch
 
 #: A table of up to this many rows of under 100 bytes is broadcast; larger ones are shuffled.
@@ -40,10 +42,11 @@ SMALL_ROWS = 200_000
 OUTGROWN = 4
 CID = "struct<h: bigint, i: bigint>"
 JUDGED = f"batch_id int, entry_id bigint, cid {CID}, tokens array<{CID}>, repeats boolean, stored boolean, tag bigint"
-#: Columns and bucket key of the bucketed tables.
+#: Columns and bucket keys of the bucketed tables.
 TABLES = {
-    "postings": ("g int, v bigint, w bigint, h bigint, nf bigint, u int", "g"),
-    "classes": ("h bigint, cid struct<h: bigint, i: bigint>, nf bigint, fs array<struct<dh: bigint, ph: bigint, hist: array<int>, nn: double>>", "h"),
+    "postings": ("g int, v bigint, w bigint", ["g"]),
+    "holders": ("v bigint, w bigint, h bigint, nf bigint, u int", ["v", "w"]),
+    "classes": ("h bigint, cid struct<h: bigint, i: bigint>, nf bigint, fs array<struct<dh: bigint, ph: bigint, hist: array<int>, nn: double>>", ["h"]),
 }
 
 
@@ -107,14 +110,16 @@ class History:
         return plan_for(self.state["planned"], DH_BITS, index=True)
 
     def _tables(self) -> None:
-        for name, (columns, key) in TABLES.items():
+        for name, (columns, keys) in TABLES.items():
             self.names[name] = f"t_{uuid.uuid4().hex}"
-            where = self.scratch.path(f"{name}-{self.state['version']}")
-            self.spark.sql(f"create table {self.names[name]} ({columns}, tag bigint) using parquet clustered by ({key}) into {self.state['buckets']} buckets location '{where}'")
+            self.spark.sql(f"create table {self.names[name]} ({columns}, tag bigint) using parquet clustered by ({', '.join(keys)}) into {self.state['buckets']} buckets location '{self._path(name)}'")
+
+    def _path(self, name: str) -> str:
+        return self.scratch.path(f"{name}-{self.state['version']}")
 
     def _append(self, df: DataFrame, name: str) -> None:
         # one file per bucket and batch
-        df.repartition(self.state["buckets"], TABLES[name][1]).write.insertInto(self.names[name])
+        df.repartition(self.state["buckets"], *TABLES[name][1]).write.insertInto(self.names[name])
 
     def _read(self, name: str) -> DataFrame:
         """The rows of complete batches."""
@@ -161,11 +166,11 @@ class History:
         if keys == ["g"]:
             sent = sent.repartition(self.state["buckets"], "g")
         met = sent.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(meet, "g int, v1 bigint, w1 bigint, v2 bigint, w2 bigint")
-        # classes join by pattern, so a pattern that many of them share is never gathered
+        # classes join by pattern, so a pattern that many of them share is never gathered; the holders lie by pattern and stay where they are
         met = self.scratch.keep(met, f"met-{self.batches}")
-        held = self._read("postings").select("g", F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("nf2"), F.col("u").alias("u2"))
+        held = self._read("holders").select(F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("h").alias("q"), F.col("nf").alias("nf2"), F.col("u").alias("u2"))
         own = sized(probes.select(F.col("v").alias("v1"), F.col("w").alias("w1"), F.col("cid.h").alias("p"), "nf", "u"), n)
-        return held.join(met, ["g", "v2", "w2"]).join(own, ["v1", "w1"]).where("2 * u * u2 >= nf * nf2").select("p", "q")
+        return held.join(met.drop("g"), ["v2", "w2"]).join(own, ["v1", "w1"]).where("2 * u * u2 >= nf * nf2").select("p", "q")
 
     def judged_classes(self, classes: DataFrame, probes: DataFrame, n: int) -> DataFrame:
         """``cid, similar, stored`` of the classes ``cid, nf, fs`` (``n`` frames) with candidates: whether one matches, whether one is the class itself."""
@@ -192,12 +197,14 @@ class History:
         new = self.spark.read.schema(JUDGED).parquet(self.scratch.path("judged")).where(F.col("tag") == tag)
         new = sized(new.where("not repeats and not stored and cid is not null").select("cid"), n)
         fresh = lambda df: df.join(new, "cid", "left_semi").withColumn("tag", F.lit(tag).cast("bigint"))
-        self._append(self._routes(fresh(prefix).select("v", "w", F.col("cid.h").alias("h"), "nf", "u", "tag")), "postings")
+        self._append(fresh(prefix).select("v", "w", F.col("cid.h").alias("h"), "nf", "u", "tag"), "holders")
+        accepted = self.spark.read.schema(self.spark.table(self.names["holders"]).schema).parquet(self._path("holders")).where(F.col("tag") == tag)
+        self._append(self._routes(accepted), "postings")
         # a class that can match none has no postings, no probe will ask for it
         able = (F.floor(F.col("nf") / F.sqrt(F.lit(2.0))) + 1 - F.col("nf") + F.size("fs") > 0) & (2 * F.size("fs") >= F.col("nf"))
         self._append(fresh(classes.where(able)).select(F.col("cid.h").alias("h"), "cid", "nf", "fs", "tag"), "classes")
         self.state = self.state | {"tags": [*self.state["tags"], tag]}
-        self.state["patterns"] += self._read("postings").where(F.col("tag") == tag).count() // (len(self.plan.blocks) * ball(self.plan.route, sides(self.plan)[1]))
+        self.state["patterns"] += accepted.count()
         if self.state["patterns"] > OUTGROWN * self.state["planned"]:
             self._lay_out_anew()
         self._manifest(json.dumps(self.state))
@@ -209,12 +216,13 @@ class History:
         buckets = max(self.state["buckets"], -(-total * len(blocks) // GROUP_ROWS))
         self.state = self.state | {"planned": total, "version": self.state["version"] + 1, "buckets": buckets}
         self._tables()
-        self._append(old["classes"], "classes")
-        self._append(self._routes(old["postings"].drop("g").distinct()), "postings")
+        for name in ("classes", "holders"):
+            self._append(old[name], name)
+        self._append(self._routes(old["holders"]), "postings")
 
-    def _routes(self, postings: DataFrame) -> DataFrame:
+    def _routes(self, patterns: DataFrame) -> DataFrame:
         groups = F.explode(routed(F.col("v"), self.plan, sides(self.plan)[1]))
-        return postings.select(groups.alias("g"), "v", "w", "h", "nf", "u", "tag")
+        return patterns.select(groups.alias("g"), "v", "w", "tag")
 
     def _manifest(self, text: str) -> None:
         jvm = self.spark.sparkContext._jvm

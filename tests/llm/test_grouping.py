@@ -145,6 +145,27 @@ def test_history_matches_brute_force(spark):
     assert {(r[0], r[1]) for r in links} == {(r[0], r[1]) for r in connected_components(edges, Scratch(spark, "cc")).collect()}
 
 
+def test_a_batch_does_not_shuffle_the_index(spark):
+    probes = spark.createDataFrame([((1, 2), 1, 1, 5, 6)], "cid struct<h: bigint, i: bigint>, nf bigint, u int, v bigint, w bigint")
+    index = History.create(spark, Scratch(spark, "index"), 1, buckets=3)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = index.candidates(probes, 1)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        index.close()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    scans = [k for k, x in enumerate(plan) if "FileScan" in x and "t_" in x]
+    assert scans
+    for k in scans:
+        above, at = [], depth[k]
+        for j in range(k, -1, -1):
+            if depth[j] < at:
+                above, at = [*above, plan[j]], depth[j]
+        assert not any("Exchange" in x for x in above[: next(n for n, x in enumerate(above) if "Join" in x)])
+
+
 def test_frames_of_a_class_count_once(spark):
     # a and b hold equal frames under different numbers; c matches one of four pairs of theirs
     far = [0, 0x5555555555555555, -1]
